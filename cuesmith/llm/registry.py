@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, quality, secrets, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_secret_scans": secrets.op9_secret_scans,
 }
 
 ORACLES: dict[str, str] = {}
