@@ -23,9 +23,11 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 _HINT = re.compile(r"(?ai:pass|secret|token|api)")
 
 #: Character classes of candidates, each with the entropy in bits that some window must reach. A window of 24
-#: characters has log2(24) = 4.58 bits at most; English and code words stay below 3.6 in it.
+#: characters has log2(24) = 4.58 bits at most; words joined by hyphens stay below 4.0 in it, and what mixes
+#: capitals, small letters and digits is rarely prose.
 WINDOW = 24
-CLASSES = {"hex": (frozenset("0123456789abcdefABCDEF"), 3.2), "base64": (None, 4.05)}
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+CLASSES = {"hex": 3.2, "mixed": 3.5, "base64": 4.05}
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % WINDOW)
 #: What looks random and is no secret: identifiers, digests that are published with what they digest, data links,
 #: counting runs of the alphabet or of digits.
@@ -81,8 +83,9 @@ def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
             continue
         if ALLOW_BEFORE.search(text[max(0, a - 64) : a]) or any(run in s for run in _RUNS):
             continue
-        kind = "hex" if CLASSES["hex"][0].issuperset(s) else "base64"
-        if s.isdigit() or highest_entropy(s) < CLASSES[kind][1]:
+        mixed = any(c.islower() for c in s) and any(c.isupper() for c in s)
+        kind = "hex" if HEX_DIGITS.issuperset(s) else "mixed" if mixed else "base64"
+        if s.isdigit() or highest_entropy(s) < CLASSES[kind]:
             continue
         found.append((a, b, "entropy"))
     return found
