@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, secrets, simhash
+from . import bpe, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op4_mix_sources": mixing.op4_mix_sources,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_secret_scans": secrets.op9_secret_scans,
