@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, lengths, mixing, mixing_lm, neighbours, quality, secrets, simhash
+from . import bpe, lengths, licenses, mixing, mixing_lm, neighbours, quality, secrets, simhash
 
 QUERIES = {
     "op1_collision_counting": neighbours.op1_collision_counting,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_token_counts": lengths.op3_token_counts,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_license_scans": licenses.op5_license_scans,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_context_mixing": mixing_lm.op10_context_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_license_scans": licenses.ORACLE}
