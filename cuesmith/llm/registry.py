@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lengths, licenses, mixing, mixing_lm, neighbours, quality, secrets, simhash
+from . import bpe, lengths, licenses, mixing, mixing_lm, neighbours, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_collision_counting": neighbours.op1_collision_counting,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_license_scans": licenses.op5_license_scans,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_personal_data": pii.op7_personal_data,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_context_mixing": mixing_lm.op10_context_mixing,
