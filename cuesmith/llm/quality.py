@@ -21,6 +21,8 @@ STEPS = 3
 CUTOFF = 43.0
 #: A group of fewer documents takes the estimate of its language, and that one the estimate of all.
 MIN_GROUP = 50
+#: Rows of estimates, one for each group, up to which they are broadcast: a few MB.
+MOST_BROADCAST = 20_000
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -154,6 +156,11 @@ def _moments(rows: DataFrame) -> DataFrame:
     return _factor(sums.select("g", *[f"m_{a}" for a in names], *cov))
 
 
+def _small(params: DataFrame) -> DataFrame:
+    """Marked for a broadcast if it has few enough rows; else joins shuffle."""
+    return F.broadcast(params) if params.count() <= MOST_BROADCAST else params
+
+
 def estimates(vectors: DataFrame) -> DataFrame:
     """``vectors(g, z_*)`` -> for each g the minimum-covariance-determinant centre m_* and factor l_*_*.
 
@@ -164,7 +171,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
     """
     names = list(FLOORS)
     mid = materialize(vectors.groupBy("g").agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in names]))
-    wide = vectors.join(mid, "g").groupBy("g").agg(
+    wide = vectors.join(_small(mid), "g").groupBy("g").agg(
         *[
             F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000), F.lit(FLOORS[a])).alias(
                 f"l_{a}_{a}"
@@ -176,9 +183,9 @@ def estimates(vectors: DataFrame) -> DataFrame:
     zero = {f"l_{a}_{b}": F.lit(0.0) for i, a in enumerate(names) for b in names[:i]}
     now = materialize(wide.withColumns(zero))
     for _ in range(STEPS):
-        far = vectors.join(now, "g").withColumn("d2", _distance())
+        far = vectors.join(_small(now), "g").withColumn("d2", _distance())
         near = materialize(far.groupBy("g").agg(F.percentile_approx("d2", SHARE, 1000).alias("most")))
-        now = materialize(_moments(far.join(near, "g").where("d2 <= most")))
+        now = materialize(_moments(far.join(_small(near), "g").where("d2 <= most")))
     return now
 
 
@@ -208,12 +215,12 @@ def verdicts(docs: DataFrame) -> DataFrame:
         )
     )
     # Each document counts in its own group, in its language and in all, where those are somebody's estimate.
-    asked = groups.select("g").distinct()
+    asked = _small(groups.select("g").distinct())
     levels = F.explode(F.array("g2", "g1", F.lit("all"))).alias("g")
     vectors = materialize(passed.select(levels, *FLOORS).join(asked, "g", "left_semi"))
     found = estimates(vectors)
-    of = groups.join(found, "g", "left").drop("g", "g1")
-    far = keyed.join(of, "g2", "left").withColumn("distance", _distance())
+    of = materialize(groups.join(found, "g", "left").drop("g", "g1"))
+    far = keyed.join(_small(of), "g2", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return far.select("doc_id", "row", *STATS, "base_failed", "distance", kept.alias("kept"))
 
