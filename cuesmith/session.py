@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +25,21 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(os.path.abspath(at))
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = os.environ.setdefault("CUESMITH_TEST_SHARED", tempfile.mkdtemp(prefix="cuesmith-"))
+    return at.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write to the shared folder and read again, so a lost executor loses no finished work."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cuesmith/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
