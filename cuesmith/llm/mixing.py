@@ -13,6 +13,7 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Words in a block, and about how many in a shard. A source has at most MAX_SHARDS shards, of like size.
 BLOCK, SHARD_WORDS, MAX_SHARDS = 16, 1 << 20, 65_536
 SEED = 42
+OUTPUT = ("size", "source_size", "target", "times", "part_from", "part_to", "taken")
 
 
 def _key(source: str = "source") -> Column:
@@ -112,8 +113,11 @@ def mix(docs: DataFrame) -> DataFrame:
     run is its words part_from to part_to (from 0, end exclusive), so few documents are cut. taken is
     times * size plus that part. Sizes of null texts are 0 and nothing is taken of them. Rows that share an id
     are dealt with one by one; the order is settled by id, size and a hash of the row, so reruns agree.
-    Null sources are one source, the last. An empty table gives no rows.
+    Null sources are one source, the last. An empty table gives no rows. Columns of docs that are named like
+    one of the seven are replaced by it.
     """
+    clash = {c: f"__own_{c}" for c in docs.columns if c in ("n_shards", "lo", "hi")}
+    names, docs = [c for c in docs.columns if c not in OUTPUT], docs.drop(*OUTPUT).withColumnsRenamed(clash)
     h = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"))
     size = n_words(F.coalesce("text", F.lit("")))
     sizes = materialize(docs.select(_key().alias("src"), h.alias("h"), size.alias("size")))
@@ -136,7 +140,7 @@ def mix(docs: DataFrame) -> DataFrame:
             "part_to": F.coalesce(part("hi"), F.lit(0)).cast("long"),
         }
     ).withColumn("taken", (F.col("times") * F.col("size") + F.col("part_to") - F.col("part_from")).cast("long"))
-    return cut.select(*docs.columns, "size", "source_size", "target", "times", "part_from", "part_to", "taken")
+    return cut.select(*[F.col(clash.get(c, c)).alias(c) for c in names], *OUTPUT)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -144,8 +148,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A part is the text from the end of the word before it to the end of its last word; n_chars follows.
     """
-    own = ["size", "source_size", "target", "times", "part_from", "part_to", "taken"]
-    kept = {c: f"__own_{c}" for c in docs.columns if c in own}  # columns of the caller with our names
+    kept = {c: f"__kept_{c}" for c in docs.columns if c in OUTPUT}  # columns of the caller with our names
     found = mix(docs.withColumnsRenamed(kept)).where("taken > 0")
     whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("times").cast("int"))
     part = F.when(F.col("part_to") > F.col("part_from"), F.array(F.struct(F.col("part_from").alias("a"), F.col("part_to").alias("b"))))

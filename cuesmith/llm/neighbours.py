@@ -127,11 +127,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, column: str = "
     it in THRESHOLD of the projections make up VERIFY of the block; those are verified by the exact inner
     product, in double precision. A row isn't its query's own candidate. Equal vectors collide alike, so copies
     stand or fall together; ties go to the smaller vec_id; fewer than k candidates are all returned. Vectors
-    that are null, zero or hold a null or non-finite component take no part. Rows that repeat an id count once
-    each. No vectors, or no queries, give no rows.
+    that are null, zero or hold a null or non-finite component take no part. Rows that repeat an id count once,
+    with the least of their vectors. No vectors, or no queries, give no rows; other columns are ignored.
     """
-    good = materialize(_valid(vectors, column).select("vec_id", F.col(column).alias("v")))
-    asked = materialize(_valid(queries, column).select(F.col("vec_id").alias("query_id"), F.col(column).alias("v")))
+    once = lambda df: _valid(df, column).groupBy("vec_id").agg(F.min(column).alias("v"))
+    good = materialize(once(vectors))
+    asked = materialize(once(queries).withColumnRenamed("vec_id", "query_id"))
     n_rows = max(1, -(-good.count() // BLOCK_ROWS))
     n_queries = max(1, -(-asked.count() // BLOCK_QUERIES))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

@@ -86,7 +86,7 @@ def test_nearest_recall_and_scores(spark, sf_dir):
 
 def test_nearest_awkward_vectors(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [float("inf"), 1.0]), (120, []), (None, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(rows + rows[:1], "vec_id long, embedding array<float>").withColumn("query_id", F.lit(1))
     got = neighbours.nearest(df.where("vec_id % 20 = 0"), df, k=20).toPandas()
     want = _nearest({i: np.array(v) for i, v in rows[:40]}, 20)
     assert {q: g.sort_values("rank")["vec_id"].tolist() for q, g in got.groupby("query_id")} == {q: [i for i, _ in xs] for q, xs in want.items()}
@@ -219,7 +219,7 @@ def test_sainte_lague_equals_highest_quotients(spark):
 
 
 def test_mix_of_awkward_rows(odd):
-    found = mixing.mix(odd.drop("size", "taken")).toPandas()
+    found = mixing.mix(odd.withColumn("lo", F.lit(1)).withColumn("target", F.lit(1))).toPandas()
     assert len(found) == odd.count() and (found["taken"] <= 2 * found["size"]).all()
     mixed = mixing.mixed_documents(odd)
     assert mixed.columns == odd.columns and {r["size"] for r in mixed.collect()} == {"9"}
