@@ -140,7 +140,8 @@ def _parser(banners: tuple[str, ...]):
         for pages in parts:
             yield pd.DataFrame([parse(x, banners) for x in pages], columns=["text", "cards", "links"])
 
-    return run
+    # So that no filter or generator above pulls the call in and parses pages a second time.
+    return run.asNondeterministic()
 
 
 def parse_page(html: Column, profile: SiteProfile = DEFAULT) -> Column:

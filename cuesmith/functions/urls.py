@@ -71,7 +71,7 @@ def _resolver():
             found = [resolve(x, y) or (None,) * 4 for x, y in zip(links, bases, strict=True)]
             yield pd.DataFrame(found, columns=["url", "scheme", "host", "path"])
 
-    return run
+    return run.asNondeterministic()  # evaluated once, where it stands
 
 
 def resolve_url(link: Column, base: Column) -> Column:

@@ -37,7 +37,8 @@ def parse_hits(pages: DataFrame, profile: SiteProfile = DEFAULT, html: str = "ht
     site and carries an id. Pages are parsed once each; nothing is shuffled. Null pages give no rows.
     """
     keep = [c for c in pages.columns if c != html]
-    cards = pages.select(*keep, F.posexplode(parse_page(F.col(html), profile)["cards"]).alias("pos", "card"))
+    parsed = pages.select(*keep, parse_page(F.col(html), profile).alias("__page"))
+    cards = parsed.select(*keep, F.posexplode("__page.cards").alias("pos", "card"))
     text = normalize_text(F.col("card.text"))
     anchor = F.get(F.filter("card.anchors", lambda a: F.contains(a["href"], F.lit("/sub/"))), F.lit(0))
     wanted = only_srt(
@@ -57,7 +58,8 @@ def parse_hits(pages: DataFrame, profile: SiteProfile = DEFAULT, html: str = "ht
 def page_links(pages: DataFrame, html: str = "html", url: str = "url", profile: SiteProfile = DEFAULT) -> DataFrame:
     """Pages -> a row for each link that resolves, in order by ``pos``: ``link`` with url, scheme, host and path."""
     keep = [c for c in pages.columns if c != html]
-    links = pages.select(*keep, F.posexplode(parse_page(F.col(html), profile)["links"]).alias("pos", "href"))
+    parsed = pages.select(*keep, parse_page(F.col(html), profile).alias("__page"))
+    links = parsed.select(*keep, F.posexplode("__page.links").alias("pos", "href"))
     useful = links.where("href <> '' and href <> '#'")
     return useful.withColumn("link", resolve_url(F.col("href"), F.col(url))).where("link.url is not null").drop("href")
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import looks_like_srt
 from ..profile import DEFAULT, SiteProfile
+from ..session import materialize
 
 # --- Text ---------------------------------------------------------------------------------------------------------
 
@@ -369,17 +370,19 @@ def extract_first_srt(archives: DataFrame, profile: SiteProfile = DEFAULT, rar_e
     Payloads that look like subtitles are taken as they are, archives give their first subtitle.
     """
     keyed = archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content")
-    known = decode_bytes(keyed, "content")
+    head = F.hex(F.substring("content", 1, 8))
+    packed_ = F.coalesce(head.startswith("504B0304") | head.startswith("504B0506") | head.startswith("526172211A0700") | head.startswith("526172211A070100"), F.lit(False))
+    # Only what is no archive is decoded.
+    known = decode_bytes(keyed.where(~packed_), "content")
     kinds = known.withColumn("kind", sniff_payload(F.col("content"), F.col("text"), profile))
-    plain = kinds.where("kind in ('srt', 'unsupported')").select(
+    plain = kinds.select(
         "archive_id",
         F.when(F.col("kind") == "srt", "subtitle.srt").alias("name"),
         F.when(F.col("kind") == "srt", F.col("content")).alias("data"),
         F.when(F.col("kind") != "srt", "Unsupported archive format").alias("problem"),
     )
-    head = F.hex(F.substring("content", 1, 4))
-    packed = keyed.where(head.isin("504B0304", "504B0506", "52617221"))
-    entries = list_entries(packed)
+    packed = keyed.where(packed_)
+    entries = materialize(list_entries(packed))
     guard = guard_entry_count(entries, profile.max_entries)
     picks = first_srt(entries.where("problem is null"))
     taken = extract_entry(packed, picks.join(guard.where("problem is null").select("archive_id"), "archive_id", "left_semi"), profile, rar_extractor)
