@@ -29,9 +29,9 @@ _ONCLICK = re.compile(r"""location\.href\s*=\s*['"]([^'"]+)['"]""")
 
 
 class _Page(HTMLParser):
-    def __init__(self, banners: tuple[str, ...]) -> None:
+    def __init__(self, profile: SiteProfile) -> None:
         super().__init__(convert_charrefs=True)
-        self.banners = banners
+        self.profile = profile
         self.open: list[dict] = [{"tag": "", "classes": (), "id": None, "last": ()}]
         self.text: list[str] = []
         self.cards: list[dict] = []
@@ -67,10 +67,10 @@ class _Page(HTMLParser):
             at.setdefault(k, v or "")
         parent, classes = self.open[-1], tuple(at.get("class", "").split())
         e = {"tag": tag, "classes": classes, "id": at.get("id"), "last": (), "sinks": []}
-        e["titled"] = "sublist_box_title_l" in parent["last"] or parent.get("titled", False)
-        e["meta"] = e["id"] == "meta_top" or parent.get("meta", False)
+        e["titled"] = self.profile.version_title_class in parent["last"] or parent.get("titled", False)
+        e["meta"] = e["id"] == self.profile.version_box or parent.get("meta", False)
         e["cards"] = parent.get("cards", ())
-        if "subitem" in classes and "resultcard" in parent["classes"] and e["id"] not in self.banners:
+        if self.profile.card_class in classes and self.profile.results_class in parent["classes"] and e["id"] not in self.profile.banners:
             card = {"text": [], "anchors": [], "meta": None, "titled": None}
             self.cards.append(card)
             e["cards"] = (*e["cards"], card)
@@ -114,8 +114,8 @@ class _Page(HTMLParser):
                 sink.append(data)
 
 
-def parse(html: str | None, banners: tuple[str, ...] = DEFAULT.banners) -> dict:
-    page = _Page(banners)
+def parse(html: str | None, profile: SiteProfile = DEFAULT) -> dict:
+    page = _Page(profile)
     page.feed(html or "")
     page.close()
     joined = "".join
@@ -134,11 +134,11 @@ def parse(html: str | None, banners: tuple[str, ...] = DEFAULT.banners) -> dict:
 
 
 @functools.lru_cache(8)
-def _parser(banners: tuple[str, ...]):
+def _parser(profile: SiteProfile):
     @F.pandas_udf(PAGE)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for pages in parts:
-            yield pd.DataFrame([parse(x, banners) for x in pages], columns=["text", "cards", "links"])
+            yield pd.DataFrame([parse(x, profile) for x in pages], columns=["text", "cards", "links"])
 
     # So that no filter or generator above pulls the call in and parses pages a second time.
     return run.asNondeterministic()
@@ -146,7 +146,7 @@ def _parser(banners: tuple[str, ...]):
 
 def parse_page(html: Column, profile: SiteProfile = DEFAULT) -> Column:
     """Visible text, result cards and links (hrefs, then onclick targets, anchor by anchor) of a page, parsed once."""
-    return _parser(profile.banners)(html)
+    return _parser(profile)(html)
 
 
 def visible_text(html: Column, profile: SiteProfile = DEFAULT) -> Column:

@@ -40,7 +40,7 @@ def parse_hits(pages: DataFrame, profile: SiteProfile = DEFAULT, html: str = "ht
     parsed = pages.select(*keep, parse_page(F.col(html), profile).alias("__page"))
     cards = parsed.select(*keep, F.posexplode("__page.cards").alias("pos", "card"))
     text = normalize_text(F.col("card.text"))
-    anchor = F.get(F.filter("card.anchors", lambda a: F.contains(a["href"], F.lit("/sub/"))), F.lit(0))
+    anchor = F.get(F.filter("card.anchors", lambda a: F.contains(a["href"], F.lit(profile.detail_mark))), F.lit(0))
     wanted = only_srt(
         cards.select(*keep, "pos", text.alias("__text"), anchor.alias("__a"), F.col("card.b_version").alias("__b")).withColumn(
             "format", labeled_value(F.col("__text"), profile.format_label, profile)

@@ -25,6 +25,11 @@ class SiteProfile:
     date_labels: tuple[str, ...] = ("日期", "发布时间")
     wanted_format: str = "subrip(srt)"
     banners: tuple[str, ...] = ("top-banner", "bottom-banner")
+    results_class: str = "resultcard"
+    card_class: str = "subitem"
+    version_box: str = "meta_top"
+    version_title_class: str = "sublist_box_title_l"
+    detail_mark: str = "/sub/"
     max_page_bytes: int = 4 * MIB
     max_archive_bytes: int = 16 * MIB
     max_srt_bytes: int = 32 * MIB
