@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize  # noqa: F401 - the operators take it from here
+
 #: A word: a run of characters other than space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -28,26 +27,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = os.environ.setdefault("CUESMITH_TEST_SHARED", tempfile.mkdtemp(prefix="cuesmith-"))
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder and read again, so a lost executor loses no finished work."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cuesmith/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
