@@ -107,6 +107,29 @@ def harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workloads.harvest_pages(captures.unionByName(large), SITE)
 
 
+@_query(
+    "SELECT o_custkey AS search_id, CAST(1 + o_custkey % 2 AS INTEGER) AS page_no, pos, id, title, version, format, language, date, detail_url "
+    f"FROM ({_HITS}) WHERE o_custkey % 11 <> 0"
+)
+def harvest_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches to hits: page 1 or 2 of each customer's, a seventh of them behind a redirect, an eleventh not found."""
+    key = F.col("o_custkey")
+    found = _result_pages(_table(spark, sf_dir, "orders")).withColumns({"q": _text("a & b ", _s("o_custkey")), "page": (1 + key % 2).cast("string")})
+    url, moved = urls.search_url(F.col("q"), 1 + key % 2, SITE), _text(f"{SITE.origin}/moved/", _s("o_custkey"))
+    away = key % 7 == 0
+    none = F.lit(None).cast("string")
+    body = F.when(key % 11 != 0, F.encode("html", "UTF-16LE"))
+    shape = lambda at, status, location, body: found.select(
+        "o_custkey", at.alias("url"), status.alias("status"), location.alias("location"), F.lit(None).cast("long").alias("content_length"), body.alias("body")
+    )
+    body = F.concat(F.unhex(F.lit("FFFE")), body)
+    status = F.when(key % 11 == 0, 404).otherwise(200)
+    first = shape(url, F.when(away, 302).otherwise(status), F.when(away, _text("/moved/", _s("o_custkey"))), F.when(~away, body))
+    captures = first.unionByName(shape(moved, status, none, body).where(away)).drop("o_custkey")
+    searches = found.select(key.alias("search_id"), "q", "page")
+    return workloads.harvest_searches(searches, captures, SITE)[0]
+
+
 @_query(
     f"""SELECT o_custkey, '[' || string_agg('{{"id":"' || id || '","title":"' || title || '","version":"' || version || '","format":"' || format
 || '","language":"' || language || '","date":"' || date || '","detailUrl":"' || detail_url || '"}}', ',' ORDER BY pos) || ']' AS hits
