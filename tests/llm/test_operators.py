@@ -407,3 +407,30 @@ def test_language_model_of_awkward_rows(odd):
     got = mixing_lm.score(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r["score"]) for r in got)
     assert {r["n_tokens"] for r in got if r["doc_id"] in (0, 1, 2)} == {1}
+
+
+def test_whole_word_context_learns_every_training_word(spark):
+    random.seed(11)
+    made = sorted({"".join(random.choice("abc") for _ in range(random.randrange(1, 12))) for _ in range(3000)})
+    rows = [(w, i % 4) for i, w in enumerate(made)]  # every fourth is in no training text
+    df = mixing_lm._grouped(spark.createDataFrame(rows, "word string, train long").repartition(5))
+    parts = [p.toPandas() for p in (df.where(F.spark_partition_id() == i) for i in range(4))]
+    frames = [f for p in parts for f in mixing_lm._whole_groups(iter([p.iloc[i : i + 50] for i in range(0, len(p), 50)]))]
+    assert sorted(w for f in frames for w in f["word"]) == made
+    after = Counter()
+    for w, n in rows:
+        for i in range(len(w) + 1):
+            after[w[:i]] += n
+    mixer = mixing_lm.Mixer(np.zeros(mixing_lm.SHARED, np.float32), np.zeros(mixing_lm.SHARED, np.float32))
+    for f in frames:
+        words = f["word"].tolist()
+        mixer.meet(words, f["train"].to_numpy(float))
+        bits = mixing_lm.Bits(words, mixer.own_bits)
+        first = bits.slots[4][:, 0]  # the root of each byte's tree: how often its context was met
+        seen, at = (mixer.zeros + mixer.ones)[first], 0
+        for w in words:
+            for i in range(len(w) + 1):
+                assert i < mixing_lm.HEAD or seen[at] >= after[w[:i]]
+                at += 1
+        total = (mixer.zeros + mixer.ones)[mixing_lm.SHARED :].sum()
+        assert total == 8 * sum(n * max(len(w) + 1 - mixing_lm.HEAD, 0) for w, n in zip(words, f["train"], strict=True))
