@@ -168,29 +168,32 @@ def links(distinct: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``doc_id, row, fp, component_id``.
+    """One row per row of ``docs(doc_id, text)``: ``doc_id, row, fp, part, component_id``.
 
     Documents link when their fingerprints differ in 3 bits or fewer; component_id is the smallest doc_id
-    that a document reaches over links, its own included. Null and empty texts have fingerprint zero and link
+    that a document reaches over links, its own included, and part the smallest fingerprint. Fingerprints are
+    what is linked, so unrelated texts stay apart where they have one doc_id or none. Null and empty texts have fingerprint zero and link
     like others. Copies meet by their fingerprint before any pairing, so a large group of copies is one row.
     A row without a doc_id gets its component's id, null if that holds no id. An empty table gives no rows;
     extra columns are ignored.
     """
     prints = materialize(fingerprints(docs))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    parts = connected_components(links(distinct.where("node is not null"), shard_limit))
-    of = distinct.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "row", "fp", "component_id")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")))
+    parts = connected_components(links(distinct.select("fp", "node"), shard_limit))
+    of = distinct.join(parts, "node", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    ids = of.groupBy("part").agg(F.min("least").alias("component_id"))
+    return prints.join(of.join(ids, "part").drop("least"), "fp").select("doc_id", "row", "fp", "part", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keep the row with the smallest doc_id (then row hash) of each component, with the columns of ``docs``.
 
-    Rows without a doc_id are kept only if nothing with an id is in their group. Repeated rows count as copies.
+    A component is a group of linked fingerprints, whatever their ids. Rows without a doc_id are kept only if
+    nothing with an id is in their group. Repeated rows count as copies.
     """
     found = near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    stay = found.groupBy("component_id").agg(first.alias("f")).select(
+    stay = found.groupBy("part").agg(first.alias("f")).select(
         F.coalesce("f.doc_id", F.lit(-(2**63))).alias("__id"), F.col("f.row").alias("__row")
     )
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-(2**63))), "__row": row_hash(docs)})

@@ -157,6 +157,16 @@ def test_near_duplicates_of_awkward_rows(odd):
     assert len(ids) == len(set(ids)) == len({r["component_id"] for r in got}) and {0, 5}.issubset(ids) and not {1, 2, 6} & set(ids)
 
 
+def test_unrelated_texts_stay_with_one_id_or_none(spark):
+    prose = lambda c: " ".join(f"{c}{i * i % 97}" for i in range(200))
+    rows = [(None, prose("a")), (None, prose("b")), (None, prose("b")), (7, prose("c")), (7, prose("d")), (8, prose("d")), (9, prose("c")), (None, prose("c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["text"], r["doc_id"]) for r in simhash.drop_near_duplicates(df).collect())
+    assert kept == [(prose("a"), None), (prose("b"), None), (prose("c"), 7), (prose("d"), 7)]
+    found = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert sorted(found.values(), key=str) == [7, 7, 7, 7, 7, None, None]
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 
