@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -70,45 +72,89 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _EDGE = ".,;:!?\"'()[]{}<>|*&%$#"
 
 
-def _neighbours(text: str, a: int, b: int) -> tuple[str | None, str | None]:
-    """The word before and the word after, on the same line, ASCII-lower-cased; null at a line's edge."""
-    lo = text.rfind("\n", 0, a) + 1
-    left = text[max(lo, a - 80) : a].rstrip("\t\x0b\x0c\r ")
-    cut = max((left.rfind(c) for c in "\t\x0b\x0c\r "), default=-1)
-    before = left[cut + 1 :] if left and (cut >= 0 or a - 80 <= lo) else None
-    hi = text.find("\n", b)
-    right = text[b : min(hi if hi >= 0 else len(text), b + 80)]
-    # The rest of the identifier's own word isn't its neighbour.
-    m = re.match(r"[^\x20\x09-\x0D]*[\x20\x09\x0B-\x0D]+([^\x20\x09-\x0D]+)", right)
-    after = m[1] if m and (m.end() < len(right) or len(right) < 80) else None
-    return (before.lower() if before else None), (after.lower() if after else None)
+#: What parts the pieces of a token: CSV rows, minified JSON, query strings.
+_CUT = r",;:=|&?<>{}\[\]\"'/()#*!$~^`\\"
+_SIGNS = frozenset(",;:=|&?<>{}[]\"'/()#*!$~^`\\")
+_PIECE = re.compile(rf"[^\x20\x09-\x0D{_CUT}]++")
+_INNER = re.compile(rf"[{_CUT}]")
+#: Tokens of digits and their punctuation that follow each other on a line, each but for one space or tab.
+_NUMBERS = re.compile(r"(?<![^\x20\x09-\x0D])[0-9().+/-]*+(?<=[0-9().+/-])(?:[\x20\t][0-9().+/-]++)+(?![^\x20\x09-\x0D.,;:!?])")
+_TOKEN_END = re.compile(r"[\x20\x09-\x0D]|\Z")
+_NEXT = re.compile(r"[\x20\x09\x0B-\x0D]+([^\x20\x09-\x0D]+)")
+
+
+def _word_before(text: str, a: int) -> tuple[int, int] | None:
+    """The last word that ends before the place a, on its line."""
+    while a and text[a - 1] in "\t\x0b\x0c\r ":
+        a -= 1
+    b = a
+    while a and text[a - 1] not in _SPACES:
+        a -= 1
+    return (a, b) if a < b else None
+
+
+def _neighbours(text: str, a: int, b: int) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
+    """Places of the neighbours on the same line; none at a line's edge.
+
+    Within a token these are the piece before with the signs between, and the signs with the piece after; at a
+    token's edge the next word is. What touches an identifier without a sign is before it, and never after it.
+    """
+    lo = a
+    while lo and text[lo - 1] in _SIGNS:
+        lo -= 1
+    x = lo
+    while x and text[x - 1] not in _SIGNS and text[x - 1] not in _SPACES:
+        x -= 1
+    before = (x, a) if x < lo else _word_before(text, lo)
+    hi = b
+    while hi < len(text) and text[hi] in _SIGNS:
+        hi += 1
+    m = _PIECE.match(text, hi) if b < hi else None
+    n = None if m else _NEXT.match(text, _TOKEN_END.search(text, hi).start())
+    return before, (b, m.end()) if m else n.span(1) if n else None
+
+
+def _is_identifier(s: str) -> bool:
+    return sum("0" <= c <= "9" for c in s) >= MIN_DIGITS or bool(re.fullmatch(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++", s))
+
+
+def _core(text: str, a: int, b: int) -> tuple[int, int]:
+    s = text[a:b]
+    n = len(s) - len(s.lstrip(_EDGE))
+    return a + n, a + max(n, len(s.rstrip(_EDGE)))
 
 
 def identifiers(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Tokens that look like identifiers and meet no span of the fixed rules, without punctuation at their edges."""
-    found, at = [], 0
+    """(start, end) of what looks like an identifier and meets no span of the fixed rules.
+
+    These are runs of numbers, as of a phone number in groups, tokens, and the pieces of tokens that hold signs such as
+    comma, quote, colon and =, of any length; each without punctuation at its edges.
+    """
+    found = []
+    for m in _NUMBERS.finditer(text):
+        a, b = _core(text, *m.span())
+        if any(c in " \t" for c in text[a:b]):
+            found.append((a, b))
     for m in _REST.finditer(text):
         a, b = m.span()
         while a and text[a - 1] not in _SPACES:
             a -= 1
-        s = text[a:b]
-        core = s.strip(_EDGE)
-        if not core:
-            continue
-        a += s.index(core)
-        b = a + len(core)
-        while at < len(base) and base[at][1] <= a:
-            at += 1
-        if any(x < b and a < y for x, y, _ in base[at : at + 4]) or len(core) > 64:
-            continue
-        n = sum("0" <= c <= "9" for c in core)
-        if n >= MIN_DIGITS or re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", core):
-            found.append((a, b))
-    return found
+        a, b = _core(text, a, b)
+        found.append((a, b))
+        if _INNER.search(text, a, b):
+            found += [_core(text, *p.span()) for p in _PIECE.finditer(text, a, b)]
+    starts = [a for a, _, _ in base]
+    ends = list(itertools.accumulate((b for _, b, _ in base), max))  # so far, as spans of several kinds can overlap
+    out = []
+    for a, b in dict.fromkeys(found):
+        before = bisect.bisect_left(starts, b)  # spans that start before the end
+        if a < b and not (before and ends[before - 1] > a) and _is_identifier(text[a:b]):
+            out.append((a, b))
+    return out
 
 
 _SPAN = "struct<start: bigint, end: bigint, kind: string>"
-_ITEM = "struct<start: bigint, end: bigint, kind: string, value: string, before: string, after: string>"
+_ITEM = "struct<start: bigint, end: bigint, kind: string, value: string, before: string, after: string, n_before: int, n_after: int>"
 
 
 @functools.cache
@@ -121,10 +167,15 @@ def _scan():
                 text = text or ""
                 base = base_spans(text)
                 named = [{"start": a, "end": b, "kind": k} for a, b, k in base]
-                items = []
+                items, filled = [], set()
                 for a, b, k in [*base, *((a, b, None) for a, b in identifiers(text, base))]:
-                    before, after = _neighbours(text, a, b)
-                    items.append({"start": a, "end": b, "kind": k, "value": text[a:b], "before": before, "after": after})
+                    item = {"start": a, "end": b, "kind": k, "value": text[a:b]}
+                    for side, at in zip(("before", "after"), _neighbours(text, a, b), strict=True):
+                        # Of several readings of one place, the first counts as what fills it.
+                        item[side] = text[slice(*at)].lower() if at else None
+                        item[f"n_{side}"] = int(bool(at) and (k is not None or (side, at) not in filled))
+                        filled.add((side, at))
+                    items.append(item)
                 rows.append((named, items))
             yield pd.DataFrame(rows, columns=["base", "items"])
 
@@ -137,10 +188,14 @@ def _contexts(items: DataFrame, *keep: str) -> DataFrame:
         *keep,
         F.explode(
             F.filter(
-                F.array(F.concat(F.lit("<"), "before"), F.concat(F.lit(">"), "after")), lambda x: x.isNotNull()
+                F.array(
+                    F.struct(F.concat(F.lit("<"), "before").alias("pattern"), F.col("n_before").alias("n")),
+                    F.struct(F.concat(F.lit(">"), "after").alias("pattern"), F.col("n_after").alias("n")),
+                ),
+                lambda x: x["pattern"].isNotNull(),
             )
-        ).alias("pattern"),
-    )
+        ).alias("c"),
+    ).select(*keep, "c.pattern", "c.n")
 
 
 def trusted_patterns(items: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +206,7 @@ def trusted_patterns(items: DataFrame, docs: DataFrame) -> tuple[DataFrame, Data
     confidence is one minus the product of its trusted patterns' doubts. Patterns that even with every
     identifier right couldn't be trusted leave before the graph is built, so common words never become nodes.
     """
-    edges = _contexts(items, "kind", "value").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
+    edges = _contexts(items, "kind", "value").groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"))
     edges = materialize(edges)
     seeded = edges.groupBy("pattern").agg(
         F.sum("n").alias("filled"),
@@ -160,13 +215,18 @@ def trusted_patterns(items: DataFrame, docs: DataFrame) -> tuple[DataFrame, Data
     )
     asked = materialize(seeded.where(F.col("seeds") >= SUPPORT))
     # How often the pattern's word occurs at all: with a word after it, and before one.
+    # Within tokens: a piece and the signs after it, or the signs and the piece after them.
+    text = F.lower(F.coalesce("text", F.lit("")))
+    every = lambda x: F.regexp_extract_all(text, F.lit(x), F.lit(0))
+    one, signs = rf"[^\x20\x09-\x0D{_CUT}]++", f"[{_CUT}]++"
+    inner = F.concat(every(rf"{one}{signs}(?![\x20\x09-\x0D]|\z)"), every(rf"(?<![\x20\x09-\x0D{_CUT}]){signs}{one}"))
     counts = (
-        docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))).alias("word"))
+        docs.select(F.explode(F.concat(every(WORD), inner)).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("total"))
     )
     nodes = (
-        asked.withColumn("word", F.substring("pattern", 2, 1000))
+        asked.withColumn("word", F.expr("substring(pattern, 2)"))
         .join(counts, "word", "left")
         .select("pattern", "of", F.greatest("filled", F.coalesce("total", F.lit(0))).alias("total"), "filled")
     )

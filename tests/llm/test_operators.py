@@ -337,6 +337,24 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(got[i] == _personal(t) for i, t in seeds)
 
 
+def test_contexts_find_identifiers_in_groups_and_long_tokens(spark):
+    long = "q" * 100
+    seeds = [(i, f"phone: +1 (555) 555-01{i:02d} and after") for i in range(20)]
+    seeds += [(i, f'{{"id":"{long}","tel":"+1 (555) 555-01{i:02d}","end":1}}') for i in range(20, 40)]
+    seeds += [(i, f"{long} +1 (555) 555-01{i:02d} x{i}") for i in range(40, 60)]
+    unseen = {100: ("phone: 555 123 4567 there", "555 123 4567"), 101: (f'{{"id":"{long}","tel":"5551234567","end":1}}', "5551234567"), 102: (f"{long} 555-0199-77 y", "555-0199-77")}
+    df = spark.createDataFrame([*seeds, *((i, t) for i, (t, _) in unseen.items())], "doc_id long, text string")
+    got = {r["doc_id"]: {(x["start"], x["end"]) for x in r["spans"]} for r in pii.find_personal_data(df).collect()}
+    for i, (t, want) in unseen.items():
+        assert (t.index(want), t.index(want) + len(want)) in got[i], (i, got[i])
+
+
+def test_common_words_in_tokens_are_no_pattern(spark):
+    rows = [(i, f"a,tel=+1 (555) 555-01{i:02d}") for i in range(10)] + [(i, f"b,tel=none{i}x") for i in range(10, 90)] + [(99, "c,tel=5551234567")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99] == []
+
+
 def test_scans_keep_every_row(odd):
     for df in (pii.find_personal_data(odd), secrets.scan_secrets(odd)):
         assert df.count() == odd.count()
