@@ -38,6 +38,7 @@ ALLOW = (
 )
 ALLOW_BEFORE = re.compile(r"(?i)(?:base64,|integrity=[\"']?|https?://\S*)\Z")
 _RUNS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+_COUNTED = re.compile("|".join(_RUNS))
 
 _NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -72,25 +73,37 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates with a window of high entropy that aren't allowed and don't overlap what is taken."""
+    """Candidates, or what is left of them beside spans taken and counting runs, with a window of high entropy that aren't allowed."""
     found = []
     for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y, _ in taken):
+        if any(p.fullmatch(m[0]) for p in ALLOW) or ALLOW_BEFORE.search(text[max(0, m.start() - 64) : m.start()]):
             continue
-        s = m[0]
-        if not any(c.isdigit() for c in s) or len(set(s)) < 8 or any(p.fullmatch(s) for p in ALLOW):
-            continue
-        if ALLOW_BEFORE.search(text[max(0, a - 64) : a]) or any(run in s for run in _RUNS):
-            continue
-        mixed = any(c.islower() for c in s) and any(c.isupper() for c in s)
-        kind = "hex" if HEX_DIGITS.issuperset(s) else "mixed" if mixed else "base64"
-        if s.isdigit() or highest_entropy(s) < CLASSES[kind]:
-            continue
-        found.append((a, b, "entropy"))
+        runs = [(*r.span(), "") for r in _COUNTED.finditer(text, *m.span())]
+        for a, b in _free(*m.span(), taken + runs):
+            if b - a >= WINDOW and _random(text[a:b]):
+                found.append((a, b, "entropy"))
     return found
 
 
+def _free(a: int, b: int, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of a to b that no span takes."""
+    for x, y, _ in sorted(taken):
+        if x < b and a < y:
+            if a < x:
+                yield a, x
+            a = max(a, y)
+    if a < b:
+        yield a, b
+
+
+def _random(s: str) -> bool:
+    if not any(c.isdigit() for c in s) or len(set(s)) < 8 or any(p.fullmatch(s) for p in ALLOW):
+        return False
+    mixed = any(c.islower() for c in s) and any(c.isupper() for c in s)
+    kind = "hex" if HEX_DIGITS.issuperset(s) else "mixed" if mixed else "base64"
+    return not s.isdigit() and highest_entropy(s) >= CLASSES[kind]
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 

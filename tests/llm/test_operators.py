@@ -329,6 +329,15 @@ def test_secret_windows_and_redaction(odd):
     assert changed[12]["n_chars"] == len(changed[12]["text"]) and "AKIA" not in changed[12]["text"]
 
 
+def test_secrets_beside_runs_and_other_spans():
+    key = "9aF3kLm2Qx7Zp0Vt4Rb8Yc6W"
+    spans = lambda t: secrets.entropy_spans(t, secrets.base_spans(t))
+    assert spans(f"{key}0123456789") == [(0, 24, "entropy")]
+    assert spans(f"abcdefghijklmnopqrstuvwxyz{key}") == [(26, 50, "entropy")]
+    assert spans(f"{key}/AKIA{'Q7' * 8}") == [(0, 25, "entropy")]
+    assert spans(f"data:image/png;base64,{key}0123456789{key}") == []
+
+
 def test_contexts_find_unseen_identifiers(spark):
     seeds = [(i, f"text before\nphone: +1 (555) 555-01{i:02d} and after") for i in range(20)]
     unseen = [(100, "more text\nphone: 555-0199-77 there"), (101, "the number 555-0188-77 alone"), (102, "nothing here"), (103, "it was 123456 days")]
