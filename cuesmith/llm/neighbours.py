@@ -11,43 +11,50 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: Projections; share of them that a vector must collide in.
-PROJECTIONS, THRESHOLD = 64, 0.85
+PROJECTIONS, THRESHOLD = 64, 0.92
 #: Half the first window, in interquartile ranges of a projection; its growth from one round to the next.
-FIRST, GROWTH = 0.25, 1.25
-#: A block stops widening once VERIFY of its rows and k more have been verified.
-VERIFY = 0.15
+FIRST, GROWTH = 0.75, 1.08
+#: A query's windows stop widening once VERIFY of a block's rows and k more collide; those are verified.
+VERIFY = 0.08
 #: Vectors of a block, queries of a block.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4096
 #: Queries that are searched together.
 PART = 64
 EVERY = 20
 
 
+def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors over their largest absolute component, and the norms of the quotients: no square over- or underflows."""
+    most = np.abs(vectors).max(axis=1, keepdims=True)
+    shrunk = vectors / most
+    return shrunk, np.sqrt((shrunk**2).sum(axis=1))
+
+
 class SortedProjections:
-    """A block's vectors with one sorted array for each random projection.
+    """A block's vectors in one sorted array for each random projection.
 
     Largest inner product becomes nearest point: every vector gets one more coordinate that brings all to the
-    block's greatest norm, the query gets 0 there. Windows are centred on the query's own projection, not on a
-    grid, so widening them is the rehash. Each vector's place in each sorted array is kept too, as one of 256
-    slots of like size: it collides with a query where its slot meets the query's window.
+    block's greatest norm, the query gets 0 there. Projections are on orthogonal axes, as far as there are so many.
+    Windows are centred on the query's own projection, not on a grid, so widening them is the rehash. A row collides
+    in a projection where its place lies in the window. The windows that decide are wide, so what is counted, along
+    the sorted arrays, is the places outside them; a widening window only takes back what it adds.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 42) -> None:
         self.ids, self.vectors = ids, vectors
-        norms = np.sqrt((vectors**2).sum(axis=1))
+        scaled = vectors / np.abs(vectors).max()
+        norms = np.sqrt((scaled**2).sum(axis=1))
         self.scale = norms.max()
         lift = np.sqrt(np.maximum(0.0, self.scale**2 - norms**2))
-        self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        p = (np.column_stack([vectors, lift]) @ self.axes).T.copy()
-        order = np.argsort(p, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(p, order, 1)
-        self.slots = np.empty(p.shape, np.uint8)
-        np.put_along_axis(self.slots, order, self._slot(np.arange(len(ids)))[None, :], 1)
-        spread = np.subtract(*np.percentile(p, [75, 25], axis=1)).mean()
-        self.width = max(float(spread) * FIRST, 1e-9 * float(np.abs(p).max()), 1e-300)
-
-    def _slot(self, places: np.ndarray) -> np.ndarray:
-        return (places * 256 // len(self.ids)).astype(np.uint8)
+        rng, size = np.random.default_rng(seed), vectors.shape[1] + 1
+        axes = [np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(-(-PROJECTIONS // size))]
+        self.axes = np.column_stack(axes)[:, :PROJECTIONS]
+        p = (np.column_stack([scaled, lift]) @ self.axes).T
+        self.rough = scaled.astype(np.float32)
+        self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(p, self.order, 1)
+        spread = np.subtract(*np.percentile(self.sorted, [75, 25], axis=1)).mean()
+        self.width = max(float(spread) * FIRST, 1e-9)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and inner products of the k best among the verified, best first, ties to the smaller id.
@@ -56,7 +63,8 @@ class SortedProjections:
         only verifies more.
         """
         out, first = [], self.width
-        at = (queries * (self.scale / np.sqrt((queries**2).sum(axis=1)))[:, None]) @ self.axes[:-1]
+        shrunk, norms = _unit(queries)
+        at = (shrunk * (self.scale / norms)[:, None]) @ self.axes[:-1]
         for i in range(0, len(queries), PART):
             part = slice(i, i + PART)
             found, widths = self._search(query_ids[part], queries[part], at[part], k, first)
@@ -65,31 +73,54 @@ class SortedProjections:
                 first = max(first, float(np.median(widths)) / GROWTH)
         return out
 
+    def _windows(self, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place plus one of each query's window in each sorted array."""
+        lo = [np.searchsorted(s, x - width, "left") for s, x in zip(self.sorted, at.T, strict=True)]
+        hi = [np.searchsorted(s, x + width, "right") for s, x in zip(self.sorted, at.T, strict=True)]
+        return np.stack(lo, 1), np.stack(hi, 1)
+
+    def _count(self, slices: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate(slices), minlength=len(self.ids))
+
     def _search(self, query_ids, queries, at, k: int, width: float):
         n, out, widths = len(self.ids), [None] * len(queries), np.zeros(len(queries))
-        need, wanted = int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, int(VERIFY * n) + k + 1)
+        spare, wanted = PROJECTIONS - int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, int(VERIFY * n) + k + 1)
         open_ = np.arange(len(queries))
+        lo, hi = self._windows(at, width)
+        outside = {}
+        for q in open_:
+            tails = [o[:a] for o, a in zip(self.order, lo[q], strict=True)] + [o[b:] for o, b in zip(self.order, hi[q], strict=True)]
+            outside[q] = self._count(tails)
         while len(open_):
-            lo = np.stack([np.searchsorted(s, x - width, "left") for s, x in zip(self.sorted, at[open_].T, strict=True)], 1)
-            hi = np.stack([np.searchsorted(s, x + width, "right") for s, x in zip(self.sorted, at[open_].T, strict=True)], 1)
-            last = ((lo == 0) & (hi == n)).all(axis=1)
-            lo = self._slot(np.minimum(lo, n - 1))
-            size = np.maximum(self._slot(np.maximum(hi - 1, 0)), lo) - lo
             left = []
-            for i, q in enumerate(open_):
-                # Unsigned: slots below the window wrap round to large numbers.
-                inside = (self.slots - lo[i][:, None]) <= size[i][:, None]
-                found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need)
-                if len(found) < wanted and not last[i]:
+            for q in open_:
+                found = np.flatnonzero(outside[q] <= spare)
+                if len(found) < wanted and (lo[q].any() or (hi[q] < n).any()):
                     left.append(q)
                     continue
-                found = found[self.ids[found] != query_ids[q]]
-                scores = (self.vectors[found] * queries[q]).sum(axis=1)
-                best = np.lexsort((self.ids[found], -scores))[:k]
-                out[q], widths[q] = (self.ids[found[best]], scores[best]), width
+                del outside[q]
+                out[q], widths[q] = self._verified(found[self.ids[found] != query_ids[q]], queries[q], k), width
             open_, width = np.array(left, np.int64), width * GROWTH
+            if len(open_):
+                below, above = self._windows(at[open_], width)
+                for q, a, b in zip(open_, below, above, strict=True):
+                    added = [o[x:y] for o, x, y in zip(self.order, a, lo[q], strict=True)] + [o[x:y] for o, x, y in zip(self.order, hi[q], b, strict=True)]
+                    outside[q] -= self._count(added)
+                    lo[q], hi[q] = a, b
         return out, widths
 
+    def _verified(self, found: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the rows found, by exact products of those that rough ones leave in question."""
+        if len(found) > 4 * k:
+            unit = query / np.abs(query).max()
+            rough = self.rough[found] @ unit.astype(np.float32)
+            slack = 1e-5 * len(query) * float(self.scale)  # products of numbers up to 1, far above single precision's error
+            found = found[rough >= np.partition(rough, -k)[-k] - slack]
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (self.vectors[found] * query).sum(axis=1)
+        best = np.lexsort((self.ids[found], -scores))[:k]
+        return self.ids[found[best]], scores[best]
+
 
 def _valid(vectors: DataFrame, column: str) -> DataFrame:
     """Without vectors that are null, empty, zero, or hold a null or non-finite component."""
@@ -127,8 +158,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, column: str = "
     it in THRESHOLD of the projections make up VERIFY of the block; those are verified by the exact inner
     product, in double precision. A row isn't its query's own candidate. Equal vectors collide alike, so copies
     stand or fall together; ties go to the smaller vec_id; fewer than k candidates are all returned. Vectors
-    that are null, zero or hold a null or non-finite component take no part. Rows that repeat an id count once,
-    with the least of their vectors. No vectors, or no queries, give no rows; other columns are ignored.
+    that are null, zero or hold a null or non-finite component take no part. Norms may be as small or large as
+    doubles go: only the order within a block is scaled, scores are of the vectors as they are, infinite where the
+    product overflows; a score that is no number ranks last. Rows that repeat an id count once, with the least of
+    their vectors. No vectors, or no queries, give no rows; other columns are ignored.
     """
     once = lambda df: _valid(df, column).groupBy("vec_id").agg(F.min(column).alias("v"))
     good = materialize(once(vectors))
@@ -147,10 +180,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, column: str = "
         .cogroup(right.groupBy("qb", "rb"))
         .applyInPandas(search, "query_id long, vec_id long, score double")
     )
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    # NaN would be the largest.
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.isnan("score"), F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors.where(F.col("vec_id") % EVERY == 0), vectors)
