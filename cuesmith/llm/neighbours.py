@@ -14,8 +14,8 @@ from .common import materialize, table
 PROJECTIONS, THRESHOLD = 64, 0.92
 #: Half the first window, in interquartile ranges of a projection; its growth from one round to the next.
 FIRST, GROWTH = 0.75, 1.08
-#: A query's windows stop widening once VERIFY of a block's rows and k more collide; those are verified.
-VERIFY = 0.08
+#: A query's windows stop widening once VERIFY of a block's rows and SPARE * k more collide; those are verified.
+VERIFY, SPARE = 0.08, 6
 #: Vectors of a block, queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4096
 #: Queries that are searched together.
@@ -84,7 +84,7 @@ class SortedProjections:
 
     def _search(self, query_ids, queries, at, k: int, width: float):
         n, out, widths = len(self.ids), [None] * len(queries), np.zeros(len(queries))
-        spare, wanted = PROJECTIONS - int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, int(VERIFY * n) + k + 1)
+        spare, wanted = PROJECTIONS - int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, int(VERIFY * n) + SPARE * k + 1)
         open_ = np.arange(len(queries))
         lo, hi = self._windows(at, width)
         outside = {}
@@ -118,6 +118,10 @@ class SortedProjections:
             found = found[rough >= np.partition(rough, -k)[-k] - slack]
         with np.errstate(over="ignore", invalid="ignore"):
             scores = (self.vectors[found] * query).sum(axis=1)
+            over = ~np.isfinite(scores)  # beyond doubles, maybe on both sides: infinite with the product's own sign
+            if over.any():
+                signs = np.sign((_unit(self.vectors[found[over]])[0] * _unit(query[None])[0]).sum(axis=1))
+                scores[over] = np.where(signs == 0, 0.0, signs * np.inf)
         best = np.lexsort((self.ids[found], -scores))[:k]
         return self.ids[found[best]], scores[best]
 
@@ -159,8 +163,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, column: str = "
     product, in double precision. A row isn't its query's own candidate. Equal vectors collide alike, so copies
     stand or fall together; ties go to the smaller vec_id; fewer than k candidates are all returned. Vectors
     that are null, zero or hold a null or non-finite component take no part. Norms may be as small or large as
-    doubles go: only the order within a block is scaled, scores are of the vectors as they are, infinite where the
-    product overflows; a score that is no number ranks last. Rows that repeat an id count once, with the least of
+    doubles go: only the order within a block is scaled, scores are of the vectors as they are, infinite with the
+    product's sign where it overflows. Rows that repeat an id count once, with the least of
     their vectors. No vectors, or no queries, give no rows; other columns are ignored.
     """
     once = lambda df: _valid(df, column).groupBy("vec_id").agg(F.min(column).alias("v"))
@@ -180,8 +184,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, column: str = "
         .cogroup(right.groupBy("qb", "rb"))
         .applyInPandas(search, "query_id long, vec_id long, score double")
     )
-    # NaN would be the largest.
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.isnan("score"), F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, row_hash, small_batches, table
+from .common import WORD, ascii_lower, materialize, row_hash, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns start where a leftmost match can: at the head of a run of digits, at a plus sign, at an at sign. No run
@@ -27,9 +27,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _REST = re.compile(r"[0-9@][^\x20\x09-\x0D]*+")
 _SPACES = frozenset(" \t\n\x0b\x0c\r")
 MIN_DIGITS = 5
-#: A pattern is the word before an identifier (or the one after it); it is trusted if its confidence reaches
-#: MIN_PATTERN over SUPPORT distinct seeds, and what trusted patterns extract is taken from MIN_INSTANCE on.
-SUPPORT, MIN_PATTERN, MIN_INSTANCE, ROUNDS = 5, 0.5, 0.5, 3
+#: A pattern is a hull of one or two words that identifiers of a kind fill. It is trusted if SUPPORT distinct instances
+#: fill it, if instances make up MIN_PATTERN of the identifiers of their type that do, and if identifiers make up
+#: MIN_FILL of all that stands there in the corpus. Values of a confidence of MIN_INSTANCE are instances in turn.
+SUPPORT, MIN_PATTERN, MIN_FILL, MIN_INSTANCE, ROUNDS = 5, 0.5, 0.25, 0.5, 4
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def _luhn(digits: str) -> bool:
@@ -154,7 +156,33 @@ def identifiers(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 _SPAN = "struct<start: bigint, end: bigint, kind: string>"
-_ITEM = "struct<start: bigint, end: bigint, kind: string, value: string, before: string, after: string, n_before: int, n_after: int>"
+_HULL = "struct<pattern: string, words: array<string>, n: int>"
+_ITEM = f"struct<start: bigint, end: bigint, kind: string, type: string, value: string, hulls: array<{_HULL}>>"
+
+
+def _type(s: str) -> str:
+    """What a value is compared with: addresses, digits with their punctuation, all else."""
+    return "at" if "@" in s else "mixed" if any(c.isalpha() for c in s) else "digits"
+
+
+def hulls(text: str, a: int, b: int) -> list[tuple[str, list[str], tuple]]:
+    """The hulls around a place: pattern, its words as they are counted, and the place that is filled.
+
+    These are the word before, the two words before, the word after, and the words on both sides.
+    """
+    before, after = _neighbours(text, a, b)
+    out = []
+    low = lambda at: text[slice(*at)].translate(_LOWER)
+    if before:
+        one = low(before)
+        out.append(("<" + one, [one], ("<", before)))
+        if two := _word_before(text, before[0]):
+            out.append((f"<{low(two)} {one}", [low(two), one], ("<<", before)))
+    if after:
+        out.append((">" + low(after), [low(after)], (">", after)))
+        if before:
+            out.append((f"<{one} >{low(after)}", [one, low(after)], ("<>", before, after)))
+    return out
 
 
 @functools.cache
@@ -169,13 +197,12 @@ def _scan():
                 named = [{"start": a, "end": b, "kind": k} for a, b, k in base]
                 items, filled = [], set()
                 for a, b, k in [*base, *((a, b, None) for a, b in identifiers(text, base))]:
-                    item = {"start": a, "end": b, "kind": k, "value": text[a:b]}
-                    for side, at in zip(("before", "after"), _neighbours(text, a, b), strict=True):
+                    around = []
+                    for pattern, words, place in hulls(text, a, b):
                         # Of several readings of one place, the first counts as what fills it.
-                        item[side] = text[slice(*at)].lower() if at else None
-                        item[f"n_{side}"] = int(bool(at) and (k is not None or (side, at) not in filled))
-                        filled.add((side, at))
-                    items.append(item)
+                        around.append({"pattern": pattern, "words": words, "n": int(k is not None or place not in filled)})
+                        filled.add(place)
+                    items.append({"start": a, "end": b, "kind": k, "type": _type(text[a:b]), "value": text[a:b], "hulls": around})
                 rows.append((named, items))
             yield pd.DataFrame(rows, columns=["base", "items"])
 
@@ -183,81 +210,73 @@ def _scan():
 
 
 def _contexts(items: DataFrame, *keep: str) -> DataFrame:
-    """A row for each item and pattern: ``pattern`` is a side and a word, the hull that an identifier fills."""
-    return items.select(
-        *keep,
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(F.concat(F.lit("<"), "before").alias("pattern"), F.col("n_before").alias("n")),
-                    F.struct(F.concat(F.lit(">"), "after").alias("pattern"), F.col("n_after").alias("n")),
-                ),
-                lambda x: x["pattern"].isNotNull(),
-            )
-        ).alias("c"),
-    ).select(*keep, "c.pattern", "c.n")
-
+    """A row for each item and hull."""
+    return items.select(*keep, F.explode("hulls").alias("h")).select(*keep, "h.pattern", "h.words", "h.n")
 
-def trusted_patterns(items: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``items(kind, value, before, after)`` -> trusted ``pattern, kind, confidence`` and ``value, kind, confidence``.
 
-    Values of the fixed rules are seeds, with confidence 1. Each round a pattern's confidence is that of the
-    values it extracts, counted with their occurrences, over all words that fill its place in the corpus; a value's
-    confidence is one minus the product of its trusted patterns' doubts. Patterns that even with every
-    identifier right couldn't be trusted leave before the graph is built, so common words never become nodes.
-    """
-    edges = _contexts(items, "kind", "value").groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"))
-    edges = materialize(edges)
-    seeded = edges.groupBy("pattern").agg(
-        F.sum("n").alias("filled"),
-        F.count("kind").alias("seeds"),
-        F.mode("kind", True).alias("of"),
-    )
-    asked = materialize(seeded.where(F.col("seeds") >= SUPPORT))
-    # How often the pattern's word occurs at all: with a word after it, and before one.
-    # Within tokens: a piece and the signs after it, or the signs and the piece after them.
-    text = F.lower(F.coalesce("text", F.lit("")))
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """``word, total``: how often each word occurs, and within tokens each piece with the signs after it or before it."""
+    text = ascii_lower(F.coalesce("text", F.lit("")))
     every = lambda x: F.regexp_extract_all(text, F.lit(x), F.lit(0))
     one, signs = rf"[^\x20\x09-\x0D{_CUT}]++", f"[{_CUT}]++"
     inner = F.concat(every(rf"{one}{signs}(?![\x20\x09-\x0D]|\z)"), every(rf"(?<![\x20\x09-\x0D{_CUT}]){signs}{one}"))
-    counts = (
-        docs.select(F.explode(F.concat(every(WORD), inner)).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("total"))
+    words = docs.select(F.explode(F.concat(every(WORD), inner)).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("total"))
+
+
+def trusted_patterns(items: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``items(kind, type, value, hulls)`` -> trusted ``pattern, type, kind`` and instances ``value, type, kind, confidence``.
+
+    Values of the fixed rules are the first instances, with confidence 1. Each round a pattern's confidence for a kind
+    is the confidence of its instances over all identifiers of their type that fill it, each as often as it does. A
+    value's confidence is one minus the product of the doubts of the trusted patterns it fills; values of enough
+    confidence are instances in the next round and so make patterns trusted that no fixed rule's value fills. Hulls
+    that identifiers seldom fill, as those of common words, are out from the start; a hull of two words occurs at
+    most as often as the rarer one. Rounds are joins and sums over the graph of patterns and values.
+    """
+    edges = materialize(
+        _contexts(items, "kind", "type", "value").groupBy("pattern", "type", "value").agg(
+            F.sum("n").alias("n"), F.max("kind").alias("kind"), F.first("words").alias("words")
+        )
     )
-    nodes = (
-        asked.withColumn("word", F.expr("substring(pattern, 2)"))
-        .join(counts, "word", "left")
-        .select("pattern", "of", F.greatest("filled", F.coalesce("total", F.lit(0))).alias("total"), "filled")
+    filled = edges.groupBy("pattern").agg(
+        F.sum("n").alias("filled"), F.count("*").alias("values"), F.first("words").alias("words")
+    ).where(F.col("values") >= SUPPORT)
+    totals = (
+        filled.select("pattern", F.explode("words").alias("word"))
+        .join(_word_counts(docs), "word", "left")
+        .groupBy("pattern")
+        .agg(F.min(F.coalesce("total", F.lit(2**62))).alias("total"))  # a word that isn't counted is no evidence
     )
-    nodes = materialize(nodes.where(F.col("filled") >= MIN_PATTERN * F.col("total")))
-    graph = materialize(edges.join(nodes.select("pattern", "of", "total"), "pattern"))
+    wanted = filled.join(totals, "pattern").where(F.col("filled") >= MIN_FILL * F.col("total")).select("pattern")
+    graph = materialize(edges.drop("words").join(wanted, "pattern", "left_semi"))
+    whole = materialize(graph.groupBy("pattern", "type").agg(F.sum("n").alias("all")))
     values = None
     for _ in range(ROUNDS):
-        own = F.when(F.col("kind").isNotNull(), 1.0)
-        known = (
-            graph.withColumn("c", F.coalesce(own, F.lit(0.0)))
-            if values is None
-            else graph.join(values.select("value", "confidence"), "value", "left").withColumn("c", F.coalesce(own, "confidence", F.lit(0.0)))
-        )
+        seeds = graph.where("kind is not null").withColumn("c", F.lit(1.0))
+        if values is not None:
+            more = graph.where("kind is null").drop("kind").join(values.withColumnRenamed("confidence", "c"), ["value", "type"])
+            seeds = seeds.unionByName(more.select(*seeds.columns))
+        scored = seeds.groupBy("pattern", "type", "kind").agg(F.sum(F.col("c") * F.col("n")).alias("good"), F.count("*").alias("support"))
+        trusted = scored.where(F.col("support") >= SUPPORT).join(whole, ["pattern", "type"]).withColumn("confidence", F.col("good") / F.col("all"))
+        best = F.max(F.struct("confidence", "kind")).alias("b")
         rules = materialize(
-            known.groupBy("pattern", "of").agg((F.sum(F.col("c") * F.col("n")) / F.first("total")).alias("confidence")).where(
-                F.col("confidence") >= MIN_PATTERN
-            )
+            trusted.where(F.col("confidence") >= MIN_PATTERN).groupBy("pattern", "type").agg(best).select("pattern", "type", "b.kind", "b.confidence")
         )
-        met = graph.where("kind is null").join(rules.select("pattern", "confidence"), "pattern")
+        met = graph.where("kind is null").select("pattern", "type", "value").join(rules, ["pattern", "type"])
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
+        each = met.groupBy("value", "type", "kind").agg((1 - doubt).alias("confidence"))
         values = materialize(
-            met.groupBy("value").agg((1 - doubt).alias("confidence"), F.max_by("of", F.struct("confidence", "of")).alias("kind"))
+            each.groupBy("value", "type").agg(best).select("value", "type", "b.kind", "b.confidence").where(F.col("confidence") >= MIN_INSTANCE)
         )
-    return rules, values.where(F.col("confidence") >= MIN_INSTANCE)
+    return rules, values
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of docs: ``doc_id, row, base, spans``, arrays of (start, end in code points, kind).
 
-    spans holds base and the identifiers that trusted patterns extract where they stand, with the kind that the
-    pattern's seeds mostly have. Null and empty texts hold none. Texts are read whole, once for rules and
+    spans holds base and the identifiers that a trusted pattern of their kind extracts where they stand, if they
+    are instances (see ``trusted_patterns``). Null and empty texts hold none. Texts are read whole, once for rules and
     contexts and once to count words. An empty table gives no rows; repeated rows are judged each; other
     columns are ignored.
     """
@@ -268,9 +287,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rules, values = trusted_patterns(items, docs)
     unknown = items.where("kind is null").drop("kind")
     extracted = (
-        _contexts(unknown, "at", "start", "end", "value")
-        .join(rules.select("pattern"), "pattern", "left_semi")
-        .join(values.select("value", "kind"), "value")
+        _contexts(unknown, "at", "start", "end", "type", "value")
+        .join(rules.select("pattern", "type", "kind"), ["pattern", "type"])
+        .join(values.select("value", "type", "kind"), ["value", "type", "kind"], "left_semi")
         .groupBy("at")
         .agg(F.collect_set(F.struct("start", "end", "kind")).alias("more"))
     )
@@ -290,6 +309,7 @@ def span_text(spans: str) -> Column:
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the fixed rules' spans, and all spans, of every document."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -22,13 +23,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 _HINT = re.compile(r"(?ai:pass|secret|token|api)")
 
-#: Character classes of candidates, each with the entropy in bits that some window must reach. A window of 24
-#: characters has log2(24) = 4.58 bits at most; words joined by hyphens stay below 4.0 in it, and what mixes
-#: capitals, small letters and digits is rarely prose.
-WINDOW = 24
+#: Windows in characters: candidates shorter than the last are judged by the first. For each, the entropy in bits that
+#: some window must reach, by character class. A window of 24 characters has log2(24) = 4.58 bits at most, one of 16 has
+#: 4; words joined by hyphens stay below 4.0 and 3.6, and what mixes capitals, small letters and digits is rarely prose.
+WINDOWS = {16: {"hex": 2.9, "mixed": 3.45, "base64": 3.8}, 24: {"hex": 3.2, "mixed": 3.5, "base64": 4.05}}
+SHORTEST, LONGEST = min(WINDOWS), max(WINDOWS)
+#: With less than a tenth of digits, letters are random only if so many neighbours differ in case: CamelCase stays below.
+CASE_CHANGES = 0.38
 HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
-CLASSES = {"hex": 3.2, "mixed": 3.5, "base64": 4.05}
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % WINDOW)
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % SHORTEST)
 #: What looks random and is no secret: identifiers, digests that are published with what they digest, data links,
 #: counting runs of the alphabet or of digits.
 ALLOW = (
@@ -36,28 +39,29 @@ ALLOW = (
     re.compile(r"sha(?:1|224|256|384|512)-?[A-Za-z0-9+/=]*"),
     re.compile(r"(?:[A-Za-z]+[-_/])+[A-Za-z]+"),
 )
-ALLOW_BEFORE = re.compile(r"(?i)(?:base64,|integrity=[\"']?|https?://\S*)\Z")
+ALLOW_BEFORE = re.compile(r"(?i)(?:base64,|integrity=[\"']?)\Z")
+_LINK = re.compile(r"(?i)https?://\S*")
 _RUNS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
 _COUNTED = re.compile("|".join(_RUNS))
 
-_NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+_NLOGN = [0.0] + [n * math.log2(n) for n in range(1, LONGEST + 1)]
 
 
-def highest_entropy(s: str) -> float:
-    """The highest Shannon entropy, in bits, of any WINDOW characters in a row; counts move with the window."""
+def highest_entropy(s: str, window: int = LONGEST) -> float:
+    """The highest Shannon entropy, in bits, of any ``window`` characters in a row; counts move with the window."""
     counts: dict[str, int] = {}
     total = best = 0.0  # total: sum of n * log2(n)
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         total += _NLOGN[n + 1] - _NLOGN[n]
         counts[c] = n + 1
-        if i >= WINDOW:
-            old = s[i - WINDOW]
+        if i >= window:
+            old = s[i - window]
             n = counts[old]
             total += _NLOGN[n - 1] - _NLOGN[n]
             counts[old] = n - 1
-        if i >= WINDOW - 1:
-            best = max(best, math.log2(WINDOW) - total / WINDOW)
+        if i >= window - 1:
+            best = max(best, math.log2(window) - total / window)
     return best
 
 
@@ -73,21 +77,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates, or what is left of them beside spans taken and counting runs, with a window of high entropy that aren't allowed."""
-    found = []
+    """Candidates, or what is left of them beside spans taken and counting runs, with a window of high entropy that aren't allowed.
+
+    Places come in order, so each span taken and each link is passed once.
+    """
+    found: list[tuple[int, int, str]] = []
+    links = iter([m.span() for m in _LINK.finditer(text)] if "://" in text else [])
+    link = next(links, None)
+    spans, first = sorted((a, b) for a, b, _ in taken), 0
     for m in _CANDIDATE.finditer(text):
-        if any(p.fullmatch(m[0]) for p in ALLOW) or ALLOW_BEFORE.search(text[max(0, m.start() - 64) : m.start()]):
+        start, end = m.span()
+        while link and link[1] <= start:
+            link = next(links, None)
+        if link and link[0] <= start or any(p.fullmatch(m[0]) for p in ALLOW) or ALLOW_BEFORE.search(text, max(0, start - 12), start):
             continue
-        runs = [(*r.span(), "") for r in _COUNTED.finditer(text, *m.span())]
-        for a, b in _free(*m.span(), taken + runs):
-            if b - a >= WINDOW and _random(text[a:b]):
+        while first < len(spans) and spans[first][1] <= start:
+            first += 1
+        here = list(itertools.takewhile(lambda x: x[0] < end, itertools.islice(spans, first, None)))
+        for a, b in _free(start, end, here + [r.span() for r in _COUNTED.finditer(text, start, end)]):
+            if b - a >= SHORTEST and _random(text[a:b]):
                 found.append((a, b, "entropy"))
     return found
 
 
-def _free(a: int, b: int, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+def _free(a: int, b: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """The parts of a to b that no span takes."""
-    for x, y, _ in sorted(taken):
+    for x, y in sorted(taken):
         if x < b and a < y:
             if a < x:
                 yield a, x
@@ -97,11 +112,18 @@ def _free(a: int, b: int, taken: list[tuple[int, int, str]]) -> Iterator[tuple[i
 
 
 def _random(s: str) -> bool:
-    if not any(c.isdigit() for c in s) or len(set(s)) < 8 or any(p.fullmatch(s) for p in ALLOW):
+    """Whether some window of s has the entropy that its class asks for; letters with few digits must also change case often."""
+    if s.isdigit() or len(set(s)) < 8 or any(p.fullmatch(s) for p in ALLOW):
+        return False
+    lower, upper = any(map(str.islower, s)), any(map(str.isupper, s))
+    digits = sum(map(str.isdigit, s))
+    kind = "hex" if HEX_DIGITS.issuperset(s) else "mixed" if lower and upper else "base64"
+    if not digits and kind != "mixed":
+        return False
+    if 10 * digits < len(s) and kind == "mixed" and sum(x.islower() != y.islower() for x, y in itertools.pairwise(s)) < CASE_CHANGES * len(s):
         return False
-    mixed = any(c.islower() for c in s) and any(c.isupper() for c in s)
-    kind = "hex" if HEX_DIGITS.issuperset(s) else "mixed" if mixed else "base64"
-    return not s.isdigit() and highest_entropy(s) >= CLASSES[kind]
+    window = LONGEST if len(s) >= LONGEST else SHORTEST
+    return highest_entropy(s, window) >= WINDOWS[window][kind]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -171,6 +193,7 @@ def span_text(spans: str) -> Column:
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the fixed rules' spans, and all spans, of every document."""
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("secrets.base", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
