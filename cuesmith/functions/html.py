@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..profile import DEFAULT, SiteProfile
+from .urls import URL, resolve
 
 _ANCHOR = "struct<href: string, title: string, text: string>"
 PAGE = (
@@ -149,6 +150,25 @@ def parse_page(html: Column, profile: SiteProfile = DEFAULT) -> Column:
     return _parser(profile)(html)
 
 
+@functools.lru_cache(8)
+def _linker(profile: SiteProfile):
+    @F.pandas_udf(f"array<{URL}>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pages, bases in parts:
+            found = []
+            for page, base in zip(pages, bases, strict=True):
+                links = [resolve(x, base) for x in parse(page, profile)["links"] if x not in ("", "#")]
+                found.append([dict(zip(("url", "scheme", "host", "path"), u, strict=True)) for u in links if u and u[0]])
+            yield pd.Series(found)
+
+    return run.asNondeterministic()
+
+
+def resolved_links(html: Column, base: Column, profile: SiteProfile = DEFAULT) -> Column:
+    """A page's links in order, each resolved on the page's own URL; empty, ``#`` and invalid ones are left out."""
+    return _linker(profile)(html, base.cast("string"))
+
+
 def visible_text(html: Column, profile: SiteProfile = DEFAULT) -> Column:
     return parse_page(html, profile)["text"]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import parse_page
+from ..functions.html import parse_page, resolved_links
 from ..functions.jsre import nonempty
 from ..functions.text import first_date, first_nonempty, labeled_value, normalize_text
 from ..functions.urls import is_download, on_site, resolve_url, subtitle_id
@@ -67,12 +67,11 @@ def page_links(pages: DataFrame, html: str = "html", url: str = "url", profile:
 def first_download_link(pages: DataFrame, html: str = "html", url: str = "url", profile: SiteProfile = DEFAULT) -> DataFrame:
     """Pages -> their first link to a subtitle file or archive: ``url, download_url``, null where a page has none.
 
-    One row per url; pages come once per url. Links are rows only until the first is taken, which combines before
-    the shuffle.
+    One row per page, in the page's row: nothing is shuffled.
     """
-    found = page_links(pages.select(url, html), html, url, profile).where(is_download(F.col("link"), profile))
-    first = found.groupBy(url).agg(F.min_by("link.url", "pos").alias("download_url"))
-    return pages.select(url).join(first, url, "left")
+    links = pages.select(url, resolved_links(F.col(html), F.col(url), profile).alias("__links"))
+    first = F.get(F.filter("__links", lambda x: is_download(x, profile)), F.lit(0))
+    return links.select(url, first["url"].alias("download_url"))
 
 
 def latest_detail(hits: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import codecs
 import functools
 import io
+import itertools
 import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,7 +20,6 @@ from pyspark.sql import types as T
 
 from ..functions.text import looks_like_srt
 from ..profile import DEFAULT, SiteProfile
-from ..session import materialize
 
 # --- Text ---------------------------------------------------------------------------------------------------------
 
@@ -27,9 +28,6 @@ LEGACY = (
     ("gb18030", "gb18030"), ("big5", "big5hkscs"), ("shift_jis", "cp932"),
     ("euc-jp", "euc_jp"), ("euc-kr", "cp949"), ("windows-1252", "cp1252"),
 )
-_CONTROLS = frozenset([*range(9), 11, 12, *range(14, 32)])
-
-
 def _as_web(e: UnicodeError) -> tuple[str, int]:
     """What web decoders put for bytes that Python's codecs refuse: C1 controls, the euro sign, else U+FFFD."""
     if not isinstance(e, UnicodeDecodeError):
@@ -46,34 +44,34 @@ codecs.register_error("cuesmith-web", _as_web)
 
 
 def _score(text: str) -> int:
-    cjk = bad = control = 0
-    for c in text:
-        n = ord(c)
-        cjk += 0x3400 <= n <= 0x9FFF
-        bad += n == 0xFFFD
-        control += n in _CONTROLS
-    return 20 * cjk - 10 * bad - 5 * control
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    count = lambda mask: int(np.count_nonzero(mask))
+    controls = (c < 32) & (c != 9) & (c != 10) & (c != 13)
+    return 20 * count((c >= 0x3400) & (c <= 0x9FFF)) - 10 * count(c == 0xFFFD) - 5 * count(controls)
+
+
+def _unmarked_utf16(data: bytes) -> bool:
+    """Little-endian UTF-16 by its look: many ASCII letters with a zero byte, no controls 0 to 2 among the first 64 units."""
+    if len(data) < 16 or len(data) % 2:
+        return False
+    units = np.frombuffer(data[:512], "<u2")
+    return np.count_nonzero((units >= 0x20) & (units < 0x7F)) > 32 and not (units[:64] <= 2).any()
 
 
 def decode_legacy(data: bytes) -> tuple[str, str]:
-    """Text and encoding of bytes that aren't UTF-8: UTF-16 by its mark or its zeros, else the best-scored legacy one."""
+    """Text and encoding of bytes that built-in functions leave: UTF-16 by its mark or its look, else the best-scored legacy one."""
     if data[:2] == b"\xff\xfe":
         return data[2:].decode("utf-16-le", "replace"), "utf-16le"
     if data[:2] == b"\xfe\xff":
         return data[2:].decode("utf-16-be", "replace"), "utf-16be"
-    if len(data) >= 16 and len(data) % 2 == 0:
-        head = data[:512]
-        ascii_ = lambda c: 9 <= c < 127
-        little = sum(ascii_(a) and b == 0 for a, b in zip(head[::2], head[1::2], strict=False))
-        big = sum(a == 0 and ascii_(b) for a, b in zip(head[::2], head[1::2], strict=False))
-        if max(little, big) > 32:
-            name = "utf-16le" if little >= big else "utf-16be"
-            return data.decode(name[:6] + "-" + name[6:], "replace"), name
+    if _unmarked_utf16(data):
+        return data.decode("utf-16-le", "replace"), "utf-16le"
     best: tuple[int, str, str] | None = None
     for name, codec in LEGACY:
         text = data.decode(codec, "cuesmith-web")
-        if best is None or _score(text) > best[0]:
-            best = (_score(text), text, name)
+        score = _score(text)
+        if best is None or score > best[0]:
+            best = score, text, name
     return best[1], best[2]
 
 
@@ -88,25 +86,35 @@ def _legacy():
     return run
 
 
+def looks_like_utf16(data: Column) -> Column:
+    """Whether bytes without a mark are little-endian UTF-16 by their look, which comes before UTF-8: zero bytes are valid there."""
+    units = F.regexp_replace(F.hex(F.substring(data, 1, 512)), "(.{4})", "$1 ")
+    even = (F.octet_length(data) >= 16) & (F.octet_length(data) % 2 == 0)
+    letters = F.regexp_count(units, F.lit("(?:[2-6][0-9A-F]|7[0-9A-E])00 ")) > 32
+    low = F.substring(units, 1, 5 * 64).rlike("(?:^| )0[0-2]00 ")
+    return F.coalesce(even & F.contains(units, F.lit("00 ")) & letters & ~low, F.lit(False))
+
+
 def decode_bytes(df: DataFrame, column: str = "body") -> DataFrame:
     """df with ``text`` and ``encoding``: UTF-8 by built-in functions, all else by a helper that only sees the rest.
 
-    Null bytes have neither. Malformed bytes become U+FFFD; nothing fails.
+    A mark decides first, then the look of UTF-16, then whether the bytes are UTF-8. Null bytes have neither text nor
+    encoding. Malformed bytes become U+FFFD; nothing fails.
     """
     data = F.col(column)
     head = F.hex(F.substring(data, 1, 3))
     marked, wide = head == "EFBBBF", F.substring(head, 1, 4).isin("FFFE", "FEFF")
     as_text = data.cast("string")
-    plain = ~marked & ~wide & F.is_valid_utf8(as_text)
+    plain = ~marked & ~wide & F.is_valid_utf8(as_text) & ~looks_like_utf16(data)
     tail = F.expr(f"substring(`{column}`, 4)").cast("string")
-    rest = F.when(~marked & ~plain, data)
-    out = df.withColumn("__legacy", _legacy()(rest))
+    out = df.withColumn("__plain", plain)
+    out = out.withColumn("__legacy", _legacy()(F.when(~marked & ~F.col("__plain"), data)))
     return out.withColumns(
         {
-            "text": F.when(marked, F.make_valid_utf8(tail)).when(plain, as_text).otherwise(F.col("__legacy.text")),
-            "encoding": F.when(marked | plain, "utf-8").otherwise(F.col("__legacy.encoding")),
+            "text": F.when(marked, F.make_valid_utf8(tail)).when(F.col("__plain"), as_text).otherwise(F.col("__legacy.text")),
+            "encoding": F.when(marked | F.col("__plain"), "utf-8").otherwise(F.col("__legacy.encoding")),
         }
-    ).drop("__legacy")
+    ).drop("__legacy", "__plain")
 
 
 # --- Kinds --------------------------------------------------------------------------------------------------------
@@ -140,7 +148,8 @@ def _zip_entries(data: bytes) -> Iterator[tuple]:
         if not z.flag_bits & 0x800:
             name = name.encode("cp437", "replace").decode("gb18030", "replace")
         at = z.header_offset
-        start = at + 30 + sum(struct.unpack_from("<HH", data, at + 26)) if at + 30 <= len(data) else len(data)
+        found = data[at : at + 4] == b"PK\x03\x04" and at + 30 <= len(data)
+        start = at + 30 + sum(struct.unpack_from("<HH", data, at + 26)) if found else -1
         yield i, name, name.endswith("/"), bool(z.flag_bits & 1), z.compress_type, z.compress_size, z.file_size, z.CRC, start, False, False, "zip"
 
 
@@ -255,6 +264,17 @@ def _kind(data: bytes) -> str | None:
     return "rar5" if data[:8] == b"Rar!\x1a\x07\x01\0" else "rar4" if data[:7] == b"Rar!\x1a\x07\0" else None
 
 
+def _listed(content: bytes | None, most: int | None = None) -> tuple[list[tuple] | None, str | None]:
+    """The entries of an archive, at most so many, or why there are none; neither for what is no archive."""
+    data = bytes(content) if content is not None else b""
+    if not (kind := _kind(data)):
+        return None, None
+    try:
+        return list(itertools.islice(_LISTERS[kind](data), most)), None
+    except Exception as e:  # whatever is wrong with an archive is the row's problem, not the job's
+        return None, f"Invalid archive: {e}"
+
+
 def list_entries(archives: DataFrame) -> DataFrame:
     """``archives(archive_id, content)`` -> a row for each entry, and one with only ``problem`` for an unreadable archive.
 
@@ -265,13 +285,10 @@ def list_entries(archives: DataFrame) -> DataFrame:
         for part in parts:
             rows = []
             for id_, content in zip(part["archive_id"], part["content"], strict=True):
-                data = bytes(content) if content is not None else b""
-                if not (kind := _kind(data)):
-                    continue
-                try:
-                    rows += [(id_, *e, None) for e in _LISTERS[kind](data)]
-                except (zipfile.BadZipFile, struct.error, IndexError, ValueError, NotImplementedError, EOFError) as e:
-                    rows.append((id_, *[None] * len(_COLUMNS), f"Invalid archive: {e}"))
+                entries, problem = _listed(content)
+                rows += [(id_, *e, None) for e in entries or ()]
+                if problem:
+                    rows.append((id_, *[None] * len(_COLUMNS), problem))
             yield pd.DataFrame(rows, columns=["archive_id", *_COLUMNS, "problem"]).astype(object)
 
     return archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content").mapInPandas(
@@ -299,8 +316,14 @@ def is_safe_path(name: Column) -> Column:
     )
 
 
+def _is_srt(e: Callable[[str], Column]) -> Column:
+    """Of an entry's fields: a subtitle that may be taken. An encrypted ZIP entry may, and then fails; one of RAR is passed over."""
+    hidden = e("encrypted") & (e("format") != "zip")
+    return ~e("is_dir") & ~hidden & is_safe_path(e("name")) & F.endswith(F.lower(e("name")), F.lit(".srt"))
+
+
 def srt_entries(entries: DataFrame) -> DataFrame:
-    return entries.where(~F.col("is_dir") & ~F.col("encrypted") & is_safe_path(F.col("name")) & F.lower("name").endswith(".srt"))
+    return entries.where(_is_srt(F.col))
 
 
 def first_srt(entries: DataFrame) -> DataFrame:
@@ -315,12 +338,22 @@ Extractor = Callable[[bytes, dict], bytes]
 def _extract(data: bytes, e: dict, most: int, rar: Extractor | None) -> bytes:
     if e["size"] > most:
         raise ValueError("SRT file is too large")
+    if e["format"] == "zip":
+        if e["encrypted"]:
+            raise ValueError("Encrypted ZIP entries are not supported")
+        if e["data_offset"] < 0:
+            raise ValueError("Invalid ZIP local file header")
     raw = data[e["data_offset"] : e["data_offset"] + e["packed_size"]]
+    if len(raw) < e["packed_size"]:
+        raise ValueError("Archive ends within an entry")
     if e["format"] == "zip":
         if e["method"] == 0:
             out = raw
         elif e["method"] == 8:
-            out = zlib.decompressobj(-15).decompress(raw, most + 1)
+            inflate = zlib.decompressobj(-15)
+            out = inflate.decompress(raw, most + 1)
+            if not inflate.eof and len(out) <= most:
+                raise ValueError("Compressed data ends early")
         else:
             raise ValueError("compression method is not supported")
     else:
@@ -336,9 +369,18 @@ def _extract(data: bytes, e: dict, most: int, rar: Extractor | None) -> bytes:
             raise ValueError("RAR entry checksum mismatch")
     if len(out) > most:
         raise ValueError("SRT file is too large")
+    if len(out) != e["size"]:
+        raise ValueError("Entry does not have its declared size")
     return out
 
 
+def _taken(content: bytes, e: dict, most: int, rar: Extractor | None) -> tuple[bytes | None, str | None]:
+    try:
+        return _extract(bytes(content), e, most, rar), None
+    except Exception as x:  # as above; also whatever an extractor raises
+        return None, str(x) or type(x).__name__
+
+
 def extract_entry(archives: DataFrame, picks: DataFrame, profile: SiteProfile = DEFAULT, rar_extractor: Extractor | None = None) -> DataFrame:
     """The bytes of each picked entry: ``archive_id, name, data, problem``.
 
@@ -352,10 +394,7 @@ def extract_entry(archives: DataFrame, picks: DataFrame, profile: SiteProfile =
         for part in parts:
             rows = []
             for row in part.to_dict("records"):
-                try:
-                    rows.append((row["archive_id"], row["name"], _extract(bytes(row["content"]), row, most, rar_extractor), None))
-                except (ValueError, zlib.error) as e:
-                    rows.append((row["archive_id"], row["name"], None, str(e)))
+                rows.append((row["archive_id"], row["name"], *_taken(row["content"], row, most, rar_extractor)))
             yield pd.DataFrame(rows, columns=["archive_id", "name", "data", "problem"])
 
     met = picks.select("archive_id", *fields).join(
@@ -364,29 +403,62 @@ def extract_entry(archives: DataFrame, picks: DataFrame, profile: SiteProfile =
     return met.mapInPandas(run, "archive_id string, name string, data binary, problem string")
 
 
+_ROW = f"struct<{ENTRY.replace(' ', ': ').replace(',: ', ', ')}>"
+
+
+def _lister(most: int):
+    @F.pandas_udf(f"struct<entries: array<{_ROW}>, problem: string>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for contents in parts:
+            found = [_listed(c, most) for c in contents]
+            rows = [(None if es is None else [dict(zip(_COLUMNS, e, strict=True)) for e in es], problem) for es, problem in found]
+            yield pd.DataFrame(rows, columns=["entries", "problem"])
+
+    return run.asNondeterministic()  # evaluated once, where it stands
+
+
+def _taker(most: int, rar: Extractor | None):
+    @F.pandas_udf("struct<data: binary, problem: string>")
+    def run(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for contents, picks in parts:
+            rows = [(None, None) if c is None else _taken(c, e, most, rar) for c, e in zip(contents, picks.to_dict("records"), strict=True)]
+            yield pd.DataFrame(rows, columns=["data", "problem"])
+
+    return run.asNondeterministic()
+
+
 def extract_first_srt(archives: DataFrame, profile: SiteProfile = DEFAULT, rar_extractor: Extractor | None = None) -> DataFrame:
     """``archives(archive_id, content)`` -> ``archive_id, name, data, problem``, one row each.
 
-    Payloads that look like subtitles are taken as they are, archives give their first subtitle.
+    Payloads that look like subtitles are taken as they are, archives give their first subtitle. Listing, picking and
+    extracting happen in the row, so no payload is shuffled; entries past the limit aren't listed.
     """
-    keyed = archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content")
     head = F.hex(F.substring("content", 1, 8))
-    packed_ = F.coalesce(head.startswith("504B0304") | head.startswith("504B0506") | head.startswith("526172211A0700") | head.startswith("526172211A070100"), F.lit(False))
+    packed = F.coalesce(
+        head.startswith("504B0304") | head.startswith("504B0506") | head.startswith("526172211A0700") | head.startswith("526172211A070100"),
+        F.lit(False),
+    )
+    keyed = archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content", packed.alias("__packed"))
     # Only what is no archive is decoded.
-    known = decode_bytes(keyed.where(~packed_), "content")
-    kinds = known.withColumn("kind", sniff_payload(F.col("content"), F.col("text"), profile))
-    plain = kinds.select(
+    known = decode_bytes(keyed.withColumn("__plain_content", F.when(~F.col("__packed"), F.col("content"))), "__plain_content")
+    kinds = known.withColumn("__srt", ~F.col("__packed") & (sniff_payload(F.col("content"), F.col("text"), profile) == "srt"))
+    listed = kinds.drop("text", "encoding", "__plain_content").withColumn("__l", _lister(profile.max_entries + 1)(F.when(F.col("__packed"), F.col("content"))))
+    wanted = F.filter("__l.entries", lambda x: _is_srt(lambda c: x[c]))
+    first = F.array_min(F.transform(wanted, lambda x: F.struct(F.collate(x["name"], "UNICODE").alias("name"), x["ord"].alias("ord"))))
+    many = F.coalesce(F.size("__l.entries") > profile.max_entries, F.lit(False))
+    why = F.coalesce(
+        F.when(~F.col("__packed") & ~F.col("__srt"), "Unsupported archive format"),
+        F.when(many, "Archive contains too many entries"),
+        F.col("__l.problem"),
+        F.when(F.col("__packed") & first.isNull(), "Archive does not contain an SRT file"),
+    )
+    picked = listed.withColumns({"__why": why, "__e": F.when(F.col("__packed") & ~many, F.get("__l.entries", first["ord"]))}).drop("__l")
+    took = picked.withColumn(
+        "__t", _taker(profile.max_srt_bytes, rar_extractor)(F.when(F.col("__why").isNull() & F.col("__packed"), F.col("content")), F.col("__e"))
+    )
+    return took.select(
         "archive_id",
-        F.when(F.col("kind") == "srt", "subtitle.srt").alias("name"),
-        F.when(F.col("kind") == "srt", F.col("content")).alias("data"),
-        F.when(F.col("kind") != "srt", "Unsupported archive format").alias("problem"),
+        F.when(F.col("__srt"), "subtitle.srt").otherwise(F.col("__e.name")).alias("name"),
+        F.when(F.col("__srt"), F.col("content")).otherwise(F.col("__t.data")).alias("data"),
+        F.coalesce("__why", "__t.problem").alias("problem"),
     )
-    packed = keyed.where(packed_)
-    entries = materialize(list_entries(packed))
-    guard = guard_entry_count(entries, profile.max_entries)
-    picks = first_srt(entries.where("problem is null"))
-    taken = extract_entry(packed, picks.join(guard.where("problem is null").select("archive_id"), "archive_id", "left_semi"), profile, rar_extractor)
-    names = packed.select("archive_id").join(guard, "archive_id", "left").join(taken.withColumnRenamed("problem", "failed"), "archive_id", "left")
-    none = F.when(F.col("name").isNull(), "Archive does not contain an SRT file")
-    found = names.select("archive_id", "name", "data", F.coalesce("problem", "failed", none).alias("problem"))
-    return plain.unionByName(found)

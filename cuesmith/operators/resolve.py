@@ -97,21 +97,28 @@ def asof_detail_url(downloads: DataFrame, searches: DataFrame, details: DataFram
     """Downloads with ``known``: the URL that the latest successful search of the same instance before them gave the id.
 
     ``downloads(instance, ts, id, ...)``, ``searches(search_id, instance, ts, ok)``, ``details(search_id, id, detail_url)``
-    with one row per search and id. A search that doesn't list the id makes it unknown. Searches become intervals;
-    the join is on instance and id, so time only filters within an id.
+    with one row per search and id. A search that doesn't list the id makes it unknown. The latest search is found
+    within an instance's day, and for downloads before a day's first search carried over from the days before, of
+    which an instance has few; then it is an equi-join on search and id. Without an instance nothing is known.
     """
-    order = W.partitionBy("instance").orderBy("ts", "search_id")
-    spans = searches.where("ok").select(
-        "search_id", F.col("instance").alias("__instance"), F.col("ts").alias("__from"), F.lead("ts").over(order).alias("__to")
+    day = F.to_date("ts").alias("day")
+    none = F.lit(None)
+    found = searches.where("ok and instance is not null").select("instance", day, "ts", F.col("search_id").alias("sid"), F.lit(0).alias("last"))
+    asked = downloads.select("instance", day, "ts", none.cast(found.schema["sid"].dataType).alias("sid"), F.lit(1).alias("last"), F.struct(*downloads.columns).alias("row"))
+    both = found.withColumn("row", none.cast(asked.schema["row"].dataType)).unionByName(asked)
+    order = W.partitionBy("instance", "day").orderBy("ts", "last", "sid").rowsBetween(W.unboundedPreceding, W.currentRow)
+    here = both.withColumn("sid", F.last("sid", True).over(order)).where("last = 1")
+    by_day = found.groupBy("instance", "day").agg(F.max_by("sid", F.struct("ts", "sid")).alias("sid"))
+    days = by_day.unionByName(asked.select("instance", "day", "sid").distinct()).groupBy("instance", "day").agg(F.max("sid").alias("sid"))
+    before = W.partitionBy("instance").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    carried = days.select("instance", "day", F.last("sid", True).over(before).alias("carried")).where("carried is not null")
+    at = here.join(carried, ["instance", "day"], "left").select("row", F.coalesce("sid", "carried").alias("sid"))
+    met = at.join(
+        details.select(F.col("search_id").alias("__sid"), F.col("id").alias("__id"), F.col("detail_url").alias("known")),
+        (F.col("sid") == F.col("__sid")) & (F.col("row.id") == F.col("__id")),
+        "left",
     )
-    known = spans.join(details, "search_id").select("__instance", F.col("id").alias("__id"), "__from", "__to", F.col("detail_url").alias("known"))
-    on = (
-        (F.col("instance") == F.col("__instance"))
-        & (F.col("id") == F.col("__id"))
-        & (F.col("ts") >= F.col("__from"))
-        & (F.col("__to").isNull() | (F.col("ts") < F.col("__to")))
-    )
-    return downloads.join(known, on, "left").select(*downloads.columns, "known")
+    return met.select("row.*", "known")
 
 
 def attach_archives(resolved: DataFrame, archives: DataFrame, profile: SiteProfile = DEFAULT) -> DataFrame:

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -33,13 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = os.environ.setdefault("CUESMITH_TEST_SHARED", tempfile.mkdtemp(prefix="cuesmith-"))
+        at = os.environ.get("CUESMITH_TEST_SHARED") or tempfile.mkdtemp(prefix="cuesmith-")
+        os.environ["CUESMITH_TEST_SHARED"] = at
     return at.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder and read again, so a lost executor loses no finished work."""
+    """Cut lineage: write to the shared folder and read again, so a lost executor loses no finished work.
+
+    The application's tables go when it ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cuesmith/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/cuesmith-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+        _folders.add(folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,11 +26,16 @@ def dedup_stream(requests: DataFrame, ttl: str) -> DataFrame:
     return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["id"])
 
 
-def replay_stream(requests: DataFrame, ttl_ms: float | None = None, profile: SiteProfile = DEFAULT) -> DataFrame:
+def replay_stream(
+    requests: DataFrame, ttl_ms: float | None = None, profile: SiteProfile = DEFAULT, delay: str = "10 minutes"
+) -> DataFrame:
     """``requests(request_id, id, ts, latency_ms, ok)`` -> ``request_id, id, ts, outcome``, with state for each id.
 
-    Requests of a trigger are taken in order of time, then request_id; one that comes in a later trigger than a
-    newer one is judged against the state as it is. State goes when the id has been idle for longer than the time to live.
+    Requests of a trigger are taken in order of time, then request_id. ``delay`` is how late a request may come: rows
+    older than the watermark (the newest time seen, less the delay) are dropped and get no outcome. One that is late
+    by less is judged against the state as it is, so it may differ from batch. Rows without a time are dropped.
+    State goes by the log's clock: once the watermark passes both the end of the cached subtitle's time to live and
+    the end of the running task, the next request would be a miss either way. A source that stands still keeps it.
     """
     ttl = effective_ttl(ttl_ms, profile)
 
@@ -38,16 +43,18 @@ def replay_stream(requests: DataFrame, ttl_ms: float | None = None, profile: Sit
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values(["ts", "request_id"])
         cached, busy = state.get if state.exists else (None, None)
-        replay, out = Replay(ttl, cached, busy), []
-        for t, latency, ok in zip(rows["t"], rows["latency"], rows["ok"], strict=True):
-            out.append(replay.step(int(t), int(latency), bool(ok)))
+        replay, held = Replay(ttl, cached, busy), []
+        for part in parts:  # three numbers a row: what a trigger holds of one id
+            held.append(part[["request_id", "ts", "t", "latency", "ok"]])
+        rows = (pd.concat(held) if len(held) > 1 else held[0]).sort_values(["t", "request_id"], kind="stable")
+        out = [replay.step(int(t), int(n), bool(ok)) for t, n, ok in zip(rows["t"], rows["latency"], rows["ok"], strict=True)]
         state.update((replay.cached_at, replay.busy_until))
-        state.setTimeoutDuration(max(1, ttl))
+        ends = max((replay.cached_at or 0) + ttl if replay.cached_at is not None else 0, replay.busy_until or 0)
+        state.setTimeoutTimestamp(max(ends + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"request_id": rows["request_id"], "id": key[0], "ts": rows["ts"], "outcome": out})
 
-    slim = requests.where("id is not null").select(
+    slim = requests.where("id is not null and ts is not null").select(
         "request_id",
         "id",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -56,10 +63,14 @@ def replay_stream(requests: DataFrame, ttl_ms: float | None = None, profile: Sit
         F.coalesce("ok", F.lit(True)).alias("ok"),
     )
     kinds = dict(slim.dtypes)
-    return slim.groupBy("id").applyInPandasWithState(
-        step,
-        f"request_id {kinds['request_id']}, id {kinds['id']}, ts timestamp, outcome string",
-        "cached_at long, busy_until long",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+    return (
+        slim.withWatermark("ts", delay)
+        .groupBy("id")
+        .applyInPandasWithState(
+            step,
+            f"request_id {kinds['request_id']}, id {kinds['id']}, ts timestamp, outcome string",
+            "cached_at long, busy_until long",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
+        )
     )

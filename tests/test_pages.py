@@ -1,7 +1,9 @@
-"""Result pages, detail pages and their URLs."""
+"""Result pages, detail pages and their URLs. Pages are put together from parts, so that each rule stands in one place."""
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,88 +12,122 @@ from cuesmith.operators import hits
 from cuesmith.profile import SiteProfile
 
 SITE = SiteProfile()
-FIELDS = ["id", "title", "version", "format", "language", "date", "detail_url"]
+AT = SITE.origin
+SRT = "格式：Subrip(srt)"
+
+
+def card(link: str, *lines: str, name: str = "River", attributes: str = "") -> str:
+    """A result card: a link and a list of lines, as one might see them in the wild, unclosed items included."""
+    items = "".join(f"<li>{x} " for x in lines)
+    return f'<article class="subitem wide"{attributes}><h3><a href="{link}">{name}</a></h3><ul>{items}</ul></article>'
 
 
-def cards(*bodies: str) -> str:
-    return '<section class="resultcard">' + "".join(f'<div class="subitem">{b}</div>' for b in bodies) + "</section>"
+def page(*cards: str, outside: str = "") -> str:
+    return f'<!doctype html><body><div class="list resultcard">{"".join(cards)}</div>{outside}</body>'
 
 
-def found(spark, page: str | None) -> list[dict]:
-    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+def found(spark, source: str | None) -> list[dict]:
+    df = spark.createDataFrame([(1, source)], "page_id long, html string")
     return [r.asDict() for r in hits.parse_hits(df, SITE).orderBy("pos").collect()]
 
 
-def test_only_wanted_cards_in_order_without_banners(spark):
-    page = (
-        '<div class="resultcard"><div class="subitem" id="top-banner">格式：Subrip(srt) <a href="/sub/9/x">b</a></div>'
-        '<div class="subitem"><a href="/sub/0012/name"><b>First film</b></a><p>版本：HD <span>格式： Subrip(srt)</span> 语种：中文</p> <p>2026-01-02</p></div>'
-        '<div class="subitem"><a href="/sub/13/name">Second</a><p>格式： SubStation Alpha</p></div>'
-        '<div class="subitem"><a href="/sub/14/name">Third</a><p>版本：TV 格式：SUBRIP(SRT) 语种：英文</p></div>'
-        '<div class="other"><div class="subitem"><a href="/sub/15/x">no</a>格式：Subrip(srt)</div></div></div>'
+def test_cards_are_taken_by_format_and_place(spark):
+    rows = found(
+        spark,
+        page(
+            card("/sub/501/a", SRT, attributes=' id="top-banner"'),
+            card("/sub/502/b", "格式：SubStation Alpha"),
+            card("/sub/0503/c", "格式： SUBRIP(SRT)"),
+            card("/sub/504/d"),
+            f"<section>{card('/sub/505/e', SRT)}</section>",
+            card("/sub/506/f", SRT),
+            card("/sub/507/g", SRT, attributes=' id="bottom-banner"'),
+            outside=card("/sub/508/h", SRT),
+        ),
     )
-    rows = found(spark, page)
-    assert [[r[c] for c in FIELDS] for r in rows] == [
-        ["0012", "First film", "HD", "Subrip(srt)", "中文", "2026-01-02", "https://subs.example/sub/0012/name"],
-        ["14", "Third", "TV", "SUBRIP(SRT)", "英文", None, "https://subs.example/sub/14/name"],
-    ]
-
-
-def test_joined_labels_empty_values_and_relative_dates(spark):
-    a = '<a href="/sub/21/a.html">A</a><p>版本：多 格式： Subrip(srt)语言：简 繁来源：转载 日期： 14小时前</p>'
-    b = '<a href="//2.subs.example/sub/22/b.html">B</a><p>格式： Subrip(srt) 语言： 字幕文件名：x.srt 日期： 2周前</p>'
-    c = '<a href="/xml/sub/678/678767.xml" title=" The  Title ">x</a><p>格式：Subrip(srt) 发布时间：2022-08-14 20:44:58</p>'
-    one, two, three = found(spark, cards(a, b, c))
-    assert (one["language"], one["date"]) == ("简 繁", "14小时前")
-    assert (two["version"], two["language"], two["date"]) == (None, None, "2周前")
-    assert two["detail_url"] == "https://2.subs.example/sub/22/b.html"
-    assert (three["id"], three["title"], three["date"]) == ("678767", "The Title", "2022-08-14 20:44:58")
-
-
-def test_bold_version_wins_over_its_label(spark):
-    body = (
-        '<a href="/sub/31/a.html">A</a><div id="meta_top"><span>版本：<b>Film.2008-GRP</b></span><span>Group</span></div>'
-        '<span>格式： Subrip(srt)</span><span>语言：英 繁 双语</span><span>来源：原创</span>'
-    )
-    (row,) = found(spark, cards(body))
-    assert (row["version"], row["language"]) == ("Film.2008-GRP", "英 繁 双语")
-
-
-def test_cards_without_a_good_detail_link_are_dropped(spark):
-    srt = "<p>格式：Subrip(srt)</p>"
-    page = cards(
-        f'<a href="/sub/41">bare</a>{srt}',
-        f'<a href="http://subs.example/sub/42/x">plain</a>{srt}',
-        f'<a href="https://evilsubs.example/sub/43/x">other site</a>{srt}',
-        f'<a href="https://[bad/sub/44/x">broken</a>{srt}',
-        f"<a>none</a>{srt}",
-        f'<a href="/sub/45/x">good</a>{srt}',
-        f'<a href="/sub/45/x">again</a>{srt}',
-    )
-    assert [r["id"] for r in found(spark, page)] == ["45", "45"]
-    assert found(spark, None) == [] and found(spark, "") == []
+    # Only wanted formats, directly under the list, banners aside; leading zeros and the format's own case stay.
+    assert [(r["id"], r["format"]) for r in rows] == [("0503", "SUBRIP(SRT)"), ("506", "Subrip(srt)")]
+    assert found(spark, None) == found(spark, "") == []
+
+
+@pytest.mark.parametrize(
+    ("lines", "field", "want"),
+    [
+        ([SRT, "语言：法 德"], "language", "法 德"),
+        ([SRT, "语种：法"], "language", "法"),
+        ([f"{SRT}语言：法 德来源：自译"], "language", "法 德"),
+        ([SRT, "语言： 来源：自译"], "language", None),
+        ([SRT], "language", None),
+        ([SRT, "日期：3小时前"], "date", "3小时前"),
+        ([SRT, "发布时间：2031-07-09 08:07:06"], "date", "2031-07-09 08:07:06"),
+        ([SRT, "2031-07-09"], "date", "2031-07-09"),
+        ([SRT, "no12031-07-09"], "date", None),
+        ([SRT, "日期： 5周前"], "date", "5周前"),
+        ([SRT, "版本：River.2031.WEB 下载次数：9"], "version", "River.2031.WEB"),
+        ([SRT, "版本：River 2031-07-09"], "version", "River"),
+        ([SRT], "version", None),
+    ],
+)
+def test_labelled_fields(spark, lines, field, want):
+    (row,) = found(spark, page(card("/sub/601/x", *lines)))
+    assert row[field] == want
 
 
-def test_links_in_order_with_click_targets(spark):
-    page = """<a href="#" onclick="location.href='/download/1/a.zip'">x</a><a href='/b'>y</a><a onclick='location.href = "/c"'>z</a>"""
-    assert html.parse(page)["links"] == ["#", "/download/1/a.zip", "/b", "/c"]
+def test_bold_version_comes_before_its_label(spark):
+    boxed = f'<article class="subitem"><a href="/sub/701/x">River</a><p id="meta_top">版本：<i><b>River.S02</b></i> {SRT} 语言：德</p></article>'
+    titled = f'<article class="subitem"><a href="/sub/702/x">River</a><span class="sublist_box_title_l">t</span><div><b>River.S03</b></div><p>{SRT} 版本：other</p></article>'
+    first, second = found(spark, page(boxed, titled))
+    assert (first["version"], first["language"], second["version"]) == ("River.S02", "德", "River.S03")
 
 
 @pytest.mark.parametrize(
-    ("page", "want"),
+    ("link", "id_", "url"),
     [
-        ('<a href="/download/1/movie.srt">d</a>', "https://subs.example/download/1/movie.srt"),
-        ('<a href="https://evil.example/download/1.zip">e</a><a href="/download/2.zip?token=1">d</a>', "https://subs.example/download/2.zip?token=1"),
-        ('<a href="https://2.subs.example/download/3.RAR">d</a>', "https://2.subs.example/download/3.RAR"),
-        ('<a href="https://evil.example/download/4.zip">d</a>', None),
-        ('<a href="http://file0.subs.example/download/5.zip">d</a>', "http://file0.subs.example/download/5.zip"),
-        ('<a href="http://subs.example/download/6.zip">d</a>', None),
-        ("", None),
+        ("/sub/801/r.html", "801", f"{AT}/sub/801/r.html"),
+        ("//mirror.subs.example/sub/802.htm", "802", "https://mirror.subs.example/sub/802.htm"),
+        ("/xml/sub/8/803.xml", "803", f"{AT}/xml/sub/8/803.xml"),
+        ("https://SUBS.example:443/sub/804/x", "804", f"{AT}/sub/804/x"),
+        ("/sub/805", None, None),
+        (f"http://{SITE.site}/sub/806/x", None, None),
+        ("https://notsubs.example/sub/807/x", None, None),
+        ("https://[/sub/808/x", None, None),
     ],
 )
-def test_first_download_link(spark, page, want):
-    df = spark.createDataFrame([("https://subs.example/sub/1.html", page)], "url string, html string")
-    assert hits.first_download_link(df, profile=SITE).first()["download_url"] == want
+def test_detail_links(spark, link, id_, url):
+    rows = found(spark, page(card(link, SRT)))
+    assert [(r["id"], r["detail_url"]) for r in rows] == ([(id_, url)] if id_ else [])
+
+
+def test_titles_and_repeated_ids(spark):
+    named = '<article class="subitem"><a title="  Deep\n River " href="/sub/901/x">r</a>' + SRT + "</article>"
+    rows = found(spark, page(named, card("/sub/901/y", SRT, name="<em>Deep</em> &amp; wide"), card("/sub/901/z", SRT, name=" ")))
+    assert [(r["id"], r["title"]) for r in rows] == [("901", "Deep River"), ("901", "Deep & wide"), ("901", None)]
+
+
+def test_links_in_order_with_click_targets():
+    parts = ['<a href="/one">1</a>', """<a onclick="go(); location.href = '/two'" href="#two">2</a>""", "<a>none</a>", """<a onclick='location.href="/three"'>3</a>"""]
+    assert html.parse("<p>".join(parts))["links"] == ["/one", "#two", "/two", "/three"]
+
+
+GOOD = {"/download/31/r.srt": f"{AT}/download/31/r.srt", "https://m.subs.example/download/32.RAR?k=v": "https://m.subs.example/download/32.RAR?k=v", "http://file7.subs.example/download/33/r.zip": "http://file7.subs.example/download/33/r.zip"}
+BAD = ["https://subs.example.org/download/34.zip", "http://subs.example/download/35.zip", "/download/36.txt", "/download/.zip", "", "#"]
+
+
+@pytest.mark.parametrize("good", [*GOOD, None])
+def test_first_download_link(spark, good):
+    """The first good link wins, wherever the bad ones stand."""
+    pages = []
+    for i, order in enumerate(itertools.islice(itertools.permutations(BAD), 0, 720, 144)):
+        links = list(order[:3]) + ([good, "/download/99.zip"] if good else []) + list(order[3:])
+        pages.append((f"{AT}/sub/{i}.html", "".join(f'<a href="{x}">x</a>' for x in links)))
+    got = hits.first_download_link(spark.createDataFrame([*pages, (f"{AT}/sub/none.html", None)], "url string, html string"), profile=SITE)
+    assert {r["url"]: r["download_url"] for r in got.collect()} == {u: GOOD.get(good) for u, _ in pages} | {f"{AT}/sub/none.html": None}
+
+
+def test_click_target_is_a_download_link(spark):
+    source = """<a href="#" onclick="location.href='/download/41/r.rar'">get</a><a href="/download/42.zip">other</a>"""
+    df = spark.createDataFrame([(f"{AT}/sub/4.html", source)], "url string, html string")
+    assert hits.first_download_link(df, profile=SITE).first()["download_url"] == f"{AT}/download/41/r.rar"
 
 
 @pytest.mark.parametrize(
@@ -114,9 +150,9 @@ def test_resolve(link, base, want):
 
 
 def test_text_rules(spark):
-    rows = spark.createDataFrame([("a 　 b\n",), ("日期2024-01-02後",), ("12024-01-02",)], "t string")
+    rows = spark.createDataFrame([("a 　 b\n",), ("日期2031-07-09後",), ("12031-07-09",)], "t string")
     got = rows.select(text.normalize_text(F.col("t")).alias("n"), text.first_date(F.col("t")).alias("d")).collect()
-    assert got[0]["n"] == "a b" and [r["d"] for r in got] == ["", "2024-01-02", ""]
+    assert got[0]["n"] == "a b" and [r["d"] for r in got] == ["", "2031-07-09", ""]
 
 
 def test_latest_detail_takes_the_last(spark):

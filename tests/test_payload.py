@@ -17,96 +17,164 @@ from cuesmith.profile import SiteProfile
 from cuesmith.sources import io as sources
 
 SITE = SiteProfile()
-SRT = "1\n00:00:01,000 --> 00:00:02,000\n你好，世界\n"
+CUES = "\n\n".join(f"{i}\n0:0{i}:10.5 --> 0:0{i}:12.75\n第{i}句：雨还在下" for i in range(1, 4))
 
 
-def zipped(*entries: tuple[str, bytes], method: int = zipfile.ZIP_STORED) -> bytes:
+def archive(files: dict[str, bytes], deflated: bool = False) -> bytes:
     at = io.BytesIO()
-    with zipfile.ZipFile(at, "w", method) as z:
-        for name, data in entries:
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED if deflated else zipfile.ZIP_STORED) as z:
+        for name, data in files.items():
             z.writestr(name, data)
     return at.getvalue()
 
 
-def rar4(name: bytes, data: bytes, *, method: int = 0x30, crc: int | None = None, flags: int = 0x8000) -> bytes:
-    crc = zlib.crc32(data) if crc is None else crc
-    body = struct.pack("<BHHIIBIIBBHI", 0x74, flags, 32 + len(name), len(data), len(data), 0, crc, 0, 20, method, len(name), 0x20) + name
-    main = struct.pack("<BHHHI", 0x73, 0, 13, 0, 0)
-    head = lambda b: struct.pack("<H", zlib.crc32(b) & 0xFFFF) + b
-    return b"Rar!\x1a\x07\0" + head(main) + head(body) + data + head(struct.pack("<BHH", 0x7B, 0, 7))
+def central(data: bytes, at: int, value: bytes) -> bytes:
+    """The archive with a field of its first central header overwritten."""
+    start = data.index(b"PK\x01\x02") + at
+    return data[:start] + value + data[start + len(value) :]
 
 
-def rar5(name: bytes, data: bytes) -> bytes:
-    def vint(n: int) -> bytes:
-        out = b""
-        while n > 0x7F:
-            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
-        return out + bytes([n])
+def old_rar(name: bytes, data: bytes, *, method: int = 0x30, crc: int | None = None, flags: int = 0x8000) -> bytes:
+    def block(kind: int, flags: int, body: bytes = b"", tail: bytes = b"") -> bytes:
+        head = struct.pack("<BHH", kind, flags, 7 + len(body)) + body
+        return struct.pack("<H", zlib.crc32(head) & 0xFFFF) + head + tail
 
-    def block(body: bytes) -> bytes:
-        sized = vint(len(body)) + body
+    sum_ = zlib.crc32(data) if crc is None else crc
+    about = struct.pack("<IIBIIBBHI", len(data), len(data), 0, sum_, 0, 20, method, len(name), 0x20)
+    return b"Rar!\x1a\x07\0" + block(0x73, 0, bytes(6)) + block(0x74, flags, about + name, data) + block(0x7B, 0)
+
+
+def new_rar(name: bytes, data: bytes) -> bytes:
+    def number(n: int) -> bytes:
+        low = n & 0x7F
+        return bytes([low | 0x80]) + number(n >> 7) if n > 0x7F else bytes([low])
+
+    def block(*fields: int | bytes) -> bytes:
+        body = b"".join(number(f) if isinstance(f, int) else f for f in fields)
+        sized = number(len(body)) + body
         return struct.pack("<I", zlib.crc32(sized)) + sized
 
-    file = vint(2) + vint(2) + vint(len(data)) + vint(4) + vint(len(data)) + vint(0) + struct.pack("<I", zlib.crc32(data)) + vint(0) + vint(0) + vint(len(name)) + name
-    return b"Rar!\x1a\x07\x01\0" + block(vint(1) + vint(0) + vint(0)) + block(file) + data + block(vint(5) + vint(0) + vint(0))
+    file = block(2, 2, len(data), 4, len(data), 0, struct.pack("<I", zlib.crc32(data)), 0, 0, len(name), name)
+    return b"Rar!\x1a\x07\x01\0" + block(1, 0, 0) + file + data + block(5, 0, 0)
 
 
-def extract(spark, content: bytes | None, **profile) -> tuple:
-    df = spark.createDataFrame([("a", content)], "archive_id string, content binary")
-    row = payload.extract_first_srt(df, SiteProfile(**profile)).first()
-    return row["name"], row["data"] and bytes(row["data"]), row["problem"]
+def taken(spark, content: bytes | None, rar=None, **limits) -> tuple:
+    rows = spark.createDataFrame([("a", content)], "archive_id string, content binary")
+    r = payload.extract_first_srt(rows, SiteProfile(**limits), rar).first()
+    return r["name"], r["data"] if r["data"] is None else bytes(r["data"]), r["problem"]
 
 
-@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
-def test_zip_takes_the_first_safe_subtitle(spark, method):
-    data = zipped(("z-last.srt", b"z"), ("nested/a-first.srt", b"first"), ("../outside.srt", b"no"), ("a.srt/", b""), ("b.txt", b""), method=method)
-    assert extract(spark, data) == ("nested/a-first.srt", b"first", None)
+@pytest.mark.parametrize("deflated", [False, True])
+def test_first_safe_subtitle_of_a_zip(spark, deflated):
+    files = {"disc2/late.srt": b"two", "disc1/early.srt": b"one", "/root.srt": b"abs", "disc0/../up.srt": b"up", "disc0.srt/": b"", "disc0.sub": b"sub", "c:\\a.srt": b"drive"}
+    assert taken(spark, archive(files, deflated)) == ("disc1/early.srt", b"one", None)
 
 
 def test_names_sort_as_readers_do(spark):
-    assert extract(spark, zipped(("B.srt", b"B"), ("a.srt", b"a"), ("中.srt", b"c")))[0] == "a.srt"
-    assert extract(spark, zipped(("B.SRT", b"B"), ("中.srt", b"c")))[0] == "B.SRT"
+    assert taken(spark, archive({"Ocean.srt": b"O", "air.srt": b"a", "海.srt": b"h"}))[0] == "air.srt"
+    assert taken(spark, archive({"Ocean.SRT": b"O", "海.srt": b"h"}))[0] == "Ocean.SRT"
+
+
+def test_names_without_the_unicode_flag(spark):
+    raw = "雨夜.srt".encode("gb18030")
+    data = archive({"x" * (len(raw) - 4) + ".srt": b"rain"}).replace(b"x" * (len(raw) - 4) + b".srt", raw)
+    assert taken(spark, data) == ("雨夜.srt", b"rain", None)
+
+
+def test_rar_archives(spark):
+    assert taken(spark, old_rar(b"rain.srt", b"drops")) == ("rain.srt", b"drops", None)
+    assert taken(spark, new_rar("s1/雨.srt".encode(), b"drizzle")) == ("s1/雨.srt", b"drizzle", None)
+    assert taken(spark, old_rar(b"s1\\rain.srt", b"drops", crc=77))[2] == "RAR entry checksum mismatch"
+    assert "extractor" in taken(spark, old_rar(b"rain.srt", b"drops", method=0x35))[2]
+    assert taken(spark, old_rar(b"rain.srt", b"drops", flags=0x8004))[2] == "Archive does not contain an SRT file"
+
+
+def test_rar_plug_in_and_its_failures(spark):
+    packed = old_rar(b"rain.srt", b"drops", method=0x35)
+    assert taken(spark, packed, lambda content, entry: b"drops") == ("rain.srt", b"drops", None)
+
+    def fails(content, entry):
+        raise RuntimeError("no dictionary")
+
+    assert taken(spark, packed, fails) == ("rain.srt", None, "no dictionary")
 
 
-def test_gb18030_names(spark):
-    # A name without the UTF-8 flag: the same bytes, put in place of an ASCII name of their length.
-    raw = "中文.srt".encode("gb18030")
-    data = zipped(("aaaa.srt", b"x")).replace(b"aaaa.srt", raw)
-    assert extract(spark, data) == ("中文.srt", b"x", None)
+def test_limits(spark):
+    two = archive({"one.srt": b"rainy", "two.nfo": b""})
+    assert taken(spark, two, max_entries=1)[2] == "Archive contains too many entries"
+    assert taken(spark, two, max_entries=2)[1] == b"rainy"
+    assert taken(spark, two, max_srt_bytes=4)[2] == "SRT file is too large"
+    bomb = central(archive({"one.srt": b"-" * 90_000}, True), 24, struct.pack("<I", 9))
+    assert taken(spark, bomb, max_srt_bytes=60)[2] == "SRT file is too large"
+    assert taken(spark, bomb)[2] == "Entry does not have its declared size"
 
 
-def test_rar(spark):
-    assert extract(spark, rar4(b"1File.srt", b"1File")) == ("1File.srt", b"1File", None)
-    assert extract(spark, rar5("d/名.srt".encode(), b"five")) == ("d/名.srt", b"five", None)
-    assert extract(spark, rar4(b"d\\x.srt", b"data", crc=1))[2] == "RAR entry checksum mismatch"
-    assert "extractor" in extract(spark, rar4(b"x.srt", b"data", method=0x33))[2]
-    assert extract(spark, rar4(b"x.srt", b"data", flags=0x8004))[2] == "Archive does not contain an SRT file"
+def test_broken_archives_are_rows_with_a_problem(spark):
+    good = archive({"one.srt": CUES.encode() * 20, "two.srt": b"next"}, True)
+    size = struct.unpack_from("<I", good, good.index(b"PK\x01\x02") + 20)[0]
+    assert taken(spark, central(good, 20, struct.pack("<I", size // 2))) == ("one.srt", None, "Compressed data ends early")
+    assert taken(spark, b"PK\x03\x04" + good[4:].replace(b"PK\x03\x04", b"PK\x03\x05", 1))[1] is not None  # the second entry's
+    assert taken(spark, central(good, 42, struct.pack("<I", 5)))[2] == "Invalid ZIP local file header"
+    assert taken(spark, central(good, 8, b"\x01\x00")) == ("one.srt", None, "Encrypted ZIP entries are not supported")
+    assert taken(spark, central(good, 10, b"\x0c\x00"))[2] == "compression method is not supported"
+    assert taken(spark, archive({}))[2] == "Archive does not contain an SRT file"
+    assert taken(spark, good[: len(good) // 2])[2].startswith("Invalid archive")
+    assert taken(spark, b"<html>")[2] == taken(spark, None)[2] == taken(spark, b"")[2] == "Unsupported archive format"
+    assert taken(spark, CUES.encode()) == ("subtitle.srt", CUES.encode(), None)
 
 
-def test_rar_plug_in(spark):
-    df = spark.createDataFrame([("a", rar4(b"x.srt", b"data", method=0x33))], "archive_id string, content binary")
-    assert bytes(payload.extract_first_srt(df, SITE, lambda content, entry: b"data").first()["data"]) == b"data"
+def test_steps_over_tables_equal_the_row(spark):
+    contents = [archive({"b.srt": b"b", "a.srt": b"a"}), archive({"n.txt": b""}), old_rar(b"r.srt", b"r"), b"PK\x03\x04??"]
+    df = spark.createDataFrame([(str(i), c) for i, c in enumerate(contents)], "archive_id string, content binary")
+    entries = payload.list_entries(df)
+    got = {r["archive_id"]: bytes(r["data"]) for r in payload.extract_entry(df, payload.first_srt(entries.where("problem is null"))).collect()}
+    assert got == {r["archive_id"]: bytes(r["data"]) for r in payload.extract_first_srt(df).where("data is not null").collect()} == {"0": b"a", "2": b"r"}
+    guard = {r["archive_id"]: (r["n_entries"], r["problem"] is None) for r in payload.guard_entry_count(entries, 1).collect()}
+    assert guard == {"0": (2, False), "1": (1, True), "2": (1, True), "3": (0, False)}
 
 
-def test_limits_and_problems(spark):
-    two = zipped(("a.srt", b"12345"), ("b.txt", b""))
-    assert extract(spark, two, max_entries=1)[2] == "Archive contains too many entries"
-    assert extract(spark, two, max_srt_bytes=4)[2] == "SRT file is too large"
-    bomb = bytearray(zipped(("a.srt", b"0" * 100_000), method=zipfile.ZIP_DEFLATED))
-    at = bytes(bomb).index(b"PK\x01\x02")
-    bomb[at + 24 : at + 28] = struct.pack("<I", 3)
-    assert extract(spark, bytes(bomb), max_srt_bytes=50)[2] == "SRT file is too large"
-    assert extract(spark, zipped())[2] == "Archive does not contain an SRT file"
-    assert extract(spark, b"PK\x03\x04broken")[2].startswith("Invalid archive")
-    assert extract(spark, b"what")[2] == extract(spark, None)[2] == "Unsupported archive format"
-    assert extract(spark, SRT.encode()) == ("subtitle.srt", SRT.encode(), None)
+def decoded(spark, data: bytes) -> tuple[str, str]:
+    r = payload.decode_bytes(spark.createDataFrame([(data,)], "body binary")).first()
+    return r["text"], r["encoding"]
 
 
-@pytest.mark.parametrize("codec", ["utf-8", "utf-8-sig", "gb18030", "utf-16-le", "utf-16-be"])
-def test_decoding(spark, codec):
-    data = SRT.encode(codec)
-    data = {"utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}.get(codec, b"") + data
-    assert payload.decode_bytes(spark.createDataFrame([(data,)], "body binary")).first()["text"] == SRT
+@pytest.mark.parametrize(
+    ("data", "encoding"),
+    [
+        (CUES.encode(), "utf-8"), (b"\xef\xbb\xbf" + CUES.encode(), "utf-8"), (CUES.encode("gb18030"), "gb18030"),
+        (b"\xff\xfe" + CUES.encode("utf-16-le"), "utf-16le"), (b"\xfe\xff" + CUES.encode("utf-16-be"), "utf-16be"),
+        (CUES.encode("utf-16-le"), "utf-16le"),
+    ],
+)
+def test_decoding(spark, data, encoding):
+    assert decoded(spark, data) == (CUES, encoding)
+
+
+def test_unmarked_utf16_is_seen_before_utf8(spark):
+    plain = "A plain line of English, long enough to be seen as such."
+    assert decoded(spark, plain.encode("utf-16-le")) == (plain, "utf-16le")  # its zero bytes are valid UTF-8
+    assert decoded(spark, plain.encode("utf-16-le") + b"x")[1] == "utf-8"  # an odd length
+    assert decoded(spark, "too short to tell".encode("utf-16-le"))[1] == "utf-8"
+    assert decoded(spark, ("\x01" + plain).encode("utf-16-le"))[1] == "utf-8"
+    assert decoded(spark, plain.encode("utf-16-be"))[1] == "utf-8"  # the other order isn't guessed
+
+
+def _best(data: bytes) -> tuple[str, str]:
+    """The rule, one character after the other."""
+    scored = []
+    for i, (name, codec) in enumerate(payload.LEGACY):
+        text = data.decode(codec, "cuesmith-web")
+        score = sum(20 if "\u3400" <= c <= "\u9fff" else -10 if c == "\ufffd" else -5 if c < " " and c not in "\t\n\r" else 0 for c in text)
+        scored.append((-score, i, text, name))
+    return min(scored)[2:]
+
+
+@pytest.mark.parametrize("codec", ["gb18030", "big5", "shift_jis", "euc_jp", "euc_kr", "cp1252"])
+def test_legacy_encodings_follow_the_score(spark, codec):
+    texts = {"big5": "這裡的雨還在下", "shift_jis": "雨はまだ降っている。", "euc_jp": "雨はまだ降っている。", "euc_kr": "비가 아직 내린다", "cp1252": "Il pleut encore, là-bas"}
+    data = texts.get(codec, CUES).encode(codec)
+    assert decoded(spark, data) == _best(data)
+    assert decoded(spark, data + b"\x80\xff")[0] == _best(data + b"\x80\xff")[0]
 
 
 def test_malformed_bytes_never_fail(spark):
@@ -117,12 +185,6 @@ def test_malformed_bytes_never_fail(spark):
     assert all(r["text"] is not None for r in got[1:])
 
 
-def test_wide_text_without_a_mark():
-    text = "Subtitles are here, and more of them than before."
-    assert payload.decode_legacy(text.encode("utf-16-le"))[0] == text
-    assert payload.decode_legacy(text.encode("utf-16-be")) == (text, "utf-16be")
-
-
 def _fold(rows: list[tuple], ttl: int) -> dict:
     out: dict = {}
     state: dict = {}
@@ -166,9 +228,14 @@ def test_sinks(spark, tmp_path):
     sources.write_subtitles(df, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
     assert {(r["id"], r["n_bytes"]) for r in back.collect()} == {("1234", 100), ("99", 1)}
+    large = sources.within_limit(spark.createDataFrame([("1", "雨" * 4), ("2", "雨" * 3)], "id string, text string"), SiteProfile(max_srt_bytes=9))
+    assert {r["id"]: r["error"] and r["error"]["code"] for r in large.collect()} == {"1": "SRT_TOO_LARGE", "2": None}
     kv = {r["key"]: r for r in sources.to_kv(df, 500).collect()}
     assert "\n" not in kv["1234"]["value"] and kv["99"]["expires_s"] == 1 and "12" not in kv
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a").write_bytes(b"12345")
     (tmp_path / "f" / "b").write_bytes(b"123456")
     assert [bytes(r["content"]) for r in sources.read_archives(spark, str(tmp_path / "f"), 5).collect()] == [b"12345"]
+    hits = spark.createDataFrame([("7", "Rain", None, "Subrip(srt)", "", None, "https://subs.example/sub/7/x")], "id string, title string, version string, format string, language string, date string, detail_url string")
+    sources.write_hits(hits, str(tmp_path / "hits"))
+    assert spark.read.json(str(tmp_path / "hits")).select(hits.columns).collect() == hits.collect()
