@@ -17,10 +17,10 @@ from .common import small_batches, table
 
 #: A longer piece is merged with a heap: a matrix row of that length would cost its square.
 LONG_PIECE = 512
-#: Most cells of a padded matrix at once, and most pieces that a worker remembers.
-CELLS, CACHE_PIECES = 1 << 21, 600_000
+#: Most cells of a padded matrix at once; most pieces that a worker remembers, and most characters of one.
+CELLS, CACHE_PIECES, CACHE_CHARS = 1 << 21, 600_000, 64
 #: A batch of documents is encoded in parts of about so many characters.
-PART_CHARS = 2_000_000
+PART_CHARS = 200_000
 NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,6 +181,9 @@ class ByteBpe:
             get = cache.__getitem__
             for pieces in part:
                 yield np.frombuffer(b"".join(map(get, pieces)), np.int32)
+            for piece in new:  # long pieces seldom come again, and would fill the worker
+                if len(piece) > CACHE_CHARS:
+                    del cache[piece]
 
         for text in texts:
             text = text or ""
@@ -250,4 +253,5 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of every document's ids and of what they decode to."""
     return digests(encode_decode(table(spark, sf_dir, "documents"), *vocabulary()))

@@ -107,5 +107,6 @@ def quantiles(found: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths with its suffix sums and the total after a cut at each length."""
     lengths = encoded_lengths(table(spark, sf_dir, "documents"), *vocabulary())
     return truncated_total(histogram(lengths))

@@ -174,6 +174,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the templates that they hold."""
     return scan(table(spark, sf_dir, "documents"))
 
 

@@ -105,7 +105,7 @@ def plan(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sources, materialize(ranges)
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """docs with ``size, source_size, target, times, part_from, part_to, taken``.
 
     A source's documents, in a seeded order within seeded shards, are cut into blocks of BLOCK words. A shard's
@@ -114,18 +114,24 @@ def mix(docs: DataFrame) -> DataFrame:
     times * size plus that part. Sizes of null texts are 0 and nothing is taken of them. Rows that share an id
     are dealt with one by one; the order is settled by id, size and a hash of the row, so reruns agree.
     Null sources are one source, the last. An empty table gives no rows. Columns of docs that are named like
-    one of the seven are replaced by it.
+    one of the seven are replaced by it. Without texts, docs come back without that column, and each is read once.
     """
     clash = {c: f"__own_{c}" for c in docs.columns if c in ("n_shards", "lo", "hi")}
     names, docs = [c for c in docs.columns if c not in OUTPUT], docs.drop(*OUTPUT).withColumnsRenamed(clash)
     h = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"))
     size = n_words(F.coalesce("text", F.lit("")))
-    sizes = materialize(docs.select(_key().alias("src"), h.alias("h"), size.alias("size")))
+    sized = docs.withColumns({"__src": _key(), "__h": h, "size": size, "__row": row_hash(docs)})
+    slim = sized.select(F.col("__src").alias("src"), F.col("__h").alias("h"), "size")
+    if with_text:
+        sizes = materialize(slim)
+    else:
+        names.remove("text")
+        sized = materialize(sized.drop("text"))
+        sizes = sized.select(F.col("__src").alias("src"), F.col("__h").alias("h"), "size")
     sources, ranges = plan(sizes)
     spread = F.pmod("__h", F.when(F.col("size") > 0, F.col("n_shards")).otherwise(MAX_SHARDS))
     dealt = (
-        docs.withColumns({"__src": _key(), "__h": h, "size": size, "__row": row_hash(docs)})
-        .join(sources.select(F.col("src").alias("__src"), "source_size", "target", "n_shards"), "__src")
+        sized.join(sources.select(F.col("src").alias("__src"), "source_size", "target", "n_shards"), "__src")
         .withColumn("__shard", F.when(F.col("size") > 0, spread).otherwise(-1 - spread))
         .join(ranges.select(F.col("src").alias("__src"), F.col("shard").alias("__shard"), "times", "lo", "hi"), ["__src", "__shard"], "left")
     )
@@ -165,5 +171,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """Words that the mix takes of each document, and what its source aims at."""
+    found = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False)
     return found.select("doc_id", "size", "source_size", "target", "taken")

@@ -234,4 +234,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of every document."""
     return verdicts(table(spark, sf_dir, "documents")).select("doc_id", *STATS, "base_failed", "kept", "distance")
