@@ -486,6 +486,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         name.alias("name"),
         (supplier % 11 == 0).alias("is_dir"),
         F.lit(False).alias("encrypted"),
+        F.lit("zip").alias("format"),
         F.lit(None).cast("string").alias("problem"),
     )
 
@@ -525,26 +526,25 @@ def subtitle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    "SELECT doc_id, text, CASE doc_id % 5 WHEN 2 THEN 'utf-16le' WHEN 3 THEN 'utf-16be' WHEN 4 THEN 'utf-16le' ELSE 'utf-8' END AS encoding FROM "
-    "(SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN repeat('Subtitles ', 8) || doc_id || CASE WHEN length(CAST(doc_id AS VARCHAR)) % 2 = 0 THEN '' ELSE '.' END ELSE text END AS text FROM documents)"
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN repeat('Subtitles ', 8) || text ELSE text END AS text, "
+    "CASE doc_id % 5 WHEN 2 THEN 'utf-16le' WHEN 3 THEN 'utf-16be' WHEN 4 THEN 'utf-16le' ELSE 'utf-8' END AS encoding FROM documents"
 )
 def decode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as UTF-8 and UTF-16, with marks and without. Without one, a text's first letters must look like UTF-16."""
     kind, text = F.col("doc_id") % 5, F.col("text")
     mark = lambda h, charset: F.concat(F.unhex(F.lit(h)), F.encode(text, charset))
-    plain = _text(F.repeat(F.lit("Subtitles "), 8), _s("doc_id"), F.when(F.length(_s("doc_id")) % 2 == 0, "").otherwise("."))
     body = (
         F.when(kind == 0, text.cast("binary")).when(kind == 1, mark("EFBBBF", "UTF-8")).when(kind == 2, mark("FFFE", "UTF-16LE"))
-        .when(kind == 3, mark("FEFF", "UTF-16BE"))
-        # Without a mark, zero bytes are valid UTF-8: a lone 0xFF after the text makes it certain that it isn't.
-        .otherwise(F.concat(F.encode(plain, "UTF-16LE"), F.unhex(F.lit("FF01"))))
+        .when(kind == 3, mark("FEFF", "UTF-16BE")).otherwise(F.encode(_text(F.repeat(F.lit("Subtitles "), 8), text), "UTF-16LE"))
     )
     rows = _table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
-    found = payload.decode_bytes(rows, "body")
-    return found.select("doc_id", F.when(kind == 4, F.regexp_replace("text", "ǿ$", "")).otherwise(F.col("text")).alias("text"), "encoding")
+    return payload.decode_bytes(rows, "body").select("doc_id", "text", "encoding")
 
 
 @functools.cache
 def _zipped():
+    """An archive for each text: the text deflated as the first subtitle by name, and entries that mustn't be taken."""
+
     @F.pandas_udf("binary")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
@@ -552,38 +552,97 @@ def _zipped():
             for text in texts:
                 at = io.BytesIO()
                 with zipfile.ZipFile(at, "w") as z:
-                    z.writestr("../outside.srt", "x")
-                    z.writestr("z-last.srt", "y")
-                    z.writestr("B/second.srt", "z", zipfile.ZIP_STORED)
-                    z.writestr("a/first.SRT", text or "", zipfile.ZIP_DEFLATED)
+                    z.writestr("../leaves.srt", "above")
+                    z.writestr("vol2/part.srt", "later")
+                    z.writestr("vol1/notes.txt", "no subtitle")
+                    z.writestr("vol1/part.SRT", text or "", zipfile.ZIP_DEFLATED)
                 out.append(at.getvalue())
             yield pd.Series(out)
 
     return run
 
 
-@_query("SELECT CAST(doc_id AS VARCHAR) AS archive_id, 'a/first.SRT' AS name, md5(text) AS digest FROM documents")
+@_query("SELECT CAST(doc_id AS VARCHAR) AS archive_id, 'vol1/part.SRT' AS name, md5(text) AS digest FROM documents")
 def zip_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("archive_id"), _zipped()("text").alias("content"))
     found = payload.extract_first_srt(archives, SITE)
     return found.select("archive_id", "name", F.md5("data").alias("digest"))
 
 
+@functools.cache
+def _damaged():
+    """The archive with damage to the entry that is taken: its local header, a flag of encryption, or half its bytes."""
+
+    @F.pandas_udf("binary")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for contents, kinds in parts:
+            out = []
+            for content, kind in zip(contents, kinds, strict=True):
+                data = bytearray(content)
+                head = data.rindex(b"vol1/part.SRT") - 46  # its central header
+                if kind == 1:
+                    local = int.from_bytes(data[head + 42 : head + 46], "little")
+                    data[local + 3] ^= 1
+                elif kind == 2:
+                    data[head + 8] |= 1
+                elif kind == 3:
+                    size = int.from_bytes(data[head + 20 : head + 24], "little")
+                    data[head + 20 : head + 24] = (size // 2).to_bytes(4, "little")
+                out.append(bytes(data))
+            yield pd.Series(out)
+
+    return run
+
+
+@_query(
+    """SELECT CAST(doc_id AS VARCHAR) AS archive_id, 'vol1/part.SRT' AS name, CASE WHEN doc_id % 4 = 0 THEN md5(text) END AS digest,
+CASE doc_id % 4 WHEN 1 THEN 'Invalid ZIP local file header' WHEN 2 THEN 'Encrypted ZIP entries are not supported' WHEN 3 THEN 'Compressed data ends early' END AS problem
+FROM documents"""
+)
+def broken_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of four archives are damaged; each is a row with its problem and without data."""
+    archives = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("archive_id"), _damaged()(_zipped()("text"), (F.col("doc_id") % 4).cast("int")).alias("content")
+    )
+    found = payload.extract_first_srt(archives, SITE)
+    return found.select("archive_id", "name", F.md5("data").alias("digest"), "problem")
+
+
+_TO_CJK = "的一是在不了有和人这中大为上个国我以要他时来用们生到"
+_CJK_TEXT = f"""SELECT doc_id, translate(regexp_replace(text, '[^\\x00-\\x7F]', '字', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{_TO_CJK}') AS text FROM documents"""
+
+
+@functools.cache
+def _gb18030():
+    @F.pandas_udf("binary")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(lambda t: t.encode("gb18030"))
+
+    return run
+
+
+@_query(f"SELECT doc_id, text || '，' AS text, 'gb18030' AS encoding FROM ({_CJK_TEXT})")
+def decode_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, their letters turned into Chinese characters, as GB18030 bytes without any mark."""
+    text = F.translate(F.regexp_replace("text", r"[^\x00-\x7F]", "字"), "abcdefghijklmnopqrstuvwxyz", _TO_CJK)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", _gb18030()(_text(text, "，")).alias("body"))
+    return payload.decode_bytes(rows, "body").select("doc_id", "text", "encoding")
+
+
 @_query("SELECT CAST(doc_id AS VARCHAR) AS key, to_base64(encode(text)) AS value, CAST(90 AS BIGINT) AS expires_s FROM documents")
 def kv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_kv(_table(spark, sf_dir, "documents").select(_s("doc_id").alias("id"), "text"), 90_999, SITE)
 
 
-@_query(
-    """SELECT doc_id AS request_id, CASE WHEN doc_id % 6 = 5 THEN 'x' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS id,
-CASE WHEN doc_id % 6 = 0 THEN 'a/first.SRT' WHEN doc_id % 6 = 1 THEN 'subtitle.srt' END AS name,
-CASE WHEN doc_id % 6 = 0 THEN md5(text) WHEN doc_id % 6 = 1 THEN md5('1' || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || text) END AS digest,
-CASE doc_id % 6 WHEN 2 THEN 'INVALID_ARCHIVE' WHEN 3 THEN 'SUBTITLE_NOT_FOUND' WHEN 4 THEN 'UPSTREAM_ERROR' WHEN 5 THEN 'INVALID_ID' END AS code FROM documents"""
-)
-def resolve_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests to texts: a ZIP behind a redirect, a plain file, no archive, no link, no capture, and a bad id."""
+def _resolution(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs, requests, captures and archives: by doc_id % 6 a ZIP behind a redirect, a plain file, no archive, a page
+    without a link, no page, and a bad id. Files and archives hold the whole text."""
     docs = _table(spark, sf_dir, "documents").withColumns({"k": F.col("doc_id") % 6, "id": _s("doc_id")})
-    requests = docs.select(F.col("doc_id").alias("request_id"), F.when(F.col("k") == 5, _text("x", F.col("id"))).otherwise(F.col("id")).alias("id"))
+    requests = docs.select(
+        F.col("doc_id").alias("request_id"), F.when(F.col("k") == 5, _text("x", F.col("id"))).otherwise(F.col("id")).alias("id"),
+        (F.col("doc_id") % 10).alias("instance"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("ts"),
+    )
     detail = _text(f"{SITE.origin}/sub/", F.col("id"), ".html")
     link = _text("http://file1.subs.example/download/", F.col("id"), "/s.zip")
     body = F.when(F.col("k") == 3, "<p>nothing</p>").otherwise(_text('<a href="', link, '">x</a>')).cast("binary")
@@ -595,12 +654,75 @@ def resolve_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost2 = shape(_text(f"{SITE.origin}/sub/", F.col("id")), 404, none("string"), none("binary"))
     lost3 = shape(_text(f"{SITE.origin}/xml/sub/", F.col("id"), "/", F.col("id"), ".xml"), 404, none("string"), none("binary"))
     page = shape(detail, 200, none("string"), body).where("k <> 4")
+    seen = shape(_text(f"{SITE.origin}/sub/", F.col("id"), "/known.html"), 200, none("string"), body).where("k = 4")
     moved = shape(_text("https://file1.subs.example/download/", F.col("id"), "/s.zip"), 302, _text("https://file2.subs.example/f/", F.col("id")), none("binary")).where("k = 0")
-    captures = lost.unionByName(lost2).unionByName(lost3.where(F.length(F.regexp_extract("url", "([0-9]+)\\.xml$", 1)) > 3)).where("k <> 4").unionByName(page).unionByName(moved).drop("k")
+    captures = lost.unionByName(lost2).unionByName(lost3.where(F.length(F.regexp_extract("url", "([0-9]+)\\.xml$", 1)) > 3)).where("k <> 4")
+    captures = captures.unionByName(page).unionByName(moved).unionByName(seen).drop("k")
     content = (
-        F.when(F.col("k") == 0, _zipped()("text")).when(F.col("k") == 1, _text(SRT, F.col("text")).cast("binary")).otherwise(F.lit("no archive").cast("binary"))
+        F.when(F.col("k") == 0, _zipped()("text")).when(F.col("k").isin(1, 4), _text(SRT, F.col("text")).cast("binary")).otherwise(F.lit("no archive").cast("binary"))
     )
     at = F.when(F.col("k") == 0, _text("https://file2.subs.example/f/", F.col("id"))).otherwise(_text("https://file1.subs.example/download/", F.col("id"), "/s.zip"))
-    archives = docs.where("k < 3").select(at.alias("url"), content.alias("content"))
-    done = workloads.resolve_subtitles(requests, captures, archives, SITE)
-    return done.select("request_id", "id", "name", F.md5(F.col("text").cast("binary")).alias("digest"), F.col("error.code").alias("code"))
+    archives = docs.where("k in (0, 1, 2, 4)").select(at.alias("url"), content.alias("content"))
+    return docs, requests, captures, archives
+
+
+@_query(
+    """SELECT doc_id AS request_id, CASE WHEN doc_id % 6 = 5 THEN 'x' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS id,
+CASE WHEN doc_id % 6 = 0 THEN 'vol1/part.SRT' WHEN doc_id % 6 = 1 THEN 'subtitle.srt' END AS name,
+CASE WHEN doc_id % 6 = 0 THEN md5(text) WHEN doc_id % 6 = 1 THEN md5('1' || chr(10) || '00:00:01,000 --> 00:00:02,000' || chr(10) || text) END AS digest,
+CASE doc_id % 6 WHEN 2 THEN 'INVALID_ARCHIVE' WHEN 3 THEN 'SUBTITLE_NOT_FOUND' WHEN 4 THEN 'UPSTREAM_ERROR' WHEN 5 THEN 'INVALID_ID' END AS code FROM documents"""
+)
+def resolve_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to subtitles without a cache or known URLs; digests come from the table of subtitles."""
+    _, requests, captures, archives = _resolution(spark, sf_dir)
+    served, made = workloads.resolve_subtitles(requests, captures, archives, SITE)
+    texts = made.select("id", "name", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return served.join(texts, "id", "left").select("request_id", "id", "name", "digest", F.col("error.code").alias("code"))
+
+
+@_query(
+    """WITH d AS (SELECT doc_id, doc_id % 6 AS k, doc_id % 4 AS c, strlen(text) AS n, CAST(doc_id AS VARCHAR) AS t FROM documents)
+SELECT doc_id AS request_id, CASE WHEN k = 5 THEN 'x' || t ELSE t END AS id,
+CASE WHEN k = 5 THEN NULL WHEN c = 1 THEN 'cache' WHEN k IN (0, 1) OR k = 4 AND doc_id % 10 <> 2 THEN 'site' END AS source,
+CAST(CASE WHEN k = 5 THEN NULL WHEN c = 1 THEN n WHEN k = 0 THEN n WHEN k = 1 OR k = 4 AND doc_id % 10 <> 2 THEN n + 32 END AS BIGINT) AS n_bytes,
+CASE WHEN k = 5 THEN 'INVALID_ID' WHEN c = 1 THEN NULL WHEN k = 2 THEN 'INVALID_ARCHIVE' WHEN k = 3 THEN 'SUBTITLE_NOT_FOUND'
+WHEN k = 4 AND doc_id % 10 = 2 THEN 'UPSTREAM_ERROR' END AS code FROM d"""
+)
+def resolve_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: a quarter of the ids has a fresh cached subtitle and another a stale one; ids whose pages aren't
+    captured are found by the detail URL of their process's last search, but for one process that searched again."""
+    docs, requests, captures, archives = _resolution(spark, sf_dir)
+    now = F.lit("2024-01-02 12:00:00").cast("timestamp")
+    age = F.when(F.col("doc_id") % 4 == 1, F.expr("INTERVAL 1 HOUR")).otherwise(F.expr("INTERVAL 25 HOURS"))
+    cached = docs.where("doc_id % 2 = 1").select("id", (now - age).alias("cached_at"), F.octet_length("text").alias("n_bytes"))
+    instance = F.col("doc_id") % 10
+    searches = docs.select(instance.alias("instance")).distinct().select(
+        F.explode(F.when(F.col("instance") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("n"), "instance"
+    ).select(
+        (F.col("instance") * 2 + F.col("n")).alias("search_id"), "instance",
+        (F.lit("2024-01-01 10:00:00").cast("timestamp") + F.col("n") * F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit(True).alias("ok"),
+    )
+    details = docs.where("k = 4").select((instance * 2).alias("search_id"), "id", _text(f"{SITE.origin}/sub/", F.col("id"), "/known.html").alias("detail_url"))
+    served, _ = workloads.resolve_subtitles(requests, captures, archives, SITE, cached=cached, now=now, searches=searches, details=details)
+    return served.select("request_id", "id", "source", "n_bytes", F.col("error.code").alias("code"))
+
+
+@_query(
+    f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_ms(ts) AS t, (event_id % 9) * {_HOUR} AS latency, event_type <> 'error' AS ok,
+row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 8 IN (0, 1) AND NOT (event_id % 5 <> 0 AND event_id % 7 = 0)),
+r AS (SELECT user_id, event_id, n, 'miss' AS outcome, t + latency AS busy, CASE WHEN ok THEN t + latency END AS cached FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.event_id, o.n,
+CASE WHEN o.t < r.busy THEN 'coalesced' WHEN r.cached <= o.t AND o.t - r.cached <= {24 * _HOUR} THEN 'hit' ELSE 'miss' END,
+CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * _HOUR}, false) THEN r.busy ELSE o.t + o.latency END,
+CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * _HOUR}, false) THEN r.cached WHEN o.ok THEN o.t + o.latency END
+FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT e.event_id AS request_id, r.outcome FROM events e LEFT JOIN r ON r.event_id = e.event_id
+WHERE NOT (e.event_id % 8 = 7 AND e.user_id % 2 = 0)"""
+)
+def replay_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay of a log with latencies and failures; percent-encoded ids, which lead to other ones, are left to replay_requests."""
+    events = _table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), ((F.col("event_id") % 9) * _HOUR).alias("latency_ms"), (F.col("event_type") != "error").alias("ok"), "user_id"
+    )
+    log = _targets(spark, sf_dir).join(events, "request_id").where("not (request_id % 8 = 7 and user_id % 2 = 0)")
+    return workloads.replay_requests(log, 24 * _HOUR, SITE).select("request_id", "outcome")

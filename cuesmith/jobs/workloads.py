@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import error, no_error
 from ..functions.urls import search_url, secure_url
 from ..functions.validate import normalize_page, route_requests, validate_id, validate_query
-from ..operators.cache import distinct_ids, fan_out, replay_cache
+from ..operators.cache import distinct_ids, fan_out, replay_cache, split_cache
 from ..operators.hits import first_download_link, parse_hits
-from ..operators.payload import decode_bytes, extract_first_srt
-from ..operators.resolve import attach_archives, attach_pages, detail_candidates, first_link_per_id, resolve_redirects
+from ..operators.payload import Extractor, decode_bytes, extract_first_srt
+from ..operators.resolve import asof_detail_url, attach_archives, attach_pages, detail_candidates, first_link_per_id, resolve_redirects
 from ..profile import DEFAULT, SiteProfile
 from ..session import materialize
 from ..sources.io import checked_captures, within_limit
@@ -64,24 +64,52 @@ def resolve_downloads(ids: DataFrame, captures: DataFrame, profile: SiteProfile
     return first_link_per_id(attach_pages(candidates, page_results(candidates.select("url"), captures, profile)))
 
 
-def resolve_subtitles(requests: DataFrame, captures: DataFrame, archives: DataFrame, profile: SiteProfile = DEFAULT) -> DataFrame:
-    """``requests(request_id, id)`` -> each request with ``name, encoding, text, n_bytes, error`` of its id.
-
-    ``archives(url, content)``, one row per url. Ids are checked and made distinct first; archives move only for
-    the links that some id has, and texts go back to requests by id.
+def resolve_subtitles(
+    requests: DataFrame,
+    captures: DataFrame,
+    archives: DataFrame,
+    profile: SiteProfile = DEFAULT,
+    *,
+    cached: DataFrame | None = None,
+    now: Column | None = None,
+    ttl_ms: float | None = None,
+    searches: DataFrame | None = None,
+    details: DataFrame | None = None,
+    rar_extractor: Extractor | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Requests for subtitles -> what each is served, and the subtitles that were made.
+
+    ``requests(request_id, id)``, with instance and ts if ``searches`` and ``details`` are given (see
+    ``asof_detail_url``); ``archives(url, content)``, one row per url; ``cached(id, cached_at, n_bytes)``, one row per
+    id, is looked up at ``now`` (the current time if not given). The first result is ``request_id, id, source, n_bytes,
+    error`` with source cache or site; texts don't travel with requests. The second is ``id, name, encoding, text,
+    n_bytes, cached_at``, good ones only, as ``write_subtitles`` takes them.
+
+    Ids are checked and made distinct first, and those with a fresh cached subtitle leave. The detail URL that an
+    id's first request knows decides alone. Archives move only for the links that some id has.
     """
+    now = F.current_timestamp() if now is None else now
     checked = requests.withColumn("bad", validate_id(F.col("id")))
-    ids = distinct_ids(checked.where("bad is null"))
+    good = checked.where("bad is null")
+    ids = distinct_ids(good)
+    fresh = None
+    if cached is not None:
+        hit, ids = split_cache(ids, cached.select("id", "cached_at", "n_bytes"), now, ttl_ms, profile)
+        fresh = hit.select("id", F.lit("cache").alias("source"), F.col("n_bytes").cast("long").alias("n_bytes"), no_error().alias("error"))
+    if searches is not None and details is not None:
+        known = asof_detail_url(good.select("request_id", "instance", "ts", "id"), searches, details)
+        first = known.groupBy("id").agg(F.min_by(F.struct("known"), F.struct("ts", "request_id"))["known"].alias("known"))
+        ids = ids.join(first, "id", "left")
     found = materialize(resolve_downloads(ids, captures, profile))
     ends = resolve_redirects(found.select(F.col("download_url").alias("url")), captures, profile)
     linked = found.join(ends.select(F.col("url").alias("download_url"), "final_url", F.col("error").alias("moved")), "download_url", "left")
-    small = archives.where(F.octet_length("content") <= profile.max_archive_bytes)
-    known = archives.select(secure_url(F.col("url"), profile).alias("url"), F.col("url").alias("archive_id"), (F.octet_length("content") > profile.max_archive_bytes).alias("large"))
-    met = attach_archives(linked.withColumn("download_url", F.col("final_url")), known, profile)
-    at = materialize(met.join(known.select("archive_id", "large"), "archive_id", "left"))
-    wanted = at.where("archive_id is not null").select("archive_id").distinct()
-    payloads = small.select(F.col("url").alias("archive_id"), "content").join(wanted, "archive_id", "left_semi")
-    texts = decode_bytes(extract_first_srt(payloads, profile), "data").drop("data")
+    large = F.octet_length("content") > profile.max_archive_bytes
+    stored = archives.select(secure_url(F.col("url"), profile).alias("url"), F.col("url").alias("archive_id"), large.alias("large"))
+    met = attach_archives(linked.withColumn("download_url", F.col("final_url")), stored, profile)
+    at = materialize(met.join(stored.select("archive_id", "large"), "archive_id", "left"))
+    wanted = at.where("archive_id is not null and not large").select("archive_id").distinct()
+    payloads = archives.select(F.col("url").alias("archive_id"), "content").join(wanted, "archive_id", "left_semi")
+    texts = decode_bytes(extract_first_srt(payloads, profile, rar_extractor), "data").drop("data")
     done = at.join(texts, "archive_id", "left").withColumn(
         "error",
         F.coalesce(
@@ -93,13 +121,31 @@ def resolve_subtitles(requests: DataFrame, captures: DataFrame, archives: DataFr
             no_error(),
         ),
     )
-    result = within_limit(done.select("id", "name", "encoding", "text", "error"), profile)
-    back = fan_out(checked, result)
-    return back.withColumn("error", F.coalesce("bad", "error")).drop("bad")
-
-
-def replay_requests(requests: DataFrame, ttl_ms: float | None = None, profile: SiteProfile = DEFAULT) -> DataFrame:
-    """``requests(request_id, ts, method, target)`` -> route, id, query, page, error, and the cache's outcome of good downloads."""
+    result = materialize(within_limit(done.select("id", "name", "encoding", "text", "error"), profile))
+    slim = result.select("id", F.lit("site").alias("source"), F.when(F.col("error").isNull(), F.col("n_bytes")).alias("n_bytes"), "error")
+    served = fan_out(checked.select("request_id", "id", "bad"), slim if fresh is None else slim.unionByName(fresh))
+    source = F.when(F.coalesce("bad", "error").isNull(), F.col("source")).alias("source")
+    made = result.where("error is null and text is not null").drop("error").withColumn("cached_at", now.cast("timestamp"))
+    return served.select("request_id", "id", source, "n_bytes", F.coalesce("bad", "error").alias("error")), made
+
+
+def replay_requests(
+    requests: DataFrame,
+    ttl_ms: float | None = None,
+    profile: SiteProfile = DEFAULT,
+    searches: DataFrame | None = None,
+    details: DataFrame | None = None,
+) -> DataFrame:
+    """``requests(request_id, ts, method, target)`` -> route, id, query, page, error, and the cache's outcome of good downloads.
+
+    Columns latency_ms and ok tell how long a download's task runs and whether it succeeds: requests meanwhile are
+    coalesced, and failures aren't cached. With ``searches`` and ``details`` (and a column instance), ``known`` is the
+    detail URL that a download's process knew.
+    """
     routed = route_requests(requests, profile)
-    served = replay_cache(routed.where("route = 'download' and error is null"), ttl_ms, profile)
-    return routed.join(served.select("request_id", "outcome"), "request_id", "left")
+    good = routed.where("route = 'download' and error is null")
+    served = replay_cache(good, ttl_ms, profile).select("request_id", "outcome")
+    if searches is not None and details is not None:
+        known = asof_detail_url(good.select("request_id", "instance", "ts", "id"), searches, details)
+        served = served.join(known.select("request_id", "known"), "request_id", "left")
+    return routed.join(served, "request_id", "left")

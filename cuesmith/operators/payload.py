@@ -140,6 +140,7 @@ ENTRY = (
     "data_offset long, solid boolean, split boolean, format string"
 )
 _COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
+_NUMBERS = [c.split()[0] for c in ENTRY.split(", ") if c.split()[1] in ("int", "long")]
 
 
 def _zip_entries(data: bytes) -> Iterator[tuple]:
@@ -421,7 +422,9 @@ def _taker(most: int, rar: Extractor | None):
     @F.pandas_udf("struct<data: binary, problem: string>")
     def run(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         for contents, picks in parts:
-            rows = [(None, None) if c is None else _taken(c, e, most, rar) for c, e in zip(contents, picks.to_dict("records"), strict=True)]
+            # Beside rows without an entry, pandas has made the numbers floats.
+            whole = lambda e: e | {k: int(e[k]) for k in _NUMBERS}
+            rows = [(None, None) if c is None else _taken(c, whole(e), most, rar) for c, e in zip(contents, picks.to_dict("records"), strict=True)]
             yield pd.DataFrame(rows, columns=["data", "problem"])
 
     return run.asNondeterministic()

@@ -59,6 +59,12 @@ def write_subtitles(subtitles: DataFrame, path: str, profile: SiteProfile = DEFA
     ).partitionBy("id_prefix").parquet(path)
 
 
+def write_outcomes(replayed: DataFrame, path: str) -> None:
+    """Replayed requests by day, with the error's code for good reading; rows without a time have no day."""
+    flat = replayed.withColumns({"code": F.col("error.code"), "status": F.col("error.status"), "day": F.to_date("ts")}).drop("error")
+    flat.repartition("day").write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("day").parquet(path)
+
+
 def to_kv(subtitles: DataFrame, ttl_ms: float, profile: SiteProfile = DEFAULT) -> DataFrame:
     """``id, text`` -> ``key, value, expires_s`` for a key/value store: base64 in one line, whole seconds, small values only."""
     fits = subtitles.where(F.octet_length("text") <= profile.max_kv_bytes)

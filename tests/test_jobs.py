@@ -30,3 +30,46 @@ def test_searches_to_hits(spark):
     assert {r["search_id"]: r["error"] and r["error"]["code"] for r in state.collect()} == {
         1: None, 2: None, 3: "UPSTREAM_NOT_FOUND", 4: "UPSTREAM_TOO_LARGE", 5: "INVALID_QUERY", 6: "INVALID_PAGE", 7: "UPSTREAM_ERROR",
     }
+
+
+def _one(spark, content: bytes, profile: SiteProfile, **more) -> tuple:
+    """One id, whose page links to this content."""
+    link = f"{profile.origin}/download/55/s.zip"
+    captures = spark.createDataFrame([(f"{profile.origin}/sub/55.html", 200, None, None, f'<a href="{link}">x</a>'.encode())], CAPTURES)
+    archives = spark.createDataFrame([(link, content)], "url string, content binary")
+    requests = spark.createDataFrame([(1, "55"), (2, "55"), (3, "5x")], "request_id long, id string")
+    return workloads.resolve_subtitles(requests, captures, archives, profile, **more)
+
+
+def test_one_subtitle_serves_all_its_requests(spark, tmp_path):
+    from cuesmith.sources import io
+
+    text = "1\n0:00:01,5 --> 0:00:02,5\nrain\n"
+    served, made = _one(spark, text.encode(), SITE)
+    assert {r["request_id"]: (r["source"], r["n_bytes"], r["error"] and r["error"]["code"]) for r in served.collect()} == {
+        1: ("site", len(text), None), 2: ("site", len(text), None), 3: (None, None, "INVALID_ID"),
+    }
+    assert "text" not in served.columns and [(r["id"], r["text"]) for r in made.collect()] == [("55", text)]
+    io.write_subtitles(made, str(tmp_path / "subtitles"))
+    assert spark.read.parquet(str(tmp_path / "subtitles")).select("id", "encoding").collect() == [("55", "utf-8")]
+
+
+def test_texts_that_grow_too_large_in_utf8(spark):
+    text = "1\n0:00:01,5 --> 0:00:02,5\n" + "雨" * 100
+    data = b"\xff\xfe" + text.encode("utf-16-le")
+    served, made = _one(spark, data, SiteProfile(max_srt_bytes=len(data)))
+    assert {r["error"]["code"] for r in served.where("id = '55'").collect()} == {"SRT_TOO_LARGE"} and made.count() == 0
+
+
+def test_outcomes_by_day(spark, tmp_path):
+    from datetime import datetime
+
+    from cuesmith.sources import io
+
+    log = [(i, datetime(2024, 1, 1 + i), "GET", t, "p") for i, t in enumerate(["/download/7", "/download/x", "/search?q=a"])]
+    df = spark.createDataFrame(log, "request_id long, ts timestamp, method string, target string, instance string")
+    searches = spark.createDataFrame([(1, "p", datetime(2023, 12, 1), True)], "search_id long, instance string, ts timestamp, ok boolean")
+    details = spark.createDataFrame([(1, "7", "https://subs.example/sub/7/k")], "search_id long, id string, detail_url string")
+    io.write_outcomes(workloads.replay_requests(df, None, SITE, searches, details), str(tmp_path / "out"))
+    back = {r["request_id"]: (str(r["day"]), r["outcome"], r["code"], r["known"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert back == {0: ("2024-01-01", "miss", None, "https://subs.example/sub/7/k"), 1: ("2024-01-02", None, "INVALID_ID", None), 2: ("2024-01-03", None, None, None)}

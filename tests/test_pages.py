@@ -61,7 +61,7 @@ def test_cards_are_taken_by_format_and_place(spark):
         ([SRT, "日期：3小时前"], "date", "3小时前"),
         ([SRT, "发布时间：2031-07-09 08:07:06"], "date", "2031-07-09 08:07:06"),
         ([SRT, "2031-07-09"], "date", "2031-07-09"),
-        ([SRT, "no12031-07-09"], "date", None),
+        ([SRT, "来源：no12031-07-09"], "date", None),
         ([SRT, "日期： 5周前"], "date", "5周前"),
         ([SRT, "版本：River.2031.WEB 下载次数：9"], "version", "River.2031.WEB"),
         ([SRT, "版本：River 2031-07-09"], "version", "River"),

@@ -133,6 +133,13 @@ def test_steps_over_tables_equal_the_row(spark):
     assert guard == {"0": (2, False), "1": (1, True), "2": (1, True), "3": (0, False)}
 
 
+def test_archives_beside_other_payloads(spark):
+    rows = [("z", archive({"a.srt": b"a"}, True)), ("p", CUES.encode()), ("x", b"?"), ("n", None), ("e", archive({}))]
+    df = spark.createDataFrame(rows, "archive_id string, content binary").coalesce(1)
+    got = {r["archive_id"]: (r["name"], r["problem"] is None) for r in payload.extract_first_srt(df).collect()}
+    assert got == {"z": ("a.srt", True), "p": ("subtitle.srt", True), "x": (None, False), "n": (None, False), "e": (None, False)}
+
+
 def decoded(spark, data: bytes) -> tuple[str, str]:
     r = payload.decode_bytes(spark.createDataFrame([(data,)], "body binary")).first()
     return r["text"], r["encoding"]

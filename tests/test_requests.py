@@ -114,3 +114,24 @@ def test_asof_uses_the_latest_search_only(spark):
     downloads = spark.createDataFrame([("a", t(5), "5"), ("a", t(10), "5"), ("a", t(25), "6"), ("b", t(99), "5"), ("a", t(-1), "5")], "instance string, ts timestamp, id string")
     got = {(r["instance"], r["ts"], r["id"]): r["known"] for r in resolve.asof_detail_url(downloads, searches, details).collect()}
     assert list(map(got.get, [("a", t(5), "5"), ("a", t(10), "5"), ("a", t(25), "6"), ("b", t(99), "5"), ("a", t(-1), "5")])) == ["u1", None, "u2", "u4", None]
+
+
+def test_asof_carries_searches_over_days(spark):
+    import random
+
+    random.seed(6)
+    at = lambda: datetime(2024, 1, 1) + timedelta(hours=random.randrange(24 * 9))
+    searches = [(i, random.choice("ab"), at(), random.random() < 0.7) for i in range(60)]
+    details = [(i, str(k), f"u{i}/{k}") for i in range(60) for k in range(3) if random.random() < 0.6]
+    downloads = [(i, random.choice(["a", "b", "c", None]), at(), str(random.randrange(3))) for i in range(200)]
+    got = resolve.asof_detail_url(
+        spark.createDataFrame(downloads, "n long, instance string, ts timestamp, id string"),
+        spark.createDataFrame(searches, "search_id long, instance string, ts timestamp, ok boolean"),
+        spark.createDataFrame(details, "search_id long, id string, detail_url string"),
+    )
+    urls = {(i, k): u for i, k, u in details}
+    want = {}
+    for n, instance, ts, id_ in downloads:
+        last = max(((t, i) for i, who, t, ok in searches if ok and who == instance and t <= ts), default=None)
+        want[n] = last and urls.get((last[1], id_))
+    assert {r["n"]: r["known"] for r in got.collect()} == want

@@ -39,6 +39,24 @@ def test_replay_stream_equals_batch(spark, tmp_path):
     assert {(r["request_id"], r["outcome"]) for r in got.collect()} == {(r["request_id"], r["outcome"]) for r in want.collect()}
 
 
+def test_late_and_lapsed_requests(spark, tmp_path):
+    """Later triggers: a request past the delay is dropped, one within it is judged by the state, an id that lapsed starts anew."""
+    shape = "request_id long, id string, ts timestamp, latency_ms long, ok boolean"
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    triggers = [
+        [(1, "a", at(0), 0, True), (2, "a", at(1), 0, True), (3, "b", at(2), 0, False)],
+        [(4, "clock", at(60), 0, True)],
+        [(5, "clock", at(61), 0, True)],
+        [(6, "a", at(30), 0, True), (7, "a", at(55), 0, True), (8, "a", at(62), 0, True), (9, "clock", at(62), 0, True), (10, None, at(62), 0, True)],
+    ]
+    for i, rows in enumerate(triggers):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / "log" / str(i)))
+    stream = spark.readStream.schema(shape).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = {r["request_id"]: r["outcome"] for r in _run(streams.replay_stream(stream, 20 * 60_000), "late", tmp_path).collect()}
+    assert got.pop(6, None) is None  # older than the watermark
+    assert got == {1: "miss", 2: "hit", 3: "miss", 4: "miss", 5: "hit", 7: "miss", 8: "hit", 9: "hit"}
+
+
 def test_dedup_stream(spark, tmp_path):
     at = datetime(2024, 1, 1)
     log = spark.createDataFrame([(1, "a", at), (2, "a", at + timedelta(seconds=1)), (3, "b", at)], "request_id long, id string, ts timestamp")
