@@ -54,7 +54,7 @@ def texts(sf_dir):
 
 
 def test_empty_tables(empty):
-    for run in (simhash.near_duplicates, simhash.drop_near_duplicates, mixing.mix, mixing.mixed_documents, quality.verdicts, quality.keep_good,
+    for run in (simhash.near_duplicates, simhash.drop_near_duplicates, simhash.like_documents, simhash.drop_like_documents, mixing.mix, mixing.mixed_documents, quality.verdicts, quality.keep_good,
                 secrets.scan_secrets, secrets.redact_secrets, pii.find_personal_data, licenses.scan, mixing_lm.score):
         assert run(empty).count() == 0, run
     assert bpe.encode_decode(empty, *bpe.vocabulary()).count() == 0
@@ -197,6 +197,119 @@ def test_unrelated_texts_stay_with_one_id_or_none(spark):
     assert sorted(found.values(), key=str) == [7, 7, 7, 7, 7, None, None]
 
 
+def _mix(h: int) -> int:
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def _shingles(text: str | None) -> set:
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {" ".join(words)} if words else set()
+
+
+def _like(text: str | None) -> tuple[int, list[int]]:
+    """The wide fingerprint and the shard keys, one bit and one least hash at a time."""
+    import xxhash
+
+    hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in _shingles(text)]
+    fp = 0
+    for bit in range(1024):
+        lane = [_mix(h ^ _mix(1 + bit // 64)).to_bytes(8, "little")[bit % 64 // 8] >> (7 - bit % 8) & 1 for h in hs]
+        fp = fp << 1 | (2 * sum(lane) > len(hs))
+    keys = []
+    for band in range(8):
+        key = band
+        for j in range(3):
+            seed = _mix((1 << 20) + band * 3 + j)
+            key = _mix((key * 0x9E3779B97F4A7C15 + min((h ^ seed) * (seed | 1) % 2**64 for h in hs or [0])) % 2**64)
+        keys.append(key - 2**64 if key >= 2**63 else key)
+    return fp, keys
+
+
+def test_wide_sketch_equals_plain_version(texts):
+    some = [None, "", " \n", "One two", "a b c d e", "a b c d e " * 9, "\u00e9\u0130 x \U0001f600 y z w", *list(texts.values())[:5]]
+    for text in some:
+        fp, keys = simhash.like_sketch(text)
+        assert (int.from_bytes(fp, "big"), keys) == _like(text)
+    long = " ".join(str(i % 9001) for i in range(60_000))
+    assert simhash.like_sketch(long) == simhash.like_sketch(long + " 5994 5995 5996 5997")
+
+
+@pytest.mark.parametrize("limit", [1, 10_000])
+def test_wide_links_lose_nothing_at_any_shard_limit(spark, limit):
+    """Two fingerprints link if they share a key, or two keys where shards are split, and differ in 178 bits or fewer."""
+    random.seed(6)
+    made = []
+    for family in range(12):
+        at, keys = random.getrandbits(1024), [family * 100 + i for i in range(8)]
+        for _ in range(14):
+            at ^= sum(1 << i for i in random.sample(range(1024), random.randrange(1, 150)))
+            made.append((at, [k if random.random() < 0.6 else random.getrandbits(40) for k in keys]))
+    df = spark.createDataFrame([(f.to_bytes(128, "big"), k) for f, k in made], "fp binary, keys array<long>")
+    many = Counter(k for _, keys in made for k in keys)
+    up = list(range(len(made)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for n, (a, ka) in enumerate(made):
+        for m, (b, kb) in enumerate(made[:n]):
+            both = set(ka) & set(kb)
+            met = len(both) >= 2 or any(many[k] <= limit for k in both)
+            if met and (a ^ b).bit_count() <= 178:
+                up[max(find(n), find(m))] = min(find(n), find(m))
+    got = {bytes(r["node"]): bytes(r["component"]) for r in components.connected_components(simhash.like_links(df, limit)).collect()}
+    groups = lambda of: Counter(frozenset(g) for g in of.values())
+    mine, theirs = {}, {}
+    for i, (f, _) in enumerate(made):
+        mine.setdefault(find(i), set()).add(f)
+        b = f.to_bytes(128, "big")
+        theirs.setdefault(got.get(b, b), set()).add(f)
+    assert groups(theirs) == groups(mine) and max(map(len, mine.values())) > 5
+
+
+def test_near_copies_go_and_other_texts_stay(spark):
+    """Made near copies at 0.8 to 0.95 go; texts that share a long passage, or a third of their words, stay."""
+    random.seed(7)
+    word = lambda n: [f"w{random.randrange(4000)}" for _ in range(n)]
+    passage, rows, copies = word(120), [], 0
+    for i in range(60):
+        base = word(200)
+        rows.append((" ".join(base), "first"))
+        for _ in range(i % 4):
+            while True:
+                other = list(base)
+                for _ in range(random.randrange(1, 5)):
+                    other[random.randrange(200)] = "changed"
+                a, b = _shingles(" ".join(base)), _shingles(" ".join(other))
+                if len(a & b) >= 0.8 * len(a | b):
+                    break
+            rows.append((" ".join(other), "copy"))
+            copies += 1
+    rows += [(" ".join(word(120) + passage), "first") for _ in range(60)]
+    rows += [(" ".join(passage + word(3) + passage[:9]), "group") for _ in range(150)]
+    df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, kind string")
+    for limit in (50, 1000):
+        found = simhash.like_documents(df, limit)
+        kept = Counter(r["kind"] for r in simhash.keep_first(df, found).collect())
+        assert kept["first"] == 120 and kept["group"] == 1 and kept["copy"] <= 0.03 * copies, (limit, kept)
+
+
+def test_near_copies_of_awkward_rows(spark, odd):
+    got = simhash.like_documents(odd).collect()
+    assert len(got) == odd.count()
+    kept = simhash.drop_like_documents(odd)
+    assert kept.columns == odd.columns and kept.count() == len({bytes(r["part"]) for r in got})
+    prose = lambda c: " ".join(f"{c}{i * i % 97}" for i in range(200))
+    rows = [(None, prose("a")), (None, prose("b")), (None, prose("b")), (7, prose("c")), (7, prose("d")), (8, prose("d")), (9, prose("c")), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r["text"] or "", r["doc_id"]) for r in simhash.drop_like_documents(df).collect()))
+    assert left == [("", 3), (prose("a"), None), (prose("b"), None), (prose("c"), 7), (prose("d"), 7)]
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 
