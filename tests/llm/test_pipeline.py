@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
@@ -56,32 +56,27 @@ def test_quality_keeps_what_its_distances_keep(stages):
     assert rows(after) == want
 
 
-def _fingerprint(text: str | None) -> int:
-    import xxhash
-
-    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    some = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in some]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def test_near_duplicates_leave_one_each(stages):
+    """Against exact Jaccard similarities on five-word shingles, found over all pairs that share a shingle."""
     before, after = stages["simhash_near_dedup"]
-    docs = {r["doc_id"]: (_fingerprint(r["text"]), tuple(r)) for r in before.collect()}
-    up = {i: i for i in docs}
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    ids = sorted(docs)
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            if (docs[a][0] ^ docs[b][0]).bit_count() <= 3:
-                x, y = find(a), find(b)
-                up[max(x, y)] = min(x, y)
-    assert rows(after) == Counter(docs[i][1] for i in ids if find(i) == i)
+    docs = {r["doc_id"]: r["text"] for r in before.collect()}
+    shingles, holders = {}, defaultdict(list)
+    for i, text in docs.items():
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        shingles[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        for s in shingles[i]:
+            holders[s].append(i)
+    shared = Counter((a, b) for ids in holders.values() for n, b in enumerate(sorted(ids)) for a in sorted(ids)[:n])
+    like = {p: n / (len(shingles[p[0]]) + len(shingles[p[1]]) - n) for p, n in shared.items()}
+    kept = {r["doc_id"]: r["text"] for r in after.collect()}
+    assert all(docs[i] == t for i, t in kept.items())
+    alike = [p for p, j in like.items() if j >= 0.8]
+    left = [p for p in alike if p[0] in kept and p[1] in kept]
+    assert alike and len(left) <= 0.02 * len(alike)
+    nearest = defaultdict(float)
+    for (a, b), j in like.items():
+        nearest[a], nearest[b] = max(nearest[a], j), max(nearest[b], j)
+    assert all(i in kept or nearest[i] > 0.6 for i in docs)
 
 
 def test_secrets_are_gone_and_documents_stay(stages):
