@@ -27,7 +27,8 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for texts in parts:
             yield pd.Series([len(x) for x in bpe.encode(texts)] if len(texts) else [], dtype="int64")
 
-    return docs.select("doc_id", length("text").alias("length"))
+    # A filter on a deterministic function's result is moved below it, and every text would be encoded twice.
+    return docs.select("doc_id", length.asNondeterministic()("text").alias("length"))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
