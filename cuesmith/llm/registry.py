@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, contamination, lengths, licenses, mixing, mixing_lm, neighbours, pii, quality, secrets, simhash
+from . import bpe, collocations, contamination, lengths, licenses, mixing, mixing_lm, neighbours, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_collision_counting": neighbours.op1_collision_counting,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_context_mixing": mixing_lm.op10_context_mixing,
     "op12_decontamination": contamination.op12_decontamination,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op5_license_scans": licenses.ORACLE, "op12_decontamination": contamination.ORACLE}
+ORACLES: dict[str, str] = {"op5_license_scans": licenses.ORACLE, "op12_decontamination": contamination.ORACLE, "op13_collocations": collocations.ORACLE}
