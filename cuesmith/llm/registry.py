@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, contamination, lengths, licenses, mixing, mixing_lm, neighbours, pii, quality, secrets, simhash
+from . import bpe, collocations, contamination, lengths, licenses, mixing, mixing_lm, negatives, neighbours, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_collision_counting": neighbours.op1_collision_counting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_context_mixing": mixing_lm.op10_context_mixing,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_decontamination": contamination.op12_decontamination,
     "op13_collocations": collocations.op13_collocations,
 }
