@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
@@ -88,19 +88,29 @@ def find(text: str | None, known: list[WuManber]) -> tuple[int, list[tuple[int,
             else:
                 spans.append((start, end))
             items |= held
+    return len(at), joined(spans), sorted(items)
+
+
+def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, with those that touch put together."""
     merged: list[tuple[int, int]] = []
     for start, end in sorted(spans):
         if merged and start <= merged[-1][1]:
             merged[-1] = merged[-1][0], max(end, merged[-1][1])
         else:
             merged.append((start, end))
-    return len(at), merged, sorted(items)
+    return merged
 
 
 #: What a worker built last: the items, and their tables.
 _built: list = [None, None]
 
-_SPAN = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+_SPANS = "array<struct<first: long, end: long>>"
+
+
+def _spans(rows: Iterable[list[tuple[int, int]]]) -> pa.Array:
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    return pa.array([[{"first": a, "end": b} for a, b in r] for r in rows], kind)
 
 
 def _pass(docs: DataFrame, sent: Broadcast, size: int, keep: list[str]) -> DataFrame:
@@ -117,7 +127,7 @@ def _pass(docs: DataFrame, sent: Broadcast, size: int, keep: list[str]) -> DataF
                 [
                     *[batch.column(k) for k in keep],
                     pa.array(counts, pa.int64()),
-                    pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], pa.list_(_SPAN)),
+                    _spans(spans),
                     pa.array(items, pa.list_(pa.string())),
                 ],
                 names=[*keep, "n_words", "spans", "items"],
@@ -126,7 +136,7 @@ def _pass(docs: DataFrame, sent: Broadcast, size: int, keep: list[str]) -> DataF
     kinds = dict(docs.dtypes)
     shape = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
     return docs.select(*keep, "text").mapInArrow(
-        run, f"{shape}, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
+        run, f"{shape}, n_words long, spans {_SPANS}, items array<string>"
     )
 
 
@@ -160,23 +170,16 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, pass_byte
         parts = part if parts is None else parts.unionByName(part)
     flat = lambda c: F.flatten(F.collect_set(c))
     whole = parts.groupBy(*keys).agg(
-        F.first("n_words").alias("n_words"), F.array_sort(flat("spans")).alias("spans"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), F.sum("times").alias("times")
+        F.first("n_words").alias("n_words"), flat("spans").alias("spans"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), F.sum("times").alias("times")
     )
-    return whole.select("doc_id", "n_words", _merged("spans").alias("spans"), "items", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = _spans(joined((s["first"], s["end"]) for s in r) for r in batch.column("spans").to_pylist())
+            yield batch.set_column(batch.schema.get_field_index("spans"), "spans", met)
 
-def _merged(spans: str) -> Column:
-    """Sorted spans with those that touch put together."""
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"))
-        touches = F.size(done) > 0
-        joined = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))
-        return F.when(touches & (F.try_element_at(done, F.lit(-1))["end"] >= x["first"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    empty = F.array().cast("array<struct<first: long, end: long>>")
-    return F.aggregate(spans, empty, add)
+    each = whole.select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time")
+    return each.mapInArrow(join, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, spans {_SPANS}, items array<string>")
 
 
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
