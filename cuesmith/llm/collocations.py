@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +19,10 @@ from .common import materialize, small_batches, table
 LONGEST, LEAST, COVERED = 3, 10, 50
 #: Phrases of a language.
 TOP = 2000
-#: Rows of a sketch. A row has about a counter for each BYTES_A_COUNTER bytes of text, 2**MIN_BITS to 2**MAX_BITS.
-ROWS, BYTES_A_COUNTER, MIN_BITS, MAX_BITS = 2, 16, 16, 27
-#: Counters that are merged together.
-SLICE_BITS = 18
+#: Rows of a sketch, bytes of text for each counter of a row; counters that are merged together, most slices of a row.
+ROWS, BYTES_A_COUNTER, SLICE, MOST_SLICES = 2, 10, 1 << 18, 512
 #: Bytes of text that a task handles at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Candidates of a language that are ranked together at most, on average.
 RANKED = 100_000
 
@@ -36,9 +33,9 @@ _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def sketch_bits(n_bytes: int) -> int:
-    """Bits of a counter's place, for so many bytes of text."""
-    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, n_bytes) / BYTES_A_COUNTER))))
+def n_slices(n_bytes: int) -> int:
+    """Slices of a row of the sketch, for so many bytes of text: as many counters a byte at every size, up to the bound."""
+    return min(MOST_SLICES, max(1, -(-n_bytes // (BYTES_A_COUNTER * SLICE))))
 
 
 class Words:
@@ -73,21 +70,21 @@ class Words:
         return joined.view(pa.large_string())
 
 
-def _places(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
+def _places(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     x = hashes + np.uint64((row + 1) * int(_STEP) % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - bits)).astype(np.uint32)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(width)).astype(np.uint32)
 
 
-def _count(counters: np.ndarray, places: np.ndarray) -> None:
-    """Add one at each place; counters stop at 255, which is over any threshold."""
+def _count(counters: np.ndarray, places: np.ndarray, most: int) -> None:
+    """Add one at each place; counters stop at ``most``, the threshold."""
     if len(places):
         places = np.sort(places)
         first = np.flatnonzero(np.diff(places, prepend=places[:1] + np.uint32(1)))
-        times = np.minimum(np.diff(first, append=len(places)), 255).astype(np.uint16)
+        times = np.minimum(np.diff(first, append=len(places)), most).astype(np.uint8)
         at = places[first]
-        counters[at] = np.minimum(counters[at] + times, 255)
+        counters[at] = np.minimum(counters[at] + times, most)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -110,12 +107,26 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
     yield from held.items()
 
 
-def _sketches(texts: DataFrame, bits: int, longest: int) -> DataFrame:
-    """``row, slice, counters``: each task's sketch of all its sequences of up to ``longest`` words, in compressed slices."""
-    size = 1 << min(bits, SLICE_BITS)
+def _packed(counters: np.ndarray) -> bytes:
+    """Two counters a byte, then compressed: most are 0."""
+    return pa.compress((counters[::2] << 4 | counters[1::2]).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    two = np.frombuffer(pa.decompress(data, size // 2, "zstd", asbytes=True), np.uint8)
+    return np.column_stack([two >> 4, two & 15]).reshape(-1)
+
+
+def _slice(row: int, at: int, data: bytes, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["row", "slice", name])
+
+
+def _sketches(texts: DataFrame, slices: int, longest: int, least: int) -> DataFrame:
+    """``row, slice, counters``: each task's sketch of all its sequences of up to ``longest`` words, in slices."""
+    size = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros((ROWS, 1 << bits), np.uint8)
+        counters = np.zeros((ROWS, slices * size), np.uint8)
         for lang, chunk in _chunks(batches):
             words = Words(chunk)
             within = np.ones(len(words.ids), bool)
@@ -124,41 +135,34 @@ def _sketches(texts: DataFrame, bits: int, longest: int) -> DataFrame:
                     within = within[:-1] & words.joined[n - 2 :]
                 here = hashes[within]
                 for row in range(ROWS):
-                    _count(counters[row], _places(here, row, bits))
+                    _count(counters[row], _places(here, row, slices * size), least)
         for row in range(ROWS):
             for i, part in enumerate(counters[row].reshape(-1, size)):
                 if part.any():
-                    packed = pa.compress(part.tobytes(), "zstd", asbytes=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row], pa.int32()), pa.array([i], pa.int32()), pa.array([packed], pa.binary())], names=["row", "slice", "counters"]
-                    )
+                    yield _slice(row, i, _packed(part), "counters")
 
     return texts.mapInArrow(run, "row int, slice int, counters binary")
 
 
-def _survivors(sketches: DataFrame, bits: int, least: int) -> DataFrame:
+def _survivors(sketches: DataFrame, slices: int, least: int) -> DataFrame:
     """``row, slice, bits``: one bit for each counter of the merged sketch, set if it reaches ``least``. Slices merge apart."""
-    size, slices = 1 << min(bits, SLICE_BITS), 1 << max(0, bits - SLICE_BITS)
+    size = SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                part = np.frombuffer(pa.decompress(r["counters"], size, "zstd", asbytes=True), np.uint8)
-                key = r["row"], r["slice"]
-                had = merged.get(key)
-                merged[key] = part if had is None else np.minimum(had.astype(np.uint16) + part, 255).astype(np.uint8)
+                part, key = _unpacked(r["counters"], size), (r["row"], r["slice"])
+                merged[key] = np.minimum(merged[key] + part, least) if key in merged else part
         for (row, i), part in merged.items():
-            set_ = np.packbits(part >= least, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row], pa.int32()), pa.array([i], pa.int32()), pa.array([set_], pa.binary())], names=["row", "slice", "bits"]
-            )
+            yield _slice(row, i, np.packbits(part >= least, bitorder="little").tobytes(), "bits")
 
     return sketches.repartition(max(1, ROWS * slices // 4), "row", "slice").mapInArrow(run, "row int, slice int, bits binary")
 
 
-def _exact(texts: DataFrame, sent: Broadcast, bits: int, longest: int) -> DataFrame:
+def _exact(texts: DataFrame, sent: Broadcast, slices: int, longest: int) -> DataFrame:
     """``lang, n, phrase, f`` in parts: the sequences of n words whose counters all reach the threshold; n = 0 has the words of all."""
+    width = slices * SLICE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [np.frombuffer(x, np.uint8) for x in sent.value]
@@ -178,7 +182,7 @@ def _exact(texts: DataFrame, sent: Broadcast, bits: int, longest: int) -> DataFr
                     alive = alive[:-1] & alive[1:] & words.joined[n - 2 :]
                 at = np.flatnonzero(alive)
                 for row in range(ROWS):
-                    place = _places(hashes[at], row, bits)
+                    place = _places(hashes[at], row, width)
                     at = at[known[row][place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0]
                 alive = np.zeros(len(alive), bool)
                 alive[at] = True
@@ -198,22 +202,22 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
 
     A row with n = 0 and an empty phrase has the words of a language. The first pass fills a count-min sketch in each
     task, and the slices of all sketches are merged apart from each other; a merged counter is no less than the count
-    of what falls on it, so what is below ``least`` is rare. One bit a counter, 2**MAX_BITS a row at most (32 MB
+    of what falls on it, so what is below ``least`` is rare. One bit a counter, MOST_SLICES a row at most (32 MB
     together), goes to the second pass, which counts what is left exactly. The sketch grows with the text up to that
-    bound; beyond it fewer rare sequences are dropped early and more are counted, with the same result.
+    bound; beyond it fewer rare sequences are dropped early and more are counted, with the same result. Counters stop
+    at ``least``, which is 15 at most.
     """
-    if not 1 <= least <= 255:
-        raise ValueError("least must be from 1 to 255")
+    if not 1 <= least <= 15:
+        raise ValueError("least must be from 1 to 15")
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    bits = sketch_bits(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
-    merged = np.zeros((ROWS, 1 << (bits - 3)), np.uint8)
-    size = merged.shape[1] >> max(0, bits - SLICE_BITS)
-    for r in _survivors(_sketches(texts, bits, longest), bits, least).toLocalIterator():
-        merged[r["row"], r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    slices = n_slices(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    merged = np.zeros((ROWS, slices, SLICE // 8), np.uint8)
+    for r in _survivors(_sketches(texts, slices, longest, least), slices, least).toLocalIterator():
+        merged[r["row"], r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast([x.tobytes() for x in merged])
-    counted = _exact(texts, sent, bits, longest).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    counted = _exact(texts, sent, slices, longest).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
     return counted.where((F.col("n") == 0) | (F.col("f") >= least))
 
 
