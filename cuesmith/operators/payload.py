@@ -143,15 +143,44 @@ _COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
 _NUMBERS = [c.split()[0] for c in ENTRY.split(", ") if c.split()[1] in ("int", "long")]
 
 
-def _zip_entries(data: bytes) -> Iterator[tuple]:
-    for i, z in enumerate(zipfile.ZipFile(io.BytesIO(data)).infolist()):
+class _Opened(io.RawIOBase):
+    """What is sliced like bytes, as a file for zipfile, which reads a ZIP's tail and central directory."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.pos = data, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.pos
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.pos = max(0, to + (0, self.pos, len(self.data))[whence])
+        return self.pos
+
+    def read(self, n: int = -1) -> bytes:
+        out = self.data[self.pos :] if n is None or n < 0 else self.data[self.pos : self.pos + n]
+        self.pos += len(out)
+        return out
+
+
+def _zip_start(data: bytes, header: int) -> int:
+    """Where an entry's data begin, by its local header; -1 if there is none."""
+    head = data[header : header + 30]
+    return header + 30 + sum(struct.unpack("<HH", head[26:30])) if len(head) == 30 and head[:4] == b"PK\x03\x04" else -1
+
+
+def _zip_entries(data: bytes, ranged: bool) -> Iterator[tuple]:
+    for i, z in enumerate(zipfile.ZipFile(_Opened(data) if ranged else io.BytesIO(data)).infolist()):
         name = z.orig_filename
         if not z.flag_bits & 0x800:
             name = name.encode("cp437", "replace").decode("gb18030", "replace")
-        at = z.header_offset
-        found = data[at : at + 4] == b"PK\x03\x04" and at + 30 <= len(data)
-        start = at + 30 + sum(struct.unpack_from("<HH", data, at + 26)) if found else -1
-        yield i, name, name.endswith("/"), bool(z.flag_bits & 1), z.compress_type, z.compress_size, z.file_size, z.CRC, start, False, False, "zip"
+        start = None if ranged else _zip_start(data, z.header_offset)
+        yield i, name, name.endswith("/"), bool(z.flag_bits & 1), z.compress_type, z.compress_size, z.file_size, z.CRC, start, False, False, "zip", z.header_offset
 
 
 def _rar_name(raw: bytes, utf8: bool) -> str:
@@ -191,28 +220,32 @@ def _rar4_wide_name(raw: bytes) -> str:
     return struct.pack(f"<{len(out)}H", *out).decode("utf-16-le", "replace").replace("\\", "/")
 
 
-def _rar4_entries(data: bytes) -> Iterator[tuple]:
+def _rar4_entries(data: bytes, ranged: bool) -> Iterator[tuple]:
     pos, ord_ = 7, 0
     while pos + 7 <= len(data):
-        kind, flags, size = struct.unpack_from("<BHH", data, pos + 2)
+        kind, flags, size = _at("<BHH", data, pos + 2)
         after = pos + size
         if size < 7 or kind == 0x7B:
             return
-        added = struct.unpack_from("<I", data, pos + 7)[0] if (flags & 0x8000 or kind in (0x74, 0x7A)) and pos + 11 <= len(data) else 0
+        added = _at("<I", data, pos + 7)[0] if (flags & 0x8000 or kind in (0x74, 0x7A)) and pos + 11 <= len(data) else 0
         if kind == 0x74:
-            packed, full, _, crc, _, version, method, n, attributes = struct.unpack_from("<IIBIIBBHI", data, pos + 7)
+            packed, full, _, crc, _, version, method, n, attributes = _at("<IIBIIBBHI", data, pos + 7)
             at = pos + 32
             if flags & 0x100:
-                more = struct.unpack_from("<II", data, at)
+                more = _at("<II", data, at)
                 packed, full, at = packed | more[0] << 32, full | more[1] << 32, at + 8
             raw = data[at : at + n]
             name = _rar4_wide_name(raw) if flags & 0x200 else _rar_name(raw, False)
             folder = flags & 0xE0 == 0xE0 or version < 20 and bool(attributes & 0x10)
-            yield ord_, name, folder, bool(flags & 4), method - 0x30, packed, full, crc, after, bool(flags & 0x10), bool(flags & 3), "rar4"
+            yield ord_, name, folder, bool(flags & 4), method - 0x30, packed, full, crc, after, bool(flags & 0x10), bool(flags & 3), "rar4", pos
             ord_, added = ord_ + 1, packed
         pos = after + added
 
 
+def _at(form: str, data: bytes, pos: int) -> tuple:
+    return struct.unpack(form, data[pos : pos + struct.calcsize(form)])
+
+
 class _Vints:
     """Reads numbers of seven bits a byte, lowest first."""
 
@@ -230,7 +263,7 @@ class _Vints:
                 return value
 
 
-def _rar5_entries(data: bytes) -> Iterator[tuple]:
+def _rar5_entries(data: bytes, ranged: bool) -> Iterator[tuple]:
     pos, ord_ = 8, 0
     while pos + 5 <= len(data):
         read = _Vints(data, pos + 4)
@@ -247,11 +280,11 @@ def _rar5_entries(data: bytes) -> Iterator[tuple]:
         if kind == 2:
             about, full, _ = read(), read(), read()
             read.pos += 4 if about & 2 else 0
-            crc = struct.unpack_from("<I", data, read.pos)[0] if about & 4 else 0
+            crc = _at("<I", data, read.pos)[0] if about & 4 else 0
             read.pos += 4 if about & 4 else 0
             how, _, n = read(), read(), read()
             name = _rar_name(data[read.pos : min(read.pos + n, end)], True)
-            yield ord_, name, bool(about & 1), False, how >> 7 & 7, packed, full, crc, end, bool(how & 0x40), bool(flags & 0x18), "rar5"
+            yield ord_, name, bool(about & 1), False, how >> 7 & 7, packed, full, crc, end, bool(how & 0x40), bool(flags & 0x18), "rar5", pos
             ord_ += 1
         pos = end + packed
 
@@ -265,17 +298,25 @@ def _kind(data: bytes) -> str | None:
     return "rar5" if data[:8] == b"Rar!\x1a\x07\x01\0" else "rar4" if data[:7] == b"Rar!\x1a\x07\0" else None
 
 
-def _listed(content: bytes | None, most: int | None = None) -> tuple[list[tuple] | None, str | None]:
-    """The entries of an archive, at most so many, or why there are none; neither for what is no archive."""
-    data = bytes(content) if content is not None else b""
+def listed(data: bytes, most: int | None = None, ranged: bool = False) -> tuple[list[dict] | None, str | None]:
+    """The entries of an archive, at most so many, or why there are none; neither for what is no archive.
+
+    With ``ranged``, data may be anything that is sliced like bytes; local headers of a ZIP aren't read, so its
+    entries have no data_offset, and header_offset leads to it.
+    """
     if not (kind := _kind(data)):
         return None, None
     try:
-        return list(itertools.islice(_LISTERS[kind](data), most)), None
+        return [dict(zip((*_COLUMNS, "header_offset"), e, strict=True)) for e in itertools.islice(_LISTERS[kind](data, ranged), most)], None
     except Exception as e:  # whatever is wrong with an archive is the row's problem, not the job's
         return None, f"Invalid archive: {e}"
 
 
+def _entries(content: bytes | None, most: int | None = None) -> tuple[list[dict] | None, str | None]:
+    entries, problem = listed(bytes(content) if content is not None else b"", most)
+    return [{c: e[c] for c in _COLUMNS} for e in entries] if entries is not None else None, problem
+
+
 def list_entries(archives: DataFrame) -> DataFrame:
     """``archives(archive_id, content)`` -> a row for each entry, and one with only ``problem`` for an unreadable archive.
 
@@ -286,8 +327,8 @@ def list_entries(archives: DataFrame) -> DataFrame:
         for part in parts:
             rows = []
             for id_, content in zip(part["archive_id"], part["content"], strict=True):
-                entries, problem = _listed(content)
-                rows += [(id_, *e, None) for e in entries or ()]
+                entries, problem = _entries(content)
+                rows += [(id_, *e.values(), None) for e in entries or ()]
                 if problem:
                     rows.append((id_, *[None] * len(_COLUMNS), problem))
             yield pd.DataFrame(rows, columns=["archive_id", *_COLUMNS, "problem"]).astype(object)
@@ -342,9 +383,10 @@ def _extract(data: bytes, e: dict, most: int, rar: Extractor | None) -> bytes:
     if e["format"] == "zip":
         if e["encrypted"]:
             raise ValueError("Encrypted ZIP entries are not supported")
-        if e["data_offset"] < 0:
-            raise ValueError("Invalid ZIP local file header")
-    raw = data[e["data_offset"] : e["data_offset"] + e["packed_size"]]
+    start = _zip_start(data, e["header_offset"]) if e["data_offset"] is None else e["data_offset"]
+    if start < 0:
+        raise ValueError("Invalid ZIP local file header")
+    raw = data[start : start + e["packed_size"]]
     if len(raw) < e["packed_size"]:
         raise ValueError("Archive ends within an entry")
     if e["format"] == "zip":
@@ -363,7 +405,7 @@ def _extract(data: bytes, e: dict, most: int, rar: Extractor | None) -> bytes:
         if e["method"] == 0:
             out = raw[: e["size"]]
         elif rar:
-            out = rar(data, e)
+            out = rar(bytes(data), e)
         else:
             raise ValueError("compressed RAR entries need an extractor")
         if e["crc32"] and zlib.crc32(out) != e["crc32"]:
@@ -375,9 +417,10 @@ def _extract(data: bytes, e: dict, most: int, rar: Extractor | None) -> bytes:
     return out
 
 
-def _taken(content: bytes, e: dict, most: int, rar: Extractor | None) -> tuple[bytes | None, str | None]:
+def taken(data: bytes, e: dict, most: int, rar: Extractor | None) -> tuple[bytes | None, str | None]:
+    """An entry's bytes, or what is wrong with it; data is bytes or sliced like them."""
     try:
-        return _extract(bytes(content), e, most, rar), None
+        return _extract(data, e, most, rar), None
     except Exception as x:  # as above; also whatever an extractor raises
         return None, str(x) or type(x).__name__
 
@@ -395,7 +438,7 @@ def extract_entry(archives: DataFrame, picks: DataFrame, profile: SiteProfile =
         for part in parts:
             rows = []
             for row in part.to_dict("records"):
-                rows.append((row["archive_id"], row["name"], *_taken(row["content"], row, most, rar_extractor)))
+                rows.append((row["archive_id"], row["name"], *taken(bytes(row["content"]), row, most, rar_extractor)))
             yield pd.DataFrame(rows, columns=["archive_id", "name", "data", "problem"])
 
     met = picks.select("archive_id", *fields).join(
@@ -411,9 +454,7 @@ def _lister(most: int):
     @F.pandas_udf(f"struct<entries: array<{_ROW}>, problem: string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for contents in parts:
-            found = [_listed(c, most) for c in contents]
-            rows = [(None if es is None else [dict(zip(_COLUMNS, e, strict=True)) for e in es], problem) for es, problem in found]
-            yield pd.DataFrame(rows, columns=["entries", "problem"])
+            yield pd.DataFrame([_entries(c, most) for c in contents], columns=["entries", "problem"])
 
     return run.asNondeterministic()  # evaluated once, where it stands
 
@@ -424,7 +465,7 @@ def _taker(most: int, rar: Extractor | None):
         for contents, picks in parts:
             # Beside rows without an entry, pandas has made the numbers floats.
             whole = lambda e: e | {k: int(e[k]) for k in _NUMBERS}
-            rows = [(None, None) if c is None else _taken(c, whole(e), most, rar) for c, e in zip(contents, picks.to_dict("records"), strict=True)]
+            rows = [(None, None) if c is None else taken(bytes(c), whole(e), most, rar) for c, e in zip(contents, picks.to_dict("records"), strict=True)]
             yield pd.DataFrame(rows, columns=["data", "problem"])
 
     return run.asNondeterministic()

@@ -39,17 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder and read again, so a lost executor loses no finished work.
-
-    The application's tables go when it ends.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder, in the application's part of it, which goes when it ends."""
     folder = f"{shared_dir(spark)}/cuesmith-{spark.sparkContext.applicationId}"
     if folder not in _folders:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         _folders.add(folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write to the shared folder and read again, so a lost executor loses no finished work."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from cuesmith.jobs import catalog
+from cuesmith.jobs import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -27,13 +27,13 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_sql(spark, con, sf_dir, name):
-    got = catalog.QUERIES[name](spark, sf_dir)
-    want = con.execute(catalog.ORACLES[name])
+    got = registry.QUERIES[name](spark, sf_dir)
+    want = con.execute(registry.ORACLES[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows_of(got.columns, got.collect()) == rows_of(columns, want.fetchall())
