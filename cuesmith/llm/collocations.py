@@ -21,8 +21,8 @@ LONGEST, LEAST, COVERED = 3, 10, 50
 TOP = 2000
 #: Rows of a sketch, bytes of text for each counter of a row; counters that are merged together, most slices of a row.
 ROWS, BYTES_A_COUNTER, SLICE, MOST_SLICES = 2, 10, 1 << 18, 512
-#: Bytes of text that a task handles at once.
-CHUNK = 4 << 20
+#: Bytes of text that a task handles at once; that small partitions are put together to, where that leaves all cores busy.
+CHUNK, TASK = 4 << 20, 64 << 20
 #: Candidates of a language that are ranked together at most, on average.
 RANKED = 100_000
 
@@ -212,7 +212,10 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    slices = n_slices(texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    slices = n_slices(n_bytes)
+    # What a task leaves behind, a sketch and its frequent sequences, grows more slowly than its text.
+    texts = texts.coalesce(max(-(-n_bytes // TASK), spark.sparkContext.defaultParallelism))
     merged = np.zeros((ROWS, slices, SLICE // 8), np.uint8)
     for r in _survivors(_sketches(texts, slices, longest, least), slices, least).toLocalIterator():
         merged[r["row"], r["slice"]] = np.frombuffer(r["bits"], np.uint8)
