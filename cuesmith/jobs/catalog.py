@@ -56,7 +56,7 @@ def _s(name: str) -> Column:
 # --- Pages --------------------------------------------------------------------------------------------------------
 
 
-def _result_pages(orders: DataFrame) -> DataFrame:
+def result_pages(orders: DataFrame) -> DataFrame:
     """A result page for each customer, with a card for each order and two banners."""
     fmt = F.when(F.col("o_orderkey") % 5 == 0, "Advanced SubStation Alpha").otherwise("Subrip(srt)")
     card = _text(
@@ -74,7 +74,7 @@ def _result_pages(orders: DataFrame) -> DataFrame:
     )
 
 
-_HITS = """
+HITS = """
 SELECT o_custkey, CAST(pos AS INTEGER) AS pos, CAST(o_orderkey AS VARCHAR) AS id,
        'Order ' || o_orderkey || ' & more' AS title, o_orderpriority AS version, 'Subrip(srt)' AS format,
        o_orderstatus AS language, strftime(o_orderdate, '%Y-%m-%d') AS date,
@@ -84,18 +84,18 @@ WHERE o_orderkey % 5 <> 0
 """
 
 
-@_query(_HITS)
+@_query(HITS)
 def parse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits.parse_hits(_result_pages(_table(spark, sf_dir, "orders")), SITE)
+    return hits.parse_hits(result_pages(_table(spark, sf_dir, "orders")), SITE)
 
 
 @_query(
     "SELECT url, pos, id, title, version, format, language, date, detail_url FROM "
-    f"(SELECT 'https://subs.example/sub/?searchword=' || o_custkey AS url, * FROM ({_HITS}))"
+    f"(SELECT 'https://subs.example/sub/?searchword=' || o_custkey AS url, * FROM ({HITS}))"
 )
 def harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The harvest from captures: bytes with a byte-order mark, half of them behind a size that is too large."""
-    pages = _result_pages(_table(spark, sf_dir, "orders"))
+    pages = result_pages(_table(spark, sf_dir, "orders"))
     captures = pages.select(
         _text(f"{SITE.origin}/sub/?searchword=", _s("o_custkey")).alias("url"),
         F.lit(200).alias("status"),
@@ -109,12 +109,12 @@ def harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "SELECT o_custkey AS search_id, CAST(1 + o_custkey % 2 AS INTEGER) AS page_no, pos, id, title, version, format, language, date, detail_url "
-    f"FROM ({_HITS}) WHERE o_custkey % 11 <> 0"
+    f"FROM ({HITS}) WHERE o_custkey % 11 <> 0"
 )
 def harvest_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches to hits: page 1 or 2 of each customer's, a seventh of them behind a redirect, an eleventh not found."""
     key = F.col("o_custkey")
-    found = _result_pages(_table(spark, sf_dir, "orders")).withColumns({"q": _text("a & b ", _s("o_custkey")), "page": (1 + key % 2).cast("string")})
+    found = result_pages(_table(spark, sf_dir, "orders")).withColumns({"q": _text("a & b ", _s("o_custkey")), "page": (1 + key % 2).cast("string")})
     url, moved = urls.search_url(F.col("q"), 1 + key % 2, SITE), _text(f"{SITE.origin}/moved/", _s("o_custkey"))
     away = key % 7 == 0
     none = F.lit(None).cast("string")
@@ -133,17 +133,17 @@ def harvest_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     f"""SELECT o_custkey, '[' || string_agg('{{"id":"' || id || '","title":"' || title || '","version":"' || version || '","format":"' || format
 || '","language":"' || language || '","date":"' || date || '","detailUrl":"' || detail_url || '"}}', ',' ORDER BY pos) || ']' AS hits
-FROM ({_HITS}) GROUP BY o_custkey"""
+FROM ({HITS}) GROUP BY o_custkey"""
 )
 def hits_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits_json(hits.parse_hits(_result_pages(_table(spark, sf_dir, "orders")), SITE), "o_custkey")
+    return hits_json(hits.parse_hits(result_pages(_table(spark, sf_dir, "orders")), SITE), "o_custkey")
 
 
 @_query(
-    f"SELECT CAST(o_custkey % 10 AS BIGINT) AS search_id, id, max_by(detail_url, o_custkey * 1000 + pos) AS detail_url FROM (SELECT * REPLACE (CAST(CAST(id AS BIGINT) % 100 AS VARCHAR) AS id) FROM ({_HITS})) GROUP BY ALL"
+    f"SELECT CAST(o_custkey % 10 AS BIGINT) AS search_id, id, max_by(detail_url, o_custkey * 1000 + pos) AS detail_url FROM (SELECT * REPLACE (CAST(CAST(id AS BIGINT) % 100 AS VARCHAR) AS id) FROM ({HITS})) GROUP BY ALL"
 )
 def latest_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits.parse_hits(_result_pages(_table(spark, sf_dir, "orders")), SITE)
+    found = hits.parse_hits(result_pages(_table(spark, sf_dir, "orders")), SITE)
     keyed = found.withColumns(
         {"search_id": F.col("o_custkey") % 10, "page_no": F.col("o_custkey"), "id": (F.col("id").cast("long") % 100).cast("string")}
     )
@@ -421,17 +421,17 @@ def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.replay_cache(log, None, SITE).select("request_id", "id", "outcome")
 
 
-_HOUR = 3_600_000
+HOUR = 3_600_000
 
 
 @_query(
-    f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_ms(ts) AS t, (event_id % 9) * {_HOUR} AS latency, event_type <> 'error' AS ok,
+    f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_ms(ts) AS t, (event_id % 9) * {HOUR} AS latency, event_type <> 'error' AS ok,
 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT user_id, event_id, n, 'miss' AS outcome, t + latency AS busy, CASE WHEN ok THEN t + latency END AS cached FROM o WHERE n = 1
 UNION ALL SELECT o.user_id, o.event_id, o.n,
-CASE WHEN o.t < r.busy THEN 'coalesced' WHEN r.cached <= o.t AND o.t - r.cached <= {24 * _HOUR} THEN 'hit' ELSE 'miss' END,
-CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * _HOUR}, false) THEN r.busy ELSE o.t + o.latency END,
-CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * _HOUR}, false) THEN r.cached WHEN o.ok THEN o.t + o.latency END
+CASE WHEN o.t < r.busy THEN 'coalesced' WHEN r.cached <= o.t AND o.t - r.cached <= {24 * HOUR} THEN 'hit' ELSE 'miss' END,
+CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * HOUR}, false) THEN r.busy ELSE o.t + o.latency END,
+CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * HOUR}, false) THEN r.cached WHEN o.ok THEN o.t + o.latency END
 FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
 SELECT event_id AS request_id, user_id AS id, outcome FROM r"""
 )
@@ -440,10 +440,10 @@ def coalesce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("request_id"),
         F.col("user_id").alias("id"),
         "ts",
-        ((F.col("event_id") % 9) * _HOUR).alias("latency_ms"),
+        ((F.col("event_id") % 9) * HOUR).alias("latency_ms"),
         (F.col("event_type") != "error").alias("ok"),
     )
-    return cache.replay_cache(log, 24 * _HOUR, SITE).select("request_id", "id", "outcome")
+    return cache.replay_cache(log, 24 * HOUR, SITE).select("request_id", "id", "outcome")
 
 
 @_query(
@@ -708,13 +708,13 @@ def resolve_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_ms(ts) AS t, (event_id % 9) * {_HOUR} AS latency, event_type <> 'error' AS ok,
+    f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_ms(ts) AS t, (event_id % 9) * {HOUR} AS latency, event_type <> 'error' AS ok,
 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 8 IN (0, 1) AND NOT (event_id % 5 <> 0 AND event_id % 7 = 0)),
 r AS (SELECT user_id, event_id, n, 'miss' AS outcome, t + latency AS busy, CASE WHEN ok THEN t + latency END AS cached FROM o WHERE n = 1
 UNION ALL SELECT o.user_id, o.event_id, o.n,
-CASE WHEN o.t < r.busy THEN 'coalesced' WHEN r.cached <= o.t AND o.t - r.cached <= {24 * _HOUR} THEN 'hit' ELSE 'miss' END,
-CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * _HOUR}, false) THEN r.busy ELSE o.t + o.latency END,
-CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * _HOUR}, false) THEN r.cached WHEN o.ok THEN o.t + o.latency END
+CASE WHEN o.t < r.busy THEN 'coalesced' WHEN r.cached <= o.t AND o.t - r.cached <= {24 * HOUR} THEN 'hit' ELSE 'miss' END,
+CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * HOUR}, false) THEN r.busy ELSE o.t + o.latency END,
+CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * HOUR}, false) THEN r.cached WHEN o.ok THEN o.t + o.latency END
 FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
 SELECT e.event_id AS request_id, r.outcome FROM events e LEFT JOIN r ON r.event_id = e.event_id
 WHERE NOT (e.event_id % 8 = 7 AND e.user_id % 2 = 0)"""
@@ -722,7 +722,7 @@ WHERE NOT (e.event_id % 8 = 7 AND e.user_id % 2 = 0)"""
 def replay_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replay of a log with latencies and failures; percent-encoded ids, which lead to other ones, are left to replay_requests."""
     events = _table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("request_id"), ((F.col("event_id") % 9) * _HOUR).alias("latency_ms"), (F.col("event_type") != "error").alias("ok"), "user_id"
+        F.col("event_id").alias("request_id"), ((F.col("event_id") % 9) * HOUR).alias("latency_ms"), (F.col("event_type") != "error").alias("ok"), "user_id"
     )
     log = _targets(spark, sf_dir).join(events, "request_id").where("not (request_id % 8 = 7 and user_id % 2 = 0)")
-    return workloads.replay_requests(log, 24 * _HOUR, SITE).select("request_id", "outcome")
+    return workloads.replay_requests(log, 24 * HOUR, SITE).select("request_id", "outcome")

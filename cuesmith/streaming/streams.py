@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.cache import Replay, effective_ttl
 from ..operators.hits import parse_hits
 from ..profile import DEFAULT, SiteProfile
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PAGES = "page_id long, url string, html string"
 
 
@@ -26,51 +27,109 @@ def dedup_stream(requests: DataFrame, ttl: str) -> DataFrame:
     return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["id"])
 
 
+class InOrder(StatefulProcessor):
+    """The replay of one id: requests wait in slices of time and are judged in order once no earlier one may come.
+
+    State is the cache's two numbers and, for each slice that is open, its requests' numbers, so a trigger's rows of an
+    id are never held together. A slice's timer fires when the watermark reaches its end; a request of a slice that is
+    over is late. State goes once nothing waits and the watermark is past the time to live and the running task.
+    """
+
+    def __init__(self, ttl: int, width: int, id_kind: str) -> None:
+        self.ttl, self.width, self.id_kind = ttl, width, id_kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.task = handle.getValueState("task", "cached_at long, busy_until long")
+        self.waiting = handle.getMapState("waiting", "slice long", f"t array<long>, request_id array<{self.id_kind}>, latency array<long>, ok array<boolean>")
+
+    def _rows(self, key: tuple, t: list, ids: list, outcome: list[str] | str) -> pd.DataFrame:
+        at = pd.to_datetime(pd.Series(t, dtype="int64"), unit="ms")
+        return pd.DataFrame({"request_id": ids, "id": [key[0]] * len(ids), "ts": at, "outcome": outcome})
+
+    def _lapse(self, cached_at: int | None, busy_until: int | None) -> int:
+        return 1 + max(-1 if cached_at is None else cached_at + self.ttl, -1 if busy_until is None else busy_until)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        at = int(initialState["t"].max())
+        self.task.update((at, None))
+        self.handle.registerTimer(self._lapse(at, None))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            slices = part["t"] // self.width
+            over = (slices + 1) * self.width <= now
+            if over.any():
+                yield self._rows(key, part["t"][over].tolist(), part["request_id"][over].tolist(), "late")
+            for at, fresh in part[~over].groupby(slices[~over]):
+                new = [fresh[c].tolist() for c in ("t", "request_id", "latency", "ok")]
+                had = self.waiting.getValue((int(at),)) if self.waiting.containsKey((int(at),)) else None
+                if had is None:
+                    self.handle.registerTimer((int(at) + 1) * self.width)
+                self.waiting.updateValue((int(at),), tuple(new if had is None else [[*x, *y] for x, y in zip(had, new, strict=True)]))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        slices = [x[0] for x in self.waiting.keys()]
+        replay = Replay(self.ttl, *(self.task.get() if self.task.exists() else (None, None)))
+        due = sorted(x for x in slices if (x + 1) * self.width <= now)
+        for at in due:
+            t, ids, latency, ok = self.waiting.getValue((at,))
+            order = sorted(range(len(t)), key=lambda i: (t[i], ids[i]))  # noqa: B023
+            outcome = [replay.step(t[i], latency[i], ok[i]) for i in order]
+            self.waiting.removeKey((at,))
+            yield self._rows(key, [t[i] for i in order], [ids[i] for i in order], outcome)
+        lapse = self._lapse(replay.cached_at, replay.busy_until)
+        if due:
+            self.task.update((replay.cached_at, replay.busy_until))
+            self.handle.registerTimer(max(lapse, now + 1))
+        elif lapse <= now and len(slices) == 0:
+            self.task.clear()
+
+
 def replay_stream(
-    requests: DataFrame, ttl_ms: float | None = None, profile: SiteProfile = DEFAULT, delay: str = "10 minutes"
+    requests: DataFrame,
+    ttl_ms: float | None = None,
+    profile: SiteProfile = DEFAULT,
+    delay: str = "10 minutes",
+    cached: DataFrame | None = None,
+    width_ms: int = 60_000,
 ) -> DataFrame:
     """``requests(request_id, id, ts, latency_ms, ok)`` -> ``request_id, id, ts, outcome``, with state for each id.
 
-    Requests of a trigger are taken in order of time, then request_id. ``delay`` is how late a request may come: rows
-    older than the watermark (the newest time seen, less the delay) are dropped and get no outcome. One that is late
-    by less is judged against the state as it is, so it may differ from batch. Rows without a time are dropped.
-    State goes by the log's clock: once the watermark passes both the end of the cached subtitle's time to live and
-    the end of the running task, the next request would be a miss either way. A source that stands still keeps it.
+    The same outcomes as ``replay_cache``, whatever triggers a log is cut into and wherever it was stopped and started
+    again from its checkpoint: ``delay`` is how late a request may come, and a request is judged, in order of time and
+    request_id, when the watermark (the newest time seen, less the delay) has passed its slice of ``width_ms``. A
+    request whose slice is over by then comes out as ``late`` and changes nothing. ``cached(id, cached_at)`` is what the
+    cache holds when the stream first starts. Rows without a time are dropped; a row without an id gives nothing but
+    moves the clock, so one that is late enough ends a log. The session's state store becomes RocksDB, which timers need.
     """
-    ttl = effective_ttl(ttl_ms, profile)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        cached, busy = state.get if state.exists else (None, None)
-        replay, held = Replay(ttl, cached, busy), []
-        for part in parts:  # three numbers a row: what a trigger holds of one id
-            held.append(part[["request_id", "ts", "t", "latency", "ok"]])
-        rows = (pd.concat(held) if len(held) > 1 else held[0]).sort_values(["t", "request_id"], kind="stable")
-        out = [replay.step(int(t), int(n), bool(ok)) for t, n, ok in zip(rows["t"], rows["latency"], rows["ok"], strict=True)]
-        state.update((replay.cached_at, replay.busy_until))
-        ends = max((replay.cached_at or 0) + ttl if replay.cached_at is not None else 0, replay.busy_until or 0)
-        state.setTimeoutTimestamp(max(ends + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"request_id": rows["request_id"], "id": key[0], "ts": rows["ts"], "outcome": out})
-
-    slim = requests.where("id is not null and ts is not null").select(
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    has = requests.columns
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    # The time is in the condition, so that it isn't moved below the watermark: rows without an id move the clock.
+    slim = timed.where(F.when(F.col("id").isNotNull(), F.col("ts")).isNotNull()).select(
         "request_id",
         "id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
-        F.coalesce(F.col("latency_ms").cast("long"), F.lit(0)).alias("latency"),
-        F.coalesce("ok", F.lit(True)).alias("ok"),
+        F.unix_millis("ts").alias("t"),  # no event-time column any more: Spark drops no late row
+        (F.coalesce(F.col("latency_ms").cast("long"), F.lit(0)) if "latency_ms" in has else F.lit(0).cast("long")).alias("latency"),
+        (F.coalesce("ok", F.lit(True)) if "ok" in has else F.lit(True)).alias("ok"),
     )
     kinds = dict(slim.dtypes)
-    return (
-        slim.withWatermark("ts", delay)
-        .groupBy("id")
-        .applyInPandasWithState(
-            step,
-            f"request_id {kinds['request_id']}, id {kinds['id']}, ts timestamp, outcome string",
-            "cached_at long, busy_until long",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    held = None
+    if cached is not None:
+        held = cached.where("id is not null and cached_at is not null").select("id", F.unix_millis(F.col("cached_at").cast("timestamp")).alias("t"))
+        held = held.groupBy("id").agg(F.max("t").alias("t")).groupBy("id")
+    return slim.groupBy("id").transformWithStateInPandas(
+        InOrder(effective_ttl(ttl_ms, profile), width_ms, kinds["request_id"]),
+        f"request_id {kinds['request_id']}, id {kinds['id']}, ts timestamp, outcome string",
+        "append",
+        "eventtime",
+        held,
     )
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Take what is there into Parquet files, exactly once by the checkpoint, and stop; a later call goes on from there."""
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path).awaitTermination()

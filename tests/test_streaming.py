@@ -26,35 +26,48 @@ def test_hits_stream_equals_batch(spark, tmp_path):
     assert sorted(got.collect()) == sorted(parse_hits(pages).collect())
 
 
-def test_replay_stream_equals_batch(spark, tmp_path):
-    shape = "request_id long, id string, ts timestamp, latency_ms long, ok boolean"
-    at = datetime(2024, 1, 1)
-    rows = [(i, "ab"[i % 3 == 0], at + timedelta(seconds=i * 7 % 50 if i < 20 else 50 + i), 2000, i % 4 > 0) for i in range(60)]
-    log = spark.createDataFrame(rows, shape)
-    log.where("request_id < 20").coalesce(1).write.parquet(str(tmp_path / "log" / "1"))
-    log.where("request_id >= 20").coalesce(1).write.parquet(str(tmp_path / "log" / "2"))
-    stream = spark.readStream.schema(shape).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    got = _run(streams.replay_stream(stream, 20_000), "replay", tmp_path)
-    want = replay_cache(log, 20_000)
-    assert {(r["request_id"], r["outcome"]) for r in got.collect()} == {(r["request_id"], r["outcome"]) for r in want.collect()}
-
-
-def test_late_and_lapsed_requests(spark, tmp_path):
-    """Later triggers: a request past the delay is dropped, one within it is judged by the state, an id that lapsed starts anew."""
-    shape = "request_id long, id string, ts timestamp, latency_ms long, ok boolean"
-    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+LOG = "request_id long, id string, ts timestamp, latency_ms long, ok boolean"
+
+
+def _at(seconds: float) -> datetime:
+    return datetime(2024, 1, 1) + timedelta(seconds=seconds)
+
+
+def _replayed(spark, tmp_path, triggers: list, ttl_ms: float, **more) -> dict:
+    """The outcomes of a log that is stopped after each trigger and started again from its checkpoint."""
+    for i, rows in enumerate(triggers):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(str(tmp_path / "log" / str(i)))
+        stream = spark.readStream.schema(LOG).option("recursiveFileLookup", True).parquet(str(tmp_path / "log"))
+        streams.run_available(streams.replay_stream(stream, ttl_ms, **more), str(tmp_path / "out"), str(tmp_path / "state"))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == len({r["request_id"] for r in rows})
+    return {r["request_id"]: r["outcome"] for r in rows}
+
+
+def test_replay_stream_equals_batch_over_restarts(spark, tmp_path):
+    """Requests out of order by less than the delay, hot and rare ids, tasks that run and fail; the last row ends the log."""
+    rows = [(i, "abc"[(i % 3 == 0) + (i % 17 == 0)], _at(i * 7 % 50 + i // 20 * 40), 2000 * (i % 5), i % 4 > 0) for i in range(120)]
+    end = (None, None, _at(3600), 0, True)
+    got = _replayed(spark, tmp_path, [rows[:50], rows[50:90], [*rows[90:], end]], 20_000, delay="2 minutes", width_ms=5000)
+    want = replay_cache(spark.createDataFrame(rows, LOG), 20_000)
+    assert got == {r["request_id"]: r["outcome"] for r in want.collect()}
+
+
+def test_late_requests_come_out_marked(spark, tmp_path):
     triggers = [
-        [(1, "a", at(0), 0, True), (2, "a", at(1), 0, True), (3, "b", at(2), 0, False)],
-        [(4, "clock", at(60), 0, True)],
-        [(5, "clock", at(61), 0, True)],
-        [(6, "a", at(30), 0, True), (7, "a", at(55), 0, True), (8, "a", at(62), 0, True), (9, "clock", at(62), 0, True), (10, None, at(62), 0, True)],
+        [(1, "a", _at(0), 0, True), (2, "a", _at(60), 0, True), (3, "b", _at(120), 0, False)],
+        [(4, "clock", _at(3600), 0, True)],
+        [(6, "a", _at(1800), 0, True), (7, "a", _at(3300), 0, True), (8, "a", _at(3720), 0, True), (10, None, _at(3720), 0, True), (11, "a", None, 0, True)],
+        [(None, None, _at(9999), 0, True)],
     ]
-    for i, rows in enumerate(triggers):
-        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / "log" / str(i)))
-    stream = spark.readStream.schema(shape).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    got = {r["request_id"]: r["outcome"] for r in _run(streams.replay_stream(stream, 20 * 60_000), "late", tmp_path).collect()}
-    assert got.pop(6, None) is None  # older than the watermark
-    assert got == {1: "miss", 2: "hit", 3: "miss", 4: "miss", 5: "hit", 7: "miss", 8: "hit", 9: "hit"}
+    got = _replayed(spark, tmp_path, triggers, 20 * 60_000)
+    assert got == {1: "miss", 2: "hit", 3: "miss", 4: "miss", 6: "late", 7: "miss", 8: "hit"}
+
+
+def test_replay_stream_begins_with_the_cache(spark, tmp_path):
+    cached = spark.createDataFrame([("a", _at(-10)), ("a", _at(-500)), ("b", _at(-3000)), (None, _at(0)), ("c", None)], "id string, cached_at timestamp")
+    triggers = [[(1, "a", _at(0), 0, True), (2, "b", _at(0), 0, True), (3, "c", _at(1), 0, True)], [(4, "a", _at(1195), 0, True), (5, "a", _at(9999), 0, True)], [(None, None, _at(99999), 0, True)]]
+    assert _replayed(spark, tmp_path, triggers, 20 * 60_000, cached=cached) == {1: "hit", 2: "miss", 3: "miss", 4: "miss", 5: "miss"}
 
 
 def test_dedup_stream(spark, tmp_path):
