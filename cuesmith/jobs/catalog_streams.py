@@ -45,7 +45,7 @@ def stream_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The events' time in the middle, in milliseconds, where the log is cut.
-_MIDDLE = "(min(epoch_ms(ts)) + max(epoch_ms(ts))) // 2"
+_MIDDLE = "(min(epoch_us(ts) // 1000) + max(epoch_us(ts) // 1000)) // 2"
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -56,17 +56,19 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 @_query(
     f"""WITH m AS (SELECT {_MIDDLE} AS middle FROM events),
-f AS (SELECT user_id, epoch_ms(ts) > middle AS later, min(epoch_ms(ts)) AS t FROM events, m GROUP BY ALL),
+g AS (SELECT user_id, (epoch_us(ts) // 1000) > middle AS later, min(epoch_us(ts) // 1000) AS first, max(epoch_us(ts) // 1000) AS last FROM events, m GROUP BY ALL),
+f AS (SELECT user_id, later, CASE WHEN user_id % 2 = 0 THEN first ELSE last END AS t FROM g),
 w AS (SELECT max(t) - 24 * {HOUR} AS mark FROM f WHERE NOT later),
 s AS (SELECT user_id FROM f, w WHERE NOT later AND t + 24 * {HOUR} > mark)
 SELECT user_id AS id, t FROM f WHERE NOT later UNION ALL SELECT user_id, t FROM f WHERE later AND user_id NOT IN (SELECT user_id FROM s)"""
 )
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first request of both halves of the log; the second goes if the first is remembered past the restart."""
+    """One request of each user (the first or the last) of both halves of the log; the second goes if the first is remembered past the restart."""
     events, middle = _halves(spark, sf_dir)
     later = F.unix_millis("ts") > middle
-    firsts = events.groupBy(F.col("user_id").alias("id"), later.alias("later")).agg(F.min("ts").alias("ts"))
-    parts = [firsts.where(~F.col("later")).drop("later"), firsts.where("later").drop("later")]
+    one = F.when(F.col("id") % 2 == 0, F.min("ts")).otherwise(F.max("ts"))
+    each = events.groupBy(F.col("user_id").alias("id"), later.alias("later")).agg(one.alias("ts"))
+    parts = [each.where(~F.col("later")).drop("later"), each.where("later").drop("later")]
     read = lambda path: spark.readStream.schema("id long, ts timestamp").parquet(path)
     kept = _in_two_runs(parts, lambda path: streams.dedup_stream(read(path), "24 hours"))
     return kept.select("id", F.unix_millis("ts").alias("t"))
@@ -78,7 +80,7 @@ _MOVED, _DELAY = "event_id % 20 = 7", 12 * HOUR
 
 @_query(
     f"""WITH RECURSIVE m AS (SELECT {_MIDDLE} AS middle FROM events),
-e AS (SELECT event_id, user_id, epoch_ms(ts) AS t, (event_id % 9) * {HOUR} AS latency, event_type <> 'error' AS ok, epoch_ms(ts) > middle OR {_MOVED} AS later FROM events, m),
+e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, (event_id % 9) * {HOUR} AS latency, event_type <> 'error' AS ok, (epoch_us(ts) // 1000) > middle OR {_MOVED} AS later FROM events, m),
 w AS (SELECT max(t) - {_DELAY} AS mark FROM e WHERE NOT later),
 l AS (SELECT event_id FROM e, w WHERE later AND (t // {HOUR} + 1) * {HOUR} <= mark),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e WHERE event_id NOT IN (SELECT event_id FROM l)),
