@@ -11,17 +11,19 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import error, no_error
 from ..operators.payload import decode_bytes, extract_first_srt
 from ..profile import SiteProfile
 from ..session import scratch
 from ..sources.archives import first_subtitles, list_archives
-from ..sources.io import within_limit
+from ..sources.io import within_limit, write_outcomes
+from ..sources.store import SubtitleStore
+from .catalog import SITE
 from .builders import rar4_of, rar5_of, zip_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-SITE = SiteProfile()
 #: Documents of an archive; archives whose number leaves 3 when divided by CROWDED have too many entries.
 PER_ARCHIVE, CROWDED = 50, 13
 
@@ -179,3 +181,40 @@ def growing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = within_limit(decode_bytes(found, "data"), profile)
     code = F.when(F.col("problem").isNotNull(), "INVALID_ARCHIVE").otherwise(F.col("error.code"))
     return texts.select(F.col("archive_id").cast("long").alias("doc_id"), "n_bytes", code.alias("code"))
+
+
+# --- Sinks --------------------------------------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 AND doc_id % 10 <> 4 OR doc_id % 7 = 3 THEN 'two' ELSE 'one' END AS name,
+md5(CASE WHEN doc_id % 2 = 0 AND doc_id % 10 <> 4 OR doc_id % 7 = 3 THEN 'new ' || coalesce(text, '') ELSE text END) AS digest FROM documents
+WHERE text IS NOT NULL AND doc_id % 7 <> 3 OR doc_id % 2 = 0 AND doc_id % 10 <> 4 OR doc_id % 7 = 3"""
+)
+def stored_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs into a store: the second brings half of the ids anew, some with an error, and ids that weren't there."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = F.col("doc_id")
+    again = (key % 2 == 0) | (key % 7 == 3)
+    shape = lambda df, name, text, code: df.select(
+        key.cast("string").alias("id"), F.lit(name).alias("name"), F.lit("utf-8").alias("encoding"), text.alias("text"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("cached_at"), code.alias("error"),
+    )
+    bad = F.when((key % 10 == 4) & (key % 7 != 3), error("INVALID_ARCHIVE"))
+    store = SubtitleStore(spark, scratch(spark), SITE)
+    store.commit(shape(docs.where(key % 7 != 3), "one", F.col("text"), no_error()))
+    store.commit(shape(docs.where(again), "two", F.concat(F.lit("new "), F.coalesce("text", F.lit(""))), bad))
+    return store.read().select("id", "name", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@_query(
+    """SELECT event_id AS request_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS day,
+CASE WHEN event_id % 4 = 1 THEN 'INVALID_ID' END AS code FROM events"""
+)
+def outcomes_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written by day and read again; a ninth of it has no time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bad = F.when(F.col("event_id") % 4 == 1, error("INVALID_ID"))
+    path = scratch(spark)
+    write_outcomes(events.select(F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 9 != 0, F.col("ts")).alias("ts"), bad.alias("error")), path)
+    return spark.read.parquet(path).select("request_id", F.col("day").cast("string").alias("day"), "code")

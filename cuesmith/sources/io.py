@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import error
 from ..functions.validate import classify_capture
 from ..profile import DEFAULT, SiteProfile
 
+#: Bytes of subtitles and rows of outcomes that a task writes.
+FILE_BYTES, FILE_ROWS = 256 << 20, 1_000_000
 CAPTURES = "url string, status int, location string, content_length long, body binary, captured_at timestamp"
 
 
@@ -51,18 +55,61 @@ def within_limit(subtitles: DataFrame, profile: SiteProfile = DEFAULT) -> DataFr
     )
 
 
+def good_subtitles(subtitles: DataFrame, profile: SiteProfile = DEFAULT) -> DataFrame:
+    """Those without an error, with a text within the limit; with ``n_bytes``."""
+    return within_limit(subtitles, profile).where("error is null and text is not null").drop("error")
+
+
+def shares(sizes: list[tuple], target: int) -> list[tuple]:
+    """``(group, size)`` -> ``(group, first slot, slots)``: about ``target`` a slot. A large group has slots of its own,
+    small ones share one: the largest is put first, each into the slot with the least in it that it fits in."""
+    out, at, open_ = [], 0, []
+    for group, size in sorted(sizes, key=lambda x: (-x[1], str(x[0]))):
+        if size >= target:
+            n = -(-size // target)
+            out.append((group, at, n))
+            at += n
+            continue
+        if not open_ or open_[0][0] + size > target:
+            heapq.heappush(open_, (0, at))
+            at += 1
+        held, slot = heapq.heappop(open_)
+        out.append((group, slot, 1))
+        heapq.heappush(open_, (held + size, slot))
+    return out
+
+
+def dealt(rows: DataFrame, group: str, size: Column, key: Column, target: int = FILE_BYTES) -> DataFrame:
+    """Rows with those of a group in few tasks of about ``target`` (in the unit of ``size``), however uneven groups are.
+
+    Groups are counted first: they must be few (prefixes, days), as they are planned on the driver. A large group is
+    cut by a hash of ``key``; small ones share a task. With few rows slots are smaller, so that all cores have some.
+    """
+    sizes = [(r[0], int(r[1] or 0)) for r in rows.groupBy(group).agg(F.sum(size)).collect()]
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    plan = shares(sizes, max(1, min(target, -(-sum(n for _, n in sizes) // cores))))
+    kind = rows.schema[group].dataType.simpleString()
+    slots = rows.sparkSession.createDataFrame(plan, f"__group {kind}, __first int, __slots int")
+    met = rows.join(F.broadcast(slots), F.col(group).eqNullSafe(F.col("__group")), "left")
+    n, at = max((first + many for _, first, many in plan), default=1), F.xxhash64(key)
+    # A group that wasn't there when groups were counted goes anywhere.
+    slot = F.coalesce(F.col("__first") + F.pmod(at, "__slots"), F.pmod(at, F.lit(n))).cast("int")
+    return met.withColumn("__slot", slot).repartitionById(n, "__slot").drop("__group", "__first", "__slots", "__slot")
+
+
 def write_subtitles(subtitles: DataFrame, path: str, profile: SiteProfile = DEFAULT) -> None:
-    """Good subtitles only, by the id's first three characters; large prefixes are cut by rows."""
-    good = within_limit(subtitles, profile).where("error is null and text is not null").drop("error")
-    good.withColumn("id_prefix", F.substring("id", 1, 3)).repartition("id_prefix").write.mode("overwrite").option(
-        "maxRecordsPerFile", 50_000
-    ).partitionBy("id_prefix").parquet(path)
+    """Good subtitles only, by the id's first three characters, about as many bytes in each task.
+
+    The folder is written anew; ``SubtitleStore`` keeps what is there and replaces ids.
+    """
+    good = good_subtitles(subtitles, profile).withColumn("id_prefix", F.substring("id", 1, 3))
+    dealt(good, "id_prefix", F.col("n_bytes"), F.col("id")).write.mode("overwrite").partitionBy("id_prefix").parquet(path)
 
 
 def write_outcomes(replayed: DataFrame, path: str) -> None:
-    """Replayed requests by day, with the error's code for good reading; rows without a time have no day."""
+    """Replayed requests by day, about as many in each task; with the error's code for good reading. Rows without a time have no day."""
     flat = replayed.withColumns({"code": F.col("error.code"), "status": F.col("error.status"), "day": F.to_date("ts")}).drop("error")
-    flat.repartition("day").write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("day").parquet(path)
+    dealt(flat, "day", F.lit(1), F.col("request_id"), FILE_ROWS).write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 def to_kv(subtitles: DataFrame, ttl_ms: float, profile: SiteProfile = DEFAULT) -> DataFrame:
