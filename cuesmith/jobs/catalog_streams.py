@@ -74,15 +74,15 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("id", F.unix_millis("ts").alias("t"))
 
 
-#: Requests that come with the second half though they belong to the first; the delay that is allowed.
-_MOVED, _DELAY = "event_id % 20 = 7", 12 * HOUR
+#: Requests that come with the second half though they belong to the first; the delay that is allowed; slices of time.
+_MOVED, _DELAY, _SLICE = "event_id % 20 = 7", 12 * HOUR, 24 * HOUR
 
 
 @_query(
     f"""WITH RECURSIVE m AS (SELECT {_MIDDLE} AS middle FROM events),
 e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, (event_id % 9) * {HOUR} AS latency, event_type <> 'error' AS ok, (epoch_us(ts) // 1000) > middle OR {_MOVED} AS later FROM events, m),
 w AS (SELECT max(t) - {_DELAY} AS mark FROM e WHERE NOT later),
-l AS (SELECT event_id FROM e, w WHERE later AND (t // {HOUR} + 1) * {HOUR} <= mark),
+l AS (SELECT event_id FROM e, w WHERE later AND (t // {_SLICE} + 1) * {_SLICE} <= mark),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e WHERE event_id NOT IN (SELECT event_id FROM l)),
 r AS (SELECT user_id, event_id, n, 'miss' AS outcome, t + latency AS busy, CASE WHEN ok THEN t + latency END AS cached FROM o WHERE n = 1
 UNION ALL SELECT o.user_id, o.event_id, o.n,
@@ -106,5 +106,5 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "request_id long, id long, ts timestamp, latency_ms long, ok boolean"
     parts = [log.where(~F.col("later")).drop("later"), log.where("later").drop("later").unionByName(clock)]
     read = lambda path: spark.readStream.schema(schema).parquet(path)
-    replayed = _in_two_runs(parts, lambda path: streams.replay_stream(read(path), 24 * HOUR, SITE, f"{_DELAY} milliseconds", width_ms=HOUR))
+    replayed = _in_two_runs(parts, lambda path: streams.replay_stream(read(path), 24 * HOUR, SITE, f"{_DELAY} milliseconds", width_ms=_SLICE))
     return replayed.select("request_id", "id", "outcome")

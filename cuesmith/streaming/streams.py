@@ -31,8 +31,9 @@ class InOrder(StatefulProcessor):
     """The replay of one id: requests wait in slices of time and are judged in order once no earlier one may come.
 
     State is the cache's two numbers and, for each slice that is open, its requests' numbers, so a trigger's rows of an
-    id are never held together. A slice's timer fires when the watermark reaches its end; a request of a slice that is
-    over is late. State goes once nothing waits and the watermark is past the time to live and the running task.
+    id are never held together. An id has one timer: for the end of its first open slice, or for the time when its
+    state lapses, as nothing waits and the watermark is past the time to live and the running task. A request of a
+    slice that is over is late.
     """
 
     def __init__(self, ttl: int, width: int, id_kind: str) -> None:
@@ -40,23 +41,29 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.task = handle.getValueState("task", "cached_at long, busy_until long")
+        self.task = handle.getValueState("task", "cached_at long, busy_until long, timer long")
         self.waiting = handle.getMapState("waiting", "slice long", f"t array<long>, request_id array<{self.id_kind}>, latency array<long>, ok array<boolean>")
 
     def _rows(self, key: tuple, t: list, ids: list, outcome: list[str] | str) -> pd.DataFrame:
         at = pd.to_datetime(pd.Series(t, dtype="int64"), unit="ms")
         return pd.DataFrame({"request_id": ids, "id": [key[0]] * len(ids), "ts": at, "outcome": outcome})
 
+    def _set(self, cached_at: int | None, busy_until: int | None, old: int | None, timer: int) -> None:
+        if old is not None and old != timer:
+            self.handle.deleteTimer(old)
+        if old != timer:
+            self.handle.registerTimer(timer)
+        self.task.update((cached_at, busy_until, timer))
+
     def _lapse(self, cached_at: int | None, busy_until: int | None) -> int:
         return 1 + max(-1 if cached_at is None else cached_at + self.ttl, -1 if busy_until is None else busy_until)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
         at = int(initialState["t"].max())
-        self.task.update((at, None))
-        self.handle.registerTimer(self._lapse(at, None))
+        self._set(at, None, None, self._lapse(at, None))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now, first = timerValues.getCurrentWatermarkInMs(), None
         for part in rows:
             slices = part["t"] // self.width
             over = (slices + 1) * self.width <= now
@@ -64,16 +71,22 @@ class InOrder(StatefulProcessor):
                 yield self._rows(key, part["t"][over].tolist(), part["request_id"][over].tolist(), "late")
             for at, fresh in part[~over].groupby(slices[~over]):
                 new = [fresh[c].tolist() for c in ("t", "request_id", "latency", "ok")]
-                had = self.waiting.getValue((int(at),)) if self.waiting.containsKey((int(at),)) else None
-                if had is None:
-                    self.handle.registerTimer((int(at) + 1) * self.width)
+                had = self.waiting.getValue((int(at),))
                 self.waiting.updateValue((int(at),), tuple(new if had is None else [[*x, *y] for x, y in zip(had, new, strict=True)]))
+                first = int(at) if first is None else min(first, int(at))
+        if first is not None:
+            cached_at, busy_until, timer = self.task.get() or (None, None, None)
+            end = (first + 1) * self.width
+            # A timer for a lapse waits until nothing else does.
+            if timer is None or end < timer:
+                self._set(cached_at, busy_until, timer, end)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        slices = [x[0] for x in self.waiting.keys()]
-        replay = Replay(self.ttl, *(self.task.get() if self.task.exists() else (None, None)))
-        due = sorted(x for x in slices if (x + 1) * self.width <= now)
+        cached_at, busy_until, _ = self.task.get()
+        replay = Replay(self.ttl, cached_at, busy_until)
+        slices = sorted(x[0] for x in self.waiting.keys())
+        due = [x for x in slices if (x + 1) * self.width <= now]
         for at in due:
             t, ids, latency, ok = self.waiting.getValue((at,))
             order = sorted(range(len(t)), key=lambda i: (t[i], ids[i]))  # noqa: B023
@@ -81,11 +94,10 @@ class InOrder(StatefulProcessor):
             self.waiting.removeKey((at,))
             yield self._rows(key, [t[i] for i in order], [ids[i] for i in order], outcome)
         lapse = self._lapse(replay.cached_at, replay.busy_until)
-        if due:
-            self.task.update((replay.cached_at, replay.busy_until))
-            self.handle.registerTimer(max(lapse, now + 1))
-        elif lapse <= now and len(slices) == 0:
+        if len(slices) == len(due) and lapse <= now:
             self.task.clear()
+        else:
+            self._set(replay.cached_at, replay.busy_until, None, (slices[len(due)] + 1) * self.width if len(slices) > len(due) else lapse)
 
 
 def replay_stream(
