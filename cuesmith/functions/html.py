@@ -179,3 +179,37 @@ def extract_cards(html: Column, profile: SiteProfile = DEFAULT) -> Column:
 
 def extract_links(html: Column, profile: SiteProfile = DEFAULT) -> Column:
     return parse_page(html, profile)["links"]
+
+
+CARD = f"struct<text: string, b_version: string, title: string, anchor: string, link: {URL}>"
+
+
+@functools.lru_cache(8)
+def _carder(profile: SiteProfile):
+    @F.pandas_udf(f"array<{CARD}>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in parts:
+            found = []
+            for page in pages:
+                rows = []
+                for card in parse(page, profile)["cards"]:
+                    a = next((a for a in card["anchors"] if a["href"] is not None and profile.detail_mark in a["href"]), None)
+                    link = a and resolve(a["href"], profile.origin)
+                    rows.append(
+                        {
+                            "text": card["text"],
+                            "b_version": card["b_version"],
+                            "title": a and a["title"],
+                            "anchor": a and a["text"],
+                            "link": link and dict(zip(("url", "scheme", "host", "path"), link, strict=True)),
+                        }
+                    )
+                found.append(rows)
+            yield pd.Series(found)
+
+    return run.asNondeterministic()
+
+
+def detail_cards(html: Column, profile: SiteProfile = DEFAULT) -> Column:
+    """A page's result cards, each with its first link to a detail page, resolved on the site's origin, in one pass."""
+    return _carder(profile)(html)

@@ -29,6 +29,25 @@ def labeled_value(text: Column, label: str, profile: SiteProfile = DEFAULT) -> C
     return F.when(text.rlike(value), normalize_text(F.regexp_extract(text, value, 1)))
 
 
+def labeled_pairs(text: Column, profile: SiteProfile = DEFAULT) -> Column:
+    """All labels of a normal text with their values, in order, from one scan: ``array<struct<label, value>>``.
+
+    A value ends as in ``labeled_value``: a label with its colon always ends one and begins the next.
+    """
+    labels, colon = f"(?:{'|'.join(map(re.escape, profile.labels))})", " ?[：:]"
+    ends = rf" ?{labels}{colon}| [0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?: |\z)| [0-9]+周前(?: |\z)|\z"
+    found = F.regexp_extract_all(text, F.lit(rf"(?s){labels}{colon} ?.*?(?={ends})"), F.lit(0))
+    halves = F.transform(found, lambda x: F.split(x, "[：:]", 2))
+    return F.transform(halves, lambda x: F.struct(F.trim(x[0]).alias("label"), F.trim(x[1]).alias("value")))
+
+
+def pair_value(pairs: Column, text: Column, label: str, profile: SiteProfile = DEFAULT) -> Column:
+    """``labeled_value`` of a normal text from its pairs; a label that ends another one takes that one's value too."""
+    if label not in profile.labels:
+        return labeled_value(text, label, profile)
+    return F.get(F.filter(pairs, lambda p: F.endswith(p["label"], F.lit(label))), F.lit(0))["value"]
+
+
 def first_date(text: Column) -> Column:
     """The first bare YYYY-MM-DD, '' if there is none."""
     return F.regexp_extract(text, rf"{NOT_AFTER_WORD}([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}){NOT_BEFORE_WORD}", 1)

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import parse_page, resolved_links
+from ..functions.html import detail_cards, parse_page, resolved_links
 from ..functions.jsre import nonempty
-from ..functions.text import first_date, first_nonempty, labeled_value, normalize_text
+from ..functions.text import first_date, first_nonempty, labeled_pairs, normalize_text, pair_value
 from ..functions.urls import is_download, on_site, resolve_url, subtitle_id
 from ..profile import DEFAULT, SiteProfile
 
 HIT = ["id", "title", "version", "format", "language", "date", "detail_url"]
 
 
-def hit_fields(text: Column, anchor: Column, b_version: Column, profile: SiteProfile = DEFAULT) -> dict[str, Column]:
-    """A card's fields from its normal text, its detail anchor and its bold version."""
-    label = lambda x: labeled_value(text, x, profile)
+def hit_fields(text: Column, pairs: Column, anchor: Column, b_version: Column, profile: SiteProfile = DEFAULT) -> dict[str, Column]:
+    """A card's fields from its normal text, the labelled values in it, its detail anchor (title, text) and its bold version."""
+    label = lambda x: pair_value(pairs, text, x, profile)
     version = F.coalesce(b_version, F.lit(""))
     return {
         "title": nonempty(normalize_text(F.coalesce(nonempty(anchor["title"]), anchor["text"]))),
@@ -34,24 +34,21 @@ def parse_hits(pages: DataFrame, profile: SiteProfile = DEFAULT, html: str = "ht
     """Pages -> a row for each wanted card, in page order by ``pos``, with the pages' other columns.
 
     A card counts if its format is the wanted one and its first link to a detail page resolves to https on the
-    site and carries an id. Pages are parsed once each; nothing is shuffled. Null pages give no rows.
+    site and carries an id. Pages are parsed once each, in one Python pass, and a card's text is scanned once for all
+    labels; nothing is shuffled. Null pages give no rows.
     """
     keep = [c for c in pages.columns if c != html]
-    parsed = pages.select(*keep, parse_page(F.col(html), profile).alias("__page"))
-    cards = parsed.select(*keep, F.posexplode("__page.cards").alias("pos", "card"))
-    text = normalize_text(F.col("card.text"))
-    anchor = F.get(F.filter("card.anchors", lambda a: F.contains(a["href"], F.lit(profile.detail_mark))), F.lit(0))
-    wanted = only_srt(
-        cards.select(*keep, "pos", text.alias("__text"), anchor.alias("__a"), F.col("card.b_version").alias("__b")).withColumn(
-            "format", labeled_value(F.col("__text"), profile.format_label, profile)
-        ),
-        profile,
-    ).where("__a.href <> ''")
-    linked = wanted.withColumn("__u", resolve_url(F.col("__a.href"), F.lit(profile.origin)))
-    good = linked.where((F.col("__u.scheme") == "https") & on_site(F.col("__u.host"), profile)).withColumns(
-        {"id": subtitle_id(F.col("__u.path")), "detail_url": F.col("__u.url")}
+    with_text = F.transform(detail_cards(F.col(html), profile), lambda c: c.withField("text", normalize_text(c["text"])))
+    # Above the generator, so that no filter below makes the scan for labels run twice.
+    with_pairs = F.transform(with_text, lambda c: F.struct(c.alias("card"), labeled_pairs(c["text"], profile).alias("pairs")))
+    cards = pages.select(*keep, F.posexplode(with_pairs).alias("pos", "__c"))
+    text, pairs, link = F.col("__c.card.text"), F.col("__c.pairs"), F.col("__c.card.link")
+    wanted = only_srt(cards.withColumn("format", pair_value(pairs, text, profile.format_label, profile)), profile)
+    good = wanted.where((link["scheme"] == "https") & on_site(link["host"], profile)).withColumns(
+        {"id": subtitle_id(link["path"]), "detail_url": link["url"]}
     )
-    fields = hit_fields(F.col("__text"), F.col("__a"), F.col("__b"), profile)
+    anchor = F.struct(F.col("__c.card.title").alias("title"), F.col("__c.card.anchor").alias("text"))
+    fields = hit_fields(text, pairs, anchor, F.col("__c.card.b_version"), profile)
     return good.where("id is not null").withColumns(fields).select(*keep, "pos", *HIT)
 
 
