@@ -108,11 +108,11 @@ def harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    "SELECT o_custkey AS search_id, CAST(1 + o_custkey % 2 AS INTEGER) AS page_no, pos, id, title, version, format, language, date, detail_url "
-    f"FROM ({HITS}) WHERE o_custkey % 11 <> 0"
+    "SELECT 10 * o_custkey + n AS search_id, CAST(1 + o_custkey % 2 AS INTEGER) AS page_no, pos, id, title, version, format, language, date, detail_url "
+    f"FROM ({HITS}), (SELECT unnest(range(5)) AS n) WHERE o_custkey % 11 <> 0 AND n <= o_custkey % 5"
 )
 def harvest_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches to hits: page 1 or 2 of each customer's, a seventh of them behind a redirect, an eleventh not found."""
+    """Searches to hits: one to five of each customer's page 1 or 2, a seventh of them behind a redirect, an eleventh not found."""
     key = F.col("o_custkey")
     found = result_pages(_table(spark, sf_dir, "orders")).withColumns({"q": _text("a & b ", _s("o_custkey")), "page": (1 + key % 2).cast("string")})
     url, moved = urls.search_url(F.col("q"), 1 + key % 2, SITE), _text(f"{SITE.origin}/moved/", _s("o_custkey"))
@@ -126,7 +126,8 @@ def harvest_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(key % 11 == 0, 404).otherwise(200)
     first = shape(url, F.when(away, 302).otherwise(status), F.when(away, _text("/moved/", _s("o_custkey"))), F.when(~away, body))
     captures = first.unionByName(shape(moved, status, none, body).where(away)).drop("o_custkey")
-    searches = found.select(key.alias("search_id"), "q", "page")
+    repeats = F.explode(F.sequence(F.lit(0), (key % 5).cast("int")))
+    searches = found.select("o_custkey", "q", "page", repeats.alias("n")).select((10 * key + F.col("n")).alias("search_id"), "q", "page")
     return workloads.harvest_searches(searches, captures, SITE)[0]
 
 
@@ -278,7 +279,7 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), "ts", method.alias("method"), target.alias("target"))
 
 
-_ROUTED = """WITH e AS (SELECT *, event_id % 8 AS k, event_id % 5 <> 0 AND event_id % 7 = 0 AS refused FROM events),
+ROUTED = """WITH e AS (SELECT *, event_id % 8 AS k, event_id % 5 <> 0 AND event_id % 7 = 0 AS refused FROM events),
 d AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS decoded FROM e),
 r AS (SELECT event_id AS request_id, ts,
 CASE WHEN refused THEN 'refused' WHEN k IN (0, 1, 2, 7) THEN 'download' WHEN k IN (3, 4, 6) THEN 'search' ELSE 'unknown' END AS route,
@@ -290,7 +291,7 @@ CASE WHEN refused THEN 'METHOD_NOT_ALLOWED' WHEN k = 2 OR k = 7 AND decoded IS N
 WHEN k = 5 THEN 'NOT_FOUND' WHEN k = 6 THEN 'INVALID_QUERY' END AS code FROM d)"""
 
 
-@_query(f"{_ROUTED} SELECT request_id, route, id, query, CAST(page AS INTEGER) AS page, code FROM r")
+@_query(f"{ROUTED} SELECT request_id, route, id, query, CAST(page AS INTEGER) AS page, code FROM r")
 def route_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = route_requests(_targets(spark, sf_dir), SITE)
     return routed.select("request_id", "route", "id", "query", "page", F.col("error.code").alias("code"))
@@ -384,7 +385,22 @@ FROM d ASOF LEFT JOIN s ON d.user_id = s.user_id AND d.ts >= s.ts"""
 )
 def asof_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views are searches, a third of them failed; each lists three of four ids. Purchases are downloads."""
-    events = _table(spark, sf_dir, "events").withColumn("instance", F.col("user_id"))
+    return _asof(spark, sf_dir, F.col("user_id"))
+
+
+@_query(
+    """WITH s AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS n, ts FROM events WHERE event_type = 'view' AND event_id % 3 <> 0),
+d AS (SELECT event_id, ts, event_id % 4 AS id, (SELECT count(*) FROM s WHERE s.ts <= e.ts) AS n FROM events e WHERE event_type = 'purchase')
+SELECT d.event_id, CAST(d.id AS VARCHAR) AS id, CASE WHEN s.event_id % 4 <> d.id THEN '/sub/' || s.event_id || '/' || d.id END AS known
+FROM d LEFT JOIN s ON s.n = d.n"""
+)
+def asof_hot_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of one process that does everything."""
+    return _asof(spark, sf_dir, F.lit(1))
+
+
+def _asof(spark: SparkSession, sf_dir: str, instance: Column) -> DataFrame:
+    events = _table(spark, sf_dir, "events").withColumn("instance", instance)
     searches = events.where("event_type = 'view'").select(F.col("event_id").alias("search_id"), "instance", "ts", (F.col("event_id") % 3 != 0).alias("ok"))
     listed = searches.select("search_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")).where("n <> search_id % 4")
     details = listed.select("search_id", _s("n").alias("id"), _text("/sub/", _s("search_id"), "/", _s("n")).alias("detail_url"))
@@ -447,7 +463,7 @@ def coalesce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""{_ROUTED}, g AS (SELECT request_id, id, ts FROM r WHERE route = 'download' AND code IS NULL),
+    f"""{ROUTED}, g AS (SELECT request_id, id, ts FROM r WHERE route = 'download' AND code IS NULL),
 m AS (SELECT id, min(ts) AS ts FROM g GROUP BY id
 UNION ALL SELECT m.id, min(g.ts) FROM m JOIN g ON g.id = m.id AND g.ts > m.ts + INTERVAL 24 HOUR GROUP BY m.id)
 SELECT r.request_id, r.route, r.code, CASE WHEN g.request_id IS NULL THEN NULL WHEN m.ts IS NULL THEN 'hit' ELSE 'miss' END AS outcome
@@ -708,21 +724,21 @@ def resolve_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_ms(ts) AS t, (event_id % 9) * {HOUR} AS latency, event_type <> 'error' AS ok,
-row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 8 IN (0, 1) AND NOT (event_id % 5 <> 0 AND event_id % 7 = 0)),
-r AS (SELECT user_id, event_id, n, 'miss' AS outcome, t + latency AS busy, CASE WHEN ok THEN t + latency END AS cached FROM o WHERE n = 1
-UNION ALL SELECT o.user_id, o.event_id, o.n,
-CASE WHEN o.t < r.busy THEN 'coalesced' WHEN r.cached <= o.t AND o.t - r.cached <= {24 * HOUR} THEN 'hit' ELSE 'miss' END,
-CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * HOUR}, false) THEN r.busy ELSE o.t + o.latency END,
-CASE WHEN o.t < r.busy OR coalesce(r.cached <= o.t AND o.t - r.cached <= {24 * HOUR}, false) THEN r.cached WHEN o.ok THEN o.t + o.latency END
-FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
-SELECT e.event_id AS request_id, r.outcome FROM events e LEFT JOIN r ON r.event_id = e.event_id
-WHERE NOT (e.event_id % 8 = 7 AND e.user_id % 2 = 0)"""
+    f"""{ROUTED},
+o AS (SELECT r.request_id, r.id, epoch_ms(r.ts) AS t, (e.event_id % 9) * {HOUR} AS latency, e.event_type <> 'error' AS ok,
+row_number() OVER (PARTITION BY r.id ORDER BY r.ts, r.request_id) AS n FROM r JOIN events e ON e.event_id = r.request_id WHERE r.route = 'download' AND r.code IS NULL),
+x AS (SELECT id, request_id, n, 'miss' AS outcome, t + latency AS busy, CASE WHEN ok THEN t + latency END AS cached FROM o WHERE n = 1
+UNION ALL SELECT o.id, o.request_id, o.n,
+CASE WHEN o.t < x.busy THEN 'coalesced' WHEN x.cached <= o.t AND o.t - x.cached <= {24 * HOUR} THEN 'hit' ELSE 'miss' END,
+CASE WHEN o.t < x.busy OR coalesce(x.cached <= o.t AND o.t - x.cached <= {24 * HOUR}, false) THEN x.busy ELSE o.t + o.latency END,
+CASE WHEN o.t < x.busy OR coalesce(x.cached <= o.t AND o.t - x.cached <= {24 * HOUR}, false) THEN x.cached WHEN o.ok THEN o.t + o.latency END
+FROM x JOIN o ON o.id = x.id AND o.n = x.n + 1)
+SELECT r.request_id, x.outcome FROM r LEFT JOIN x ON x.request_id = r.request_id""".replace("WITH e AS", "WITH RECURSIVE e AS", 1)
 )
 def replay_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The replay of a log with latencies and failures; percent-encoded ids, which lead to other ones, are left to replay_requests."""
+    """The replay of the whole log with latencies and failures; percent-encoded ids lead to others, which plain requests have too."""
     events = _table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("request_id"), ((F.col("event_id") % 9) * HOUR).alias("latency_ms"), (F.col("event_type") != "error").alias("ok"), "user_id"
+        F.col("event_id").alias("request_id"), ((F.col("event_id") % 9) * HOUR).alias("latency_ms"), (F.col("event_type") != "error").alias("ok")
     )
-    log = _targets(spark, sf_dir).join(events, "request_id").where("not (request_id % 8 = 7 and user_id % 2 = 0)")
+    log = _targets(spark, sf_dir).join(events, "request_id")
     return workloads.replay_requests(log, 24 * HOUR, SITE).select("request_id", "outcome")

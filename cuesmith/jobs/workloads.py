@@ -11,7 +11,7 @@ from ..functions.validate import normalize_page, route_requests, validate_id, va
 from ..operators.cache import distinct_ids, fan_out, replay_cache, split_cache
 from ..operators.hits import first_download_link, parse_hits
 from ..operators.payload import Extractor, decode_bytes, extract_first_srt
-from ..operators.resolve import asof_detail_url, attach_archives, attach_pages, detail_candidates, first_link_per_id, resolve_redirects
+from ..operators.resolve import asof_detail_url, attach_archives, attach_pages, detail_candidates, first_link_per_id, follow, redirect_closure
 from ..profile import DEFAULT, SiteProfile
 from ..session import materialize
 from ..sources.io import checked_captures, within_limit
@@ -24,30 +24,39 @@ def harvest_pages(captures: DataFrame, profile: SiteProfile = DEFAULT) -> DataFr
     return parse_hits(pages, profile)
 
 
-def harvest_searches(searches: DataFrame, captures: DataFrame, profile: SiteProfile = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """``searches(search_id, q, page)`` -> hits by search, page and pos, and ``search_id, url, error`` of all searches."""
+def harvest_searches(
+    searches: DataFrame, captures: DataFrame, profile: SiteProfile = DEFAULT, closure: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``searches(search_id, q, page)`` -> hits by search, page and pos, and ``search_id, url, error`` of all searches.
+
+    However many searches lead to a page, it is decoded and parsed once, and its body moves once at most: searches meet
+    its hits by its url. ``closure`` is the captures' ``redirect_closure``, if it is there already.
+    """
     page = normalize_page(F.col("page"), profile)
     checked = searches.select(
         "search_id", "q", page["page"].alias("page_no"), F.coalesce(page["error"], validate_query(F.col("q"), profile)).alias("error")
     ).withColumn("url", F.when(F.col("error").isNull(), search_url(F.col("q"), F.col("page_no"), profile)))
-    ends = resolve_redirects(checked.select("url"), captures, profile).withColumnRenamed("error", "moved_error")
-    pages = checked_captures(captures, profile.max_page_bytes).select(
-        F.col("url").alias("final_url"), "kind", F.col("error").alias("page_error"), "body"
-    )
-    asked = checked.where("url is not null").join(ends, "url").join(pages, "final_url", "left")
-    found = decode_bytes(asked.where("kind = 'page'").select("search_id", "page_no", "body"), "body")
-    hits = parse_hits(found.select("search_id", "page_no", F.col("text").alias("html")), profile)
+    closure = redirect_closure(captures, profile) if closure is None else closure
+    ends = materialize(follow(checked.select("url"), closure, profile).withColumnRenamed("error", "moved_error"))
+    pages = checked_captures(captures, profile.max_page_bytes).select(F.col("url").alias("final_url"), "kind", F.col("error").alias("page_error"), "body")
+    wanted = ends.where("final_url is not null").select("final_url").distinct()
+    read = decode_bytes(pages.where("kind = 'page'").join(wanted, "final_url", "left_semi").select("final_url", "body"), "body")
+    found = parse_hits(read.select("final_url", F.col("text").alias("html")), profile)
+    asked = checked.where("url is not null").join(ends, "url")
+    hits = asked.select("search_id", "page_no", "final_url").join(found, "final_url").drop("final_url")
+    met = asked.join(pages.select("final_url", "kind", "page_error"), "final_url", "left")
     why = F.coalesce("moved_error", "page_error", F.when(F.col("kind").isNull(), error("UPSTREAM_ERROR", "not captured")))
-    state = asked.select("search_id", why.alias("late"))
+    state = met.select("search_id", why.alias("late"))
     return hits, checked.join(state, "search_id", "left").select("search_id", "url", F.coalesce("error", "late").alias("error"))
 
 
-def page_results(urls: DataFrame, captures: DataFrame, profile: SiteProfile = DEFAULT) -> DataFrame:
+def page_results(urls: DataFrame, captures: DataFrame, profile: SiteProfile = DEFAULT, closure: DataFrame | None = None) -> DataFrame:
     """``urls(url)`` -> ``url, download_url, error``: redirects followed, then one look for a link per distinct url.
 
     A page is parsed once for each url that leads to it, as its links resolve against the url that was asked for.
     """
-    ends = materialize(resolve_redirects(urls, captures, profile))
+    closure = redirect_closure(captures, profile) if closure is None else closure
+    ends = materialize(follow(urls, closure, profile))
     pages = checked_captures(captures, profile.max_page_bytes).select(
         F.col("url").alias("final_url"), "kind", F.col("error").alias("page_error"), "body"
     )
@@ -58,10 +67,10 @@ def page_results(urls: DataFrame, captures: DataFrame, profile: SiteProfile = DE
     return met.select("url", why.alias("error")).join(links, "url", "left").select("url", "download_url", "error")
 
 
-def resolve_downloads(ids: DataFrame, captures: DataFrame, profile: SiteProfile = DEFAULT) -> DataFrame:
+def resolve_downloads(ids: DataFrame, captures: DataFrame, profile: SiteProfile = DEFAULT, closure: DataFrame | None = None) -> DataFrame:
     """``ids(id, known)`` -> ``id, detail_url, download_url, error``; each distinct candidate page is read once."""
     candidates = materialize(detail_candidates(ids, profile))
-    return first_link_per_id(attach_pages(candidates, page_results(candidates.select("url"), captures, profile)))
+    return first_link_per_id(attach_pages(candidates, page_results(candidates.select("url"), captures, profile, closure)))
 
 
 def resolve_subtitles(
@@ -100,8 +109,9 @@ def resolve_subtitles(
         known = asof_detail_url(good.select("request_id", "instance", "ts", "id"), searches, details)
         first = known.groupBy("id").agg(F.min_by(F.struct("known"), F.struct("ts", "request_id"))["known"].alias("known"))
         ids = ids.join(first, "id", "left")
-    found = materialize(resolve_downloads(ids, captures, profile))
-    ends = resolve_redirects(found.select(F.col("download_url").alias("url")), captures, profile)
+    closure = materialize(redirect_closure(captures, profile))
+    found = materialize(resolve_downloads(ids, captures, profile, closure))
+    ends = follow(found.select(F.col("download_url").alias("url")), closure, profile)
     linked = found.join(ends.select(F.col("url").alias("download_url"), "final_url", F.col("error").alias("moved")), "download_url", "left")
     large = F.octet_length("content") > profile.max_archive_bytes
     stored = archives.select(secure_url(F.col("url"), profile).alias("url"), F.col("url").alias("archive_id"), large.alias("large"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -135,3 +136,51 @@ def test_asof_carries_searches_over_days(spark):
         last = max(((t, i) for i, who, t, ok in searches if ok and who == instance and t <= ts), default=None)
         want[n] = last and urls.get((last[1], id_))
     assert {r["n"]: r["known"] for r in got.collect()} == want
+
+
+def plain_follow(url: str, moved: dict[str, str | None], most: int) -> tuple:
+    """Hop by hop; locations are absolute, ``off`` is one that isn't allowed."""
+    hops = 0
+    while url in moved:
+        to = moved[url]
+        if not to:
+            return None, hops, "UPSTREAM_ERROR"
+        if to == "off":
+            return None, hops, "INVALID_REDIRECT"
+        if hops == most:
+            return None, hops, "TOO_MANY_REDIRECTS"
+        url, hops = to, hops + 1
+    return url, hops, None
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3, 5, 6, 8])
+def test_redirect_closure_equals_plain_steps(spark, most):
+    """Random graphs of redirects with chains, loops, ends and errors, for several limits."""
+    rng = random.Random(most)
+    profile = SiteProfile(max_redirects=most)
+    at = lambda i: f"https://subs.example/p/{i}"
+    moved = {at(i): rng.choice([at(i + 1), at(i + 1), at(i + 1), at(rng.randrange(90)), "off", None, ""]) for i in range(80)}
+    captures = [(u, 302, "https://evil.example/" if to == "off" else to) for u, to in moved.items()] + [(at(i), 200, at(3)) for i in range(80, 90)]
+    df = spark.createDataFrame(captures, "url string, status int, location string")
+    asked = spark.createDataFrame([(at(i),) for i in range(95)], "url string")
+    got = {r["url"]: (r["final_url"], r["hops"], r["error"] and r["error"]["code"]) for r in resolve.resolve_redirects(asked, df, profile).collect()}
+    assert got == {at(i): plain_follow(at(i), moved, most) for i in range(95)}
+    assert resolve.redirect_closure(df.limit(0), profile).count() == 0
+
+
+def test_asof_of_a_hot_instance_is_cut_into_even_ranges(spark, monkeypatch):
+    """One instance, many requests: found as plain steps find it, and no range has twice the median's rows."""
+    rng = random.Random(4)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(3000)), i % 5 == 0) for i in range(4000)]
+    log = spark.createDataFrame(rows, "n long, ts timestamp, search boolean").withColumn("instance", F.lit("p"))
+    searches = log.where("search and n % 400 = 0").selectExpr("n as search_id", "instance", "ts", "n % 800 = 0 as ok")
+    details = searches.selectExpr("search_id", "'7' as id", "concat('/', search_id) as detail_url")
+    downloads = log.where("not search").selectExpr("n", "instance", "ts", "'7' as id")
+    cuts = []
+    monkeypatch.setattr(resolve, "materialize", lambda df: cuts.append(df.cache()) or cuts[-1])
+    got = {r["n"]: r["known"] for r in resolve.asof_detail_url(downloads, searches, details).collect()}
+    good = sorted((ts, n) for n, ts, s in rows if s and n % 800 == 0)
+    last = lambda ts: next((f"/{n}" for t, n in reversed(good) if t <= ts), None)
+    assert got == {n: last(ts) for n, ts, s in rows if not s}
+    counts = sorted(r["count"] for r in cuts[0].groupBy("range").count().collect())
+    assert len(counts) > 1 and counts[-1] < 2 * counts[len(counts) // 2]
