@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -31,6 +32,10 @@ MIN_DIGITS = 5
 #: fill it, if instances make up MIN_PATTERN of the identifiers of their type that do, and if identifiers make up
 #: MIN_FILL of all that stands there in the corpus. Values of a confidence of MIN_INSTANCE are instances in turn.
 SUPPORT, MIN_PATTERN, MIN_FILL, MIN_INSTANCE, ROUNDS = 5, 0.5, 0.25, 0.5, 4
+#: A longer word is known by its digest.
+LONG_WORD = 64
+#: Words that patterns ask for and that are sent to all tasks; of more, all words are counted.
+MOST_ASKED = 100_000
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -81,7 +86,7 @@ _PIECE = re.compile(rf"[^\x20\x09-\x0D{_CUT}]++")
 _INNER = re.compile(rf"[{_CUT}]")
 #: Tokens of digits and their punctuation that follow each other on a line, each but for one space or tab.
 _NUMBERS = re.compile(r"(?<![^\x20\x09-\x0D])[0-9().+/-]*+(?<=[0-9().+/-])(?:[\x20\t][0-9().+/-]++)+(?![^\x20\x09-\x0D.,;:!?])")
-_TOKEN_END = re.compile(r"[\x20\x09-\x0D]|\Z")
+_AROUND = _SIGNS | frozenset(_EDGE)
 _NEXT = re.compile(r"[\x20\x09\x0B-\x0D]+([^\x20\x09-\x0D]+)")
 
 
@@ -95,25 +100,38 @@ def _word_before(text: str, a: int) -> tuple[int, int] | None:
     return (a, b) if a < b else None
 
 
-def _neighbours(text: str, a: int, b: int) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
-    """Places of the neighbours on the same line; none at a line's edge.
-
-    Within a token these are the piece before with the signs between, and the signs with the piece after; at a
-    token's edge the next word is. What touches an identifier without a sign is before it, and never after it.
-    """
+def _piece_before(text: str, a: int) -> tuple[int, int] | None:
+    """The piece before the place a in its token, with the signs between; none if the token has none."""
     lo = a
     while lo and text[lo - 1] in _SIGNS:
         lo -= 1
     x = lo
     while x and text[x - 1] not in _SIGNS and text[x - 1] not in _SPACES:
         x -= 1
-    before = (x, a) if x < lo else _word_before(text, lo)
+    return (x, a) if x < lo else None
+
+
+def _before(text: str, a: int) -> tuple[int, int] | None:
+    """What stands before the place a on its line: the piece before in its token, at a token's edge the word before."""
+    if piece := _piece_before(text, a):
+        return piece
+    while a and text[a - 1] in _SIGNS:
+        a -= 1
+    return _word_before(text, a)
+
+
+def _neighbours(text: str, a: int, b: int) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
+    """Places of the neighbours on the same line; none at a line's edge.
+
+    Within a token these are the piece before with the signs between, and the signs with the piece after; at a
+    token's edge the next word is. What touches an identifier without a sign is before it, and never after it.
+    """
     hi = b
-    while hi < len(text) and text[hi] in _SIGNS:
+    while hi < len(text) and text[hi] in _AROUND:
         hi += 1
     m = _PIECE.match(text, hi) if b < hi else None
-    n = None if m else _NEXT.match(text, _TOKEN_END.search(text, hi).start())
-    return before, (b, m.end()) if m else n.span(1) if n else None
+    n = None if m else _NEXT.match(text, hi)
+    return _before(text, a), (b, m.end()) if m else n.span(1) if n else None
 
 
 def _is_identifier(s: str) -> bool:
@@ -165,23 +183,32 @@ def _type(s: str) -> str:
     return "at" if "@" in s else "mixed" if any(c.isalpha() for c in s) else "digits"
 
 
+def _named(word: str) -> str:
+    """A small-letter word, or a digest in place of a long one: the same for the same word."""
+    word = word.translate(_LOWER)
+    return word if len(word) <= LONG_WORD else "#" + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def hulls(text: str, a: int, b: int) -> list[tuple[str, list[str], tuple]]:
     """The hulls around a place: pattern, its words as they are counted, and the place that is filled.
 
-    These are the word before, the two words before, the word after, and the words on both sides.
+    These are the word before, the two words before, the word after, and the words on both sides. Within a token words
+    are pieces, so each piece of a token, however long that is, is looked at by its neighbours alone.
     """
     before, after = _neighbours(text, a, b)
     out = []
-    low = lambda at: text[slice(*at)].translate(_LOWER)
+    name = lambda at: _named(text[slice(*at)])
     if before:
-        one = low(before)
+        one = name(before)
         out.append(("<" + one, [one], ("<", before)))
-        if two := _word_before(text, before[0]):
-            out.append((f"<{low(two)} {one}", [low(two), one], ("<<", before)))
+        if before_it := _before(text, before[0]):
+            two = name(before_it)
+            out.append((f"<{two} {one}", [two, one], ("<<", before)))
     if after:
-        out.append((">" + low(after), [low(after)], (">", after)))
+        next_ = name(after)
+        out.append((">" + next_, [next_], (">", after)))
         if before:
-            out.append((f"<{one} >{low(after)}", [one, low(after)], ("<>", before, after)))
+            out.append((f"<{one} >{next_}", [one, next_], ("<>", before, after)))
     return out
 
 
@@ -214,13 +241,17 @@ def _contexts(items: DataFrame, *keep: str) -> DataFrame:
     return items.select(*keep, F.explode("hulls").alias("h")).select(*keep, "h.pattern", "h.words", "h.n")
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """``word, total``: how often each word occurs, and within tokens each piece with the signs after it or before it."""
+def _word_counts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``word, total``: how often each asked word occurs, and within tokens each piece with the signs after it or before it."""
     text = ascii_lower(F.coalesce("text", F.lit("")))
     every = lambda x: F.regexp_extract_all(text, F.lit(x), F.lit(0))
     one, signs = rf"[^\x20\x09-\x0D{_CUT}]++", f"[{_CUT}]++"
     inner = F.concat(every(rf"{one}{signs}(?![\x20\x09-\x0D]|\z)"), every(rf"(?<![\x20\x09-\x0D{_CUT}]){signs}{one}"))
     words = docs.select(F.explode(F.concat(every(WORD), inner)).alias("word"))
+    long_ = F.concat(F.lit("#"), F.sha2(F.col("word").cast("binary"), 256))
+    words = words.select(F.when(F.length("word") > LONG_WORD, long_).otherwise(F.col("word")).alias("word"))
+    if asked.count() <= MOST_ASKED:
+        words = words.join(F.broadcast(asked), "word", "left_semi")
     return words.groupBy("word").agg(F.count("*").alias("total"))
 
 
@@ -242,9 +273,9 @@ def trusted_patterns(items: DataFrame, docs: DataFrame) -> tuple[DataFrame, Data
     filled = edges.groupBy("pattern").agg(
         F.sum("n").alias("filled"), F.count("*").alias("values"), F.first("words").alias("words")
     ).where(F.col("values") >= SUPPORT)
+    asking = materialize(filled.select("pattern", F.explode("words").alias("word")))
     totals = (
-        filled.select("pattern", F.explode("words").alias("word"))
-        .join(_word_counts(docs), "word", "left")
+        asking.join(_word_counts(docs, asking.select("word").distinct()), "word", "left")
         .groupBy("pattern")
         .agg(F.min(F.coalesce("total", F.lit(2**62))).alias("total"))  # a word that isn't counted is no evidence
     )

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -523,6 +524,23 @@ def test_common_words_in_tokens_are_no_pattern(spark):
     assert got[99] == []
 
 
+@pytest.mark.parametrize("token", ["12345," * 170_000, "12345.," * 150_000, '{"id":"555-0123","n":17},' * 40_000, "Ab3/x9+Q" * 125_000, "=" * 10**6 + "123456", "12345." * 170_000 + " " + "b" * 10**6])
+def test_contexts_of_long_tokens_are_read_once(token):
+    """A megabyte without a space takes seconds, and hulls don't hold more than a few times the text."""
+    began = time.process_time()
+    base = pii.base_spans(token)
+    held = sum(len(p) + sum(map(len, ws)) for a, b in pii.identifiers(token, base) for p, ws, _ in pii.hulls(token, a, b))
+    assert time.process_time() - began < 10 and held < 40 * len(token)
+
+
+def test_long_words_are_known_by_a_digest(spark):
+    word = "Word" * 40
+    (pattern, words, _), *_ = pii.hulls(f"{word} 12345678", len(word) + 1, len(word) + 9)
+    df = spark.createDataFrame([(f"{word} {word.lower()} x",)], "text string")
+    asked = spark.createDataFrame([(w,) for w in words], "word string")
+    assert [(r["word"], r["total"]) for r in pii._word_counts(df, asked).collect()] == [(words[0], 2)] and len(pattern) < 70
+
+
 def test_scans_keep_every_row(odd):
     for df in (pii.find_personal_data(odd), secrets.scan_secrets(odd)):
         assert df.count() == odd.count()
