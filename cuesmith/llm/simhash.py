@@ -26,6 +26,8 @@ LIKE_WORDS, LIKE_BITS, LIKE_RADIUS = 5, 1024, 178
 #: Shards of like texts: each of BANDS groups of BAND_MINIMA least hashes names one. Two texts of similarity 0.8 agree in
 #: at least one group with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
 BANDS, BAND_MINIMA = 8, 3
+#: Rows of a block of a shard; groups of at most SMALL_TREE rows are a BK-tree of many levels, larger ones of one level.
+LIKE_SHARD, SMALL_TREE = 2048, 48
 
 
 def shingle_digests(text: str | None, size: int) -> bytes:
@@ -108,14 +110,14 @@ class BkTree:
         children[place[0]][place[1]] = me
 
 
-def _shard_links(parts: Iterator[pd.DataFrame], radius: int = RADIUS) -> Iterator[pd.DataFrame]:
+def _shard_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by shard -> one link from each fingerprint to the first of its component in the shard."""
     key, fps, nodes = None, [], []
 
     def done() -> pd.DataFrame | None:
         if len(fps) < 2:
             return None
-        tree = BkTree(radius)
+        tree = BkTree(RADIUS)
         for x in fps:
             tree.add(x)
         top = [tree.find(i) for i in range(len(fps))]
@@ -125,10 +127,7 @@ def _shard_links(parts: Iterator[pd.DataFrame], radius: int = RADIUS) -> Iterato
     for part in parts:
         keys = part["shard"].to_numpy()
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)] if len(keys) else [0]
-        if part["fp"].dtype == object:
-            fp = [int.from_bytes(x, "big") for x in part["fp"]]
-        else:
-            fp = part["fp"].to_numpy().view(np.uint64).tolist()
+        fp = part["fp"].to_numpy().view(np.uint64).tolist()
         node = part["node"].tolist()
         out = []
         for i, j in zip(cuts, cuts[1:], strict=False):
@@ -239,31 +238,83 @@ def _like_sketches(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([like_sketch(t) for t in texts], columns=["fp", "keys"])
 
 
+def wide_forest(fps: np.ndarray, sides: np.ndarray, radius: int = LIKE_RADIUS) -> list[tuple[int, int]]:
+    """Links that join all rows within the radius of each other, of rows of words of 64 bits; where there are two sides, across.
+
+    The tree is one level of a BK-tree: all rows hang on the first by their integer distance to it, in order, and a
+    search follows the edges within the radius of its own distance; what is below them is compared in one step. Rows of
+    the component that a row is in already are passed by.
+    """
+    far = np.bitwise_count(fps ^ fps[0]).sum(axis=1, dtype=np.int64)
+    order = np.argsort(far, kind="stable")
+    fps, far, side = fps[order], far[order], sides[order]
+    last = np.searchsorted(far, far + radius, "right")
+    part, across, found = np.arange(len(fps)), bool((sides != sides[0]).any()), []
+    for i in range(len(fps)):
+        other = part[i + 1 : last[i]] != part[i]
+        if across:
+            other &= side[i + 1 : last[i]] != side[i]
+        at = i + 1 + np.flatnonzero(other)
+        for j in at[np.bitwise_count(fps[at] ^ fps[i]).sum(axis=1, dtype=np.int64) <= radius]:
+            if part[j] != part[i]:
+                found.append((int(order[i]), int(order[j])))
+                part[part == part[j]] = part[i]
+    return found
+
+
 def _like_shard_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return _shard_links((p.assign(node=p["fp"]) for p in parts), LIKE_RADIUS)
+    """Rows sorted by (key, p, q) -> a forest of links of each such group."""
+    key, fps, sides = None, [], []
+
+    def done() -> pd.DataFrame | None:
+        if len(fps) < 2:
+            return None
+        if len(fps) <= SMALL_TREE and len(set(sides)) == 1:
+            tree = BkTree(LIKE_RADIUS)
+            for x in fps:
+                tree.add(int.from_bytes(x, "big"))
+            found = [(i, t) for i in range(len(fps)) if (t := tree.find(i)) != i]
+        else:
+            found = wide_forest(np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1), np.array(sides))
+        return pd.DataFrame([(fps[i], fps[j]) for i, j in found], columns=["a", "b"]) if found else None
+
+    for part in parts:
+        out = []
+        for at, fp, side in zip(zip(part["key"], part["p"], part["q"], strict=True), part["fp"], part["side"], strict=True):
+            if at != key:
+                out.append(done())
+                key, fps, sides = at, [], []
+            fps.append(bytes(fp))
+            sides.append(side)
+        out = [x for x in out if x is not None]
+        if out:
+            yield pd.concat(out)
+    if (last := done()) is not None:
+        yield last
 
 
-def like_links(distinct: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """``distinct(fp, keys)`` -> ``(a, b)`` of fingerprints within LIKE_RADIUS in a shard, as a forest of each shard.
+def like_links(distinct: DataFrame, shard_limit: int = LIKE_SHARD) -> DataFrame:
+    """``distinct(fp, keys)`` -> ``(a, b)`` of fingerprints within LIKE_RADIUS that share a key, as a forest of each shard.
 
-    A shard above the limit (a passage that very many texts share fills one) is dealt out again by each other
-    key of its rows, so its rows meet where they agree in two keys; of two texts of similarity 0.8 that agree in
-    one of 8 keys, 0.993 agree in another. What is left together then is copies of like text, which a tree passes by.
+    What links doesn't depend on how many texts share a key. A shard above the limit (a passage that very many texts
+    share fills one) is cut into blocks of about that size by a hash; each pair of blocks, and each block with itself,
+    is a group of its own, so a task holds two blocks at most and a shard of n rows is sent n / limit times.
     """
-    dealt = distinct.select("fp", "keys", F.explode("keys").alias("key"))
-    large = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard_limit).select("key", F.lit(True).alias("large"))
+    dealt = distinct.select("fp", F.explode(F.array_distinct("keys")).alias("key"))
+    counts = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    blocks = counts.select("key", F.ceil(F.col("n") / shard_limit).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(
-        F.filter("keys", lambda k: k != F.col("key")), lambda k: F.xxhash64(F.least(k, F.col("key")), F.greatest(k, F.col("key")))
-    )
-    shards = dealt.join(large, "key", "left").select(
-        "fp", F.explode(F.when(F.col("large"), pairs).otherwise(F.array("key"))).alias("shard")
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda x: F.struct(F.least(F.col("mine"), x).alias("p"), F.greatest(F.col("mine"), x).alias("q"), (F.col("mine") > x).cast("int").alias("side")),
     )
+    shards = dealt.join(blocks, "key").withColumn("mine", mine).select("fp", "key", F.explode(pairs).alias("g")).select("fp", "key", "g.p", "g.q", "g.side")
     return (
-        shards.repartition("shard").sortWithinPartitions("shard", "fp").mapInPandas(_like_shard_links, "a binary, b binary").distinct()
+        shards.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "fp").mapInPandas(_like_shard_links, "a binary, b binary").distinct()
     )
 
 
-def like_documents(docs: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+def like_documents(docs: DataFrame, shard_limit: int = LIKE_SHARD) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, row, fp, part``; rows of one part are near copies.
 
     Near copies have a Jaccard similarity of about 0.8 or more on distinct five-word shingles (lower-cased A-Z),

@@ -237,9 +237,9 @@ def test_wide_sketch_equals_plain_version(texts):
     assert simhash.like_sketch(long) == simhash.like_sketch(long + " 5994 5995 5996 5997")
 
 
-@pytest.mark.parametrize("limit", [1, 10_000])
-def test_wide_links_lose_nothing_at_any_shard_limit(spark, limit):
-    """Two fingerprints link if they share a key, or two keys where shards are split, and differ in 178 bits or fewer."""
+@pytest.mark.parametrize("limit", [1, 5, 10_000])
+def test_wide_links_are_the_same_at_any_shard_limit(spark, limit):
+    """Two fingerprints link if they share a key and differ in 178 bits or fewer, however shards are cut into blocks."""
     random.seed(6)
     made = []
     for family in range(12):
@@ -248,7 +248,6 @@ def test_wide_links_lose_nothing_at_any_shard_limit(spark, limit):
             at ^= sum(1 << i for i in random.sample(range(1024), random.randrange(1, 150)))
             made.append((at, [k if random.random() < 0.6 else random.getrandbits(40) for k in keys]))
     df = spark.createDataFrame([(f.to_bytes(128, "big"), k) for f, k in made], "fp binary, keys array<long>")
-    many = Counter(k for _, keys in made for k in keys)
     up = list(range(len(made)))
 
     def find(i):
@@ -258,9 +257,7 @@ def test_wide_links_lose_nothing_at_any_shard_limit(spark, limit):
 
     for n, (a, ka) in enumerate(made):
         for m, (b, kb) in enumerate(made[:n]):
-            both = set(ka) & set(kb)
-            met = len(both) >= 2 or any(many[k] <= limit for k in both)
-            if met and (a ^ b).bit_count() <= 178:
+            if set(ka) & set(kb) and (a ^ b).bit_count() <= 178:
                 up[max(find(n), find(m))] = min(find(n), find(m))
     got = {bytes(r["node"]): bytes(r["component"]) for r in components.connected_components(simhash.like_links(df, limit)).collect()}
     groups = lambda of: Counter(frozenset(g) for g in of.values())
@@ -272,6 +269,38 @@ def test_wide_links_lose_nothing_at_any_shard_limit(spark, limit):
     assert groups(theirs) == groups(mine) and max(map(len, mine.values())) > 5
 
 
+def test_a_pair_with_one_key_links_among_very_many(spark):
+    """Two near fingerprints share one key with 5000 unrelated ones, more than a block holds."""
+    rng = random.Random(9)
+    one = rng.getrandbits(1024)
+    two = one ^ sum(1 << i for i in rng.sample(range(1024), 170))
+    fps = [one, two, *(rng.getrandbits(1024) for _ in range(5000))]
+    df = spark.createDataFrame([(f.to_bytes(128, "big"), [7, *(rng.getrandbits(50) for _ in range(7))]) for f in fps], "fp binary, keys array<long>")
+    got = [{bytes(r["a"]), bytes(r["b"])} for r in simhash.like_links(df).collect()]
+    assert got == [{one.to_bytes(128, "big"), two.to_bytes(128, "big")}]
+
+
+def test_one_level_tree_equals_all_pairs():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (6, 16), dtype=np.uint64)
+    fps = base[rng.integers(0, 6, 200)] ^ np.bitwise_and.reduce(rng.integers(0, 2**63, (3, 200, 16), dtype=np.uint64))
+    for sides in (np.zeros(200, int), rng.integers(0, 2, 200)):
+        want, got = list(range(200)), list(range(200))
+
+        def find(up, i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i in range(200):
+            for j in range(i):
+                if (sides[i] != sides[j] or not sides.any()) and np.bitwise_count(fps[i] ^ fps[j]).sum(dtype=int) <= 178:
+                    want[max(find(want, i), find(want, j))] = min(find(want, i), find(want, j))
+        for i, j in simhash.wide_forest(fps, sides):
+            got[max(find(got, i), find(got, j))] = min(find(got, i), find(got, j))
+        assert [find(got, i) for i in range(200)] == [find(want, i) for i in range(200)]
+
+
 def test_near_copies_go_and_other_texts_stay(spark):
     """Made near copies at 0.8 to 0.95 go; texts that share a long passage, or a third of their words, stay."""
     random.seed(7)
