@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, row_hash, table, words
@@ -12,7 +13,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: The transformed statistics, each with the least standard deviation that is taken for real: statistics that are
 #: zero for nearly all documents have none of their own.
-FLOORS = {"z_word": 0.10, "z_symbol": 0.06, "z_line": 0.10, "z_repeat": 0.10}
+FLOORS = {"z_word": 0.10, "z_symbol": 0.06, "z_line": 0.083, "z_repeat": 0.10}
 #: Share of a group that the determinant is taken over, and the factor that makes up for the tails left out:
 #: share / P(chi2(6) <= the share's quantile of chi2(4)).
 SHARE, CONSISTENCY = 0.75, 1.486
@@ -24,6 +25,9 @@ MIN_GROUP = 50
 #: Rows of estimates, one for each group, up to which they are broadcast: a few MB.
 MOST_BROADCAST = 20_000
 
+#: Order statistics are found in steps of 2**-COARSE, then of 2**-FINE within one of these.
+COARSE, FINE = 10, 30
+
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -37,7 +41,7 @@ def _ahead(xs: Column, k: int) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, lang, source)`` -> ``doc_id, row, lang, source`` and the five base statistics as longs.
+    """``docs(doc_id, text, lang, source)`` -> ``doc_id, row, lang, source``, the five base statistics and n_lines (with a word) as longs.
 
     Null and empty texts have zero of each. A window is eight words; n_repeat_words counts the words that lie in
     a window found at least twice in the text. Windows are compared by a 64-bit hash built by doubling, so no
@@ -52,12 +56,13 @@ def statistics(docs: DataFrame) -> DataFrame:
         "source",
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("distinct"))).alias("lines"),
         F.transform(words(text), lambda w: F.xxhash64(w)).alias("h"),
     )
     both = lambda x, y: F.xxhash64(x, y)
     n = F.col("n_words")
-    hashed = first.withColumn("n_words", F.size("h").cast("long")).withColumn(
+    counted = {"n_words": F.size("h"), "n_lines": F.col("lines.all"), "n_dup_lines": F.col("lines.all") - F.col("lines.distinct")}
+    hashed = first.withColumns({k: c.cast("long") for k, c in counted.items()}).withColumn(
         "h",
         F.when(
             n >= WINDOW,
@@ -93,7 +98,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         ),
     )
     repeats = F.when(F.size("h") > F.size(F.array_distinct("h")), covered).otherwise(0).cast("long")
-    return hashed.withColumn("n_repeat_words", repeats).select("doc_id", "row", "lang", "source", *STATS)
+    return hashed.withColumn("n_repeat_words", repeats).select("doc_id", "row", "lang", "source", *STATS, "n_lines")
 
 
 def base_failed() -> Column:
@@ -106,7 +111,7 @@ def _vector(stats: DataFrame) -> DataFrame:
         {
             "z_word": F.log((F.col("word_chars") + 1.0) / n),
             "z_symbol": F.sqrt(F.least(F.col("n_symbols") / n, F.lit(25.0))),
-            "z_line": F.sqrt(F.least(F.col("n_dup_lines") / n, F.lit(1.0))),
+            "z_line": F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
             "z_repeat": F.sqrt(F.col("n_repeat_words") / n),
         }
     )
@@ -139,11 +144,16 @@ def _factor(moments: DataFrame) -> DataFrame:
     return moments
 
 
+def _mean(x: Column) -> Column:
+    """The mean to nine decimals, summed in whole numbers: the same in whatever order rows are added up."""
+    return F.sum(F.round(x * 1e9).cast("decimal(20,0)")).cast("double") / 1e9 / F.count("*")
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     names = list(FLOORS)
     sums = rows.groupBy("g").agg(
-        *[F.avg(a).alias(f"m_{a}") for a in names],
-        *[F.avg(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]],
+        *[_mean(F.col(a)).alias(f"m_{a}") for a in names],
+        *[_mean(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]],
     )
     cov = [
         (
@@ -156,6 +166,25 @@ def _moments(rows: DataFrame) -> DataFrame:
     return _factor(sums.select("g", *[f"m_{a}" for a in names], *cov))
 
 
+def order_statistics(rows: DataFrame, columns: dict[str, Column], share: float) -> DataFrame:
+    """``rows(g, ...)`` -> for each g and name the value that ``share`` of its rows don't exceed, to 2**-FINE, from above.
+
+    Values are not negative. They are counted in coarse steps, so a group of any size is a short list after the sums
+    before the shuffle; then the rows of the step in which the place falls are counted in fine ones. Counts are exact,
+    so the result doesn't depend on partitions.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), v.alias("v")) for k, v in columns.items()]))
+    values = rows.select("g", each.alias("x")).select("g", "x.c", F.floor(F.col("x.v") * 2.0**COARSE).alias("step"), F.floor(F.col("x.v") * 2.0**FINE).alias("fine"))
+    run = W.partitionBy("g", "c").orderBy("at")
+    before = lambda df, at: df.groupBy("g", "c", F.col(at).alias("at")).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(run))
+    coarse = before(values, "step").withColumn("place", F.ceil(F.max("upto").over(W.partitionBy("g", "c")) * F.lit(share)))
+    step = materialize(coarse.where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place"))))
+    asked = step.select("g", "c", F.col("at").alias("step"), (F.col("place") - F.col("upto") + F.col("n")).alias("left"))
+    fine = before(values.join(_small(asked.drop("left")), ["g", "c", "step"], "left_semi"), "fine").join(_small(asked.drop("step")), ["g", "c"])
+    found = fine.where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("n") < F.col("left")))
+    return found.groupBy("g").agg(*[((F.max(F.when(F.col("c") == k, F.col("at"))) + 1) / F.lit(2.0**FINE)).alias(k) for k in columns])
+
+
 def _small(params: DataFrame) -> DataFrame:
     """Marked for a broadcast if it has few enough rows; else joins shuffle."""
     return F.broadcast(params) if params.count() <= MOST_BROADCAST else params
@@ -166,26 +195,19 @@ def estimates(vectors: DataFrame) -> DataFrame:
 
     The start is deterministic: medians and median deviations. Each concentration step then takes the mean and
     covariance over the SHARE of the group that lies nearest under the last estimate, which never raises the
-    determinant. Medians and the share's quantile come from mergeable sketches, so a group of any size is
-    summed before the shuffle.
+    determinant. Medians, quantiles and sums are exact to nine decimals, whatever the partitions, and a group of any
+    size is summed before the shuffle.
     """
     names = list(FLOORS)
-    mid = materialize(vectors.groupBy("g").agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in names]))
-    wide = vectors.join(_small(mid), "g").groupBy("g").agg(
-        *[
-            F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000), F.lit(FLOORS[a])).alias(
-                f"l_{a}_{a}"
-            )
-            for a in names
-        ],
-        *[F.first(f"m_{a}").alias(f"m_{a}") for a in names],
-    )
+    mid = materialize(order_statistics(vectors, {f"m_{a}": F.col(a) for a in names}, 0.5))
+    off = order_statistics(vectors.join(_small(mid), "g"), {f"l_{a}_{a}": F.abs(F.col(a) - F.col(f"m_{a}")) for a in names}, 0.5)
+    wide = off.select("g", *[F.greatest(1.4826 * F.col(f"l_{a}_{a}"), F.lit(FLOORS[a])).alias(f"l_{a}_{a}") for a in names]).join(mid, "g")
     zero = {f"l_{a}_{b}": F.lit(0.0) for i, a in enumerate(names) for b in names[:i]}
     now = materialize(wide.withColumns(zero))
     for _ in range(STEPS):
-        far = vectors.join(_small(now), "g").withColumn("d2", _distance())
-        near = materialize(far.groupBy("g").agg(F.percentile_approx("d2", SHARE, 1000).alias("most")))
-        now = materialize(_moments(far.join(_small(near), "g").where("d2 <= most")))
+        far = vectors.join(_small(now), "g").withColumn("far", F.sqrt(_distance()))
+        near = materialize(order_statistics(far, {"most": F.col("far")}, SHARE))
+        now = materialize(_moments(far.join(_small(near), "g").where("far <= most")))
     return now
 
 

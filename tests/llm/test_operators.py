@@ -732,6 +732,32 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk + long)
 
 
+def test_documents_of_many_repeated_lines_go(spark):
+    """A third of the lines stood there before: such documents go. One of a few lines twice is no outlier."""
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(random.randrange(2, 9)))
+    lines = lambda n: [" ".join(word() for _ in range(6)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(random.randrange(10, 40))), "en", "s") for i in range(200)]
+    for i in range(20):
+        some = lines(24)
+        again = [x for j in range(12) for x in (some[j], some[12 + j], some[j])]  # no window of eight words twice
+        rows.append((1000 + i, "\n".join(again), "en", "s"))
+        rows.append((2000 + i, "\n".join(some[:6] + some[:1]), "en", "s"))
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(failed for failed, _ in got.values())
+    assert {i // 1000 for i, (_, kept) in got.items() if not kept} == {1}
+    assert {i // 1000 for i, (_, kept) in got.items() if kept} == {0, 2}
+
+
+def test_estimates_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    names = list(quality.FLOORS)
+    rows = [("a", *map(float, np.abs(x))) for x in rng.standard_normal((10_000, 4))]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{n} double" for n in names))
+    two, nine = (quality.estimates(df.repartition(n)).first() for n in (2, 9))
+    assert two == nine
+
+
 def test_robust_estimates_equal_numpy(spark):
     rng = np.random.default_rng(17)
     names = list(quality.FLOORS)
