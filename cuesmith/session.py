@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _folders: set[str] = set()
+#: Bytes of an Arrow batch, where the session has Spark's own default of 64 MB: a worker holds a batch some times over.
+ARROW_BATCH = 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's modules to the executors, once per application."""
+    """Send the package's modules to the executors, once per application, and keep Arrow batches small."""
     app = spark.sparkContext.applicationId
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(ARROW_BATCH))
     if app not in _shipped:
         root = Path(__file__).resolve().parent
         at = os.path.join(tempfile.mkdtemp(prefix="cuesmith-ship-"), "cuesmith.zip")
