@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..profile import DEFAULT, SiteProfile
-from ..session import materialize
 from .io import dealt, good_subtitles
 
 #: As ``write_subtitles`` takes them.
@@ -76,17 +77,23 @@ class SubtitleStore:
         """
         before = self.runs()
         number, old = (before[-1] if before else 0) + 1, self.manifest(before[-1]) if before else {}
-        good = good_subtitles(subtitles, self.profile).select(*[c.split()[0] for c in SUBTITLE.split(", ")])
-        latest = F.max_by(F.struct(*good.columns), F.struct("cached_at", "n_bytes", "text"))
-        good = materialize(good.groupBy("id").agg(latest.alias("x")).select("x.*"))  # what is written is what was looked at
-        touched = [r[0] for r in good.select(prefix().alias("p")).distinct().collect()]
-        kept = self._read({p: old[p] for p in touched if p in old}).join(good.select("id"), "id", "left_anti")
-        version = uuid.uuid4().hex
+        columns = [c.split()[0] for c in SUBTITLE.split(", ")]
+        good = good_subtitles(subtitles, self.profile).select(*columns)
+        touched = {r[0] for r in good.select(prefix().alias("p")).distinct().collect()}
         if touched:
-            rows = kept.unionByName(good).withColumn("id_prefix", prefix())
-            spread = dealt(rows, "id_prefix", F.col("n_bytes"), F.col("id"))
-            spread.sortWithinPartitions("id_prefix", "id").write.parquet(f"{self.path}/data/{version}")
-        self._publish(number, old | dict.fromkeys(touched, version))
+            version = uuid.uuid4().hex
+            kept = self._read({p: old[p] for p in touched if p in old})
+            both = kept.withColumn("__new", F.lit(0)).unionByName(good.withColumn("__new", F.lit(1))).withColumn("id_prefix", prefix())
+            # Texts move once; in the order of ids, the first row of each is the one that counts.
+            spread = dealt(both, "id_prefix", F.col("n_bytes"), F.col("id"))
+            order = [F.col(c).desc_nulls_last() for c in ("__new", "cached_at", "n_bytes", "text")]
+            only = _firsts(spread.sortWithinPartitions("id_prefix", "id", *order).select(*columns, "id_prefix"))
+            only.write.option("compression", "zstd").parquet(f"{self.path}/data/{version}")
+            written = self.spark.read.parquet(f"{self.path}/data/{version}").select("id_prefix").distinct()
+            if {r[0] for r in written.collect()} != touched:
+                raise StaleRun("the subtitles changed while they were written")
+            old |= dict.fromkeys(touched, version)
+        self._publish(number, old)
         return number
 
     def _publish(self, number: int, versions: dict[str, str]) -> None:
@@ -112,5 +119,19 @@ class SubtitleStore:
         return gone
 
 
+def _firsts(ordered: DataFrame) -> DataFrame:
+    """Of rows that lie in the order of ids the first of each id, partition by partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            first = [x != y for x, y in zip(ids, [last, *ids], strict=False)]
+            last = ids[-1] if ids else last
+            yield batch.filter(pa.array(first, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema)
+
+
 def prefix() -> Column:
     return F.substring("id", 1, 3)
