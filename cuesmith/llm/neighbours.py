@@ -14,8 +14,11 @@ from .common import materialize, table
 PROJECTIONS, THRESHOLD = 64, 0.92
 #: Half the first window, in interquartile ranges of a projection; its growth from one round to the next.
 FIRST, GROWTH = 0.75, 1.08
-#: A query's windows stop widening once VERIFY of a block's rows and SPARE * k more collide; those are verified.
-VERIFY, SPARE = 0.08, 6
+#: A query's windows stop widening once a share of a block's rows and SPARE * k more collide; those are verified. The
+#: share is the first of SHARES at which PILOT of the block's queries, evenly spaced, which are also searched through
+#: all rows, have TARGET of their true neighbours; at the last one every row is verified.
+SHARES, SPARE = (0.02, 0.04, 0.08, 0.12, 0.16, 0.24, 0.32, 0.48, 1.0), 6
+PILOT, TARGET = 32, 0.95
 #: Vectors of a block, queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4096
 #: Queries that are searched together.
@@ -53,26 +56,41 @@ class SortedProjections:
         self.rough = scaled.astype(np.float32)
         self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(p, self.order, 1)
+        self.share, self.recall = SHARES[-1], 1.0
         spread = np.subtract(*np.percentile(self.sorted, [75, 25], axis=1)).mean()
         self.width = max(float(spread) * FIRST, 1e-9)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and inner products of the k best among the verified, best first, ties to the smaller id.
 
-        Later queries start a step below the width at which half of the first ones were done: too wide a start
-        only verifies more.
+        A pilot sets the share of rows that is verified. Windows start a step below the width at which half of the
+        pilot's were done: too wide a start only verifies more.
         """
-        out, first = [], self.width
+        out = []
         shrunk, norms = _unit(queries)
         at = (shrunk * (self.scale / norms)[:, None]) @ self.axes[:-1]
+        self._pilot(query_ids, queries, at, k)
         for i in range(0, len(queries), PART):
             part = slice(i, i + PART)
-            found, widths = self._search(query_ids[part], queries[part], at[part], k, first)
-            out += found
-            if not i:
-                first = max(first, float(np.median(widths)) / GROWTH)
+            out += self._search(query_ids[part], queries[part], at[part], k, self.first)[0]
         return out
 
+    def _pilot(self, query_ids: np.ndarray, queries: np.ndarray, at: np.ndarray, k: int) -> None:
+        """Set the share, and the recall that the pilot has with it."""
+        some = np.unique(np.linspace(0, len(queries) - 1, min(PILOT, len(queries))).astype(int))
+        least = []  # the k-th best score of each
+        for i in some:
+            _, scores = self._verified(np.flatnonzero(self.ids != query_ids[i]), queries[i], k)
+            least.append((scores[-1] if len(scores) else np.inf, len(scores)))
+        known, width = sum(n for _, n in least), self.width
+        for self.share in SHARES:
+            found, widths = self._search(query_ids[some], queries[some], at[some], k, width)
+            self.recall = sum(int((scores >= kth).sum()) for (_, scores), (kth, _) in zip(found, least, strict=True)) / max(1, known)
+            width = max(width, float(np.median(widths)) / GROWTH)
+            if not known or self.recall >= TARGET:
+                break
+        self.first = width
+
     def _windows(self, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
         """First and last place plus one of each query's window in each sorted array."""
         lo = [np.searchsorted(s, x - width, "left") for s, x in zip(self.sorted, at.T, strict=True)]
@@ -84,8 +102,11 @@ class SortedProjections:
 
     def _search(self, query_ids, queries, at, k: int, width: float):
         n, out, widths = len(self.ids), [None] * len(queries), np.zeros(len(queries))
-        spare, wanted = PROJECTIONS - int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, int(VERIFY * n) + SPARE * k + 1)
+        spare, wanted = PROJECTIONS - int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, int(self.share * n) + SPARE * k + 1)
         open_ = np.arange(len(queries))
+        if wanted >= n:  # windows as wide as the arrays: every row collides
+            every = np.arange(n)
+            return [self._verified(every[self.ids != q], x, k) for q, x in zip(query_ids, queries, strict=True)], widths
         lo, hi = self._windows(at, width)
         outside = {}
         for q in open_:
@@ -159,7 +180,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, column: str = "
     queries and vectors have vec_id and the vector column. Rows are dealt evenly into blocks of about
     BLOCK_ROWS by a hash of the id; each block of queries meets each block of rows in one task, whose memory
     those two sizes bound. In it, windows around a query's projections widen until the rows that collide with
-    it in THRESHOLD of the projections make up VERIFY of the block; those are verified by the exact inner
+    it in THRESHOLD of the projections make up the share of the block that its pilot asks for; those are verified by the exact inner
     product, in double precision. A row isn't its query's own candidate. Equal vectors collide alike, so copies
     stand or fall together; ties go to the smaller vec_id; fewer than k candidates are all returned. Vectors
     that are null, zero or hold a null or non-finite component take no part. Norms may be as small or large as

@@ -85,6 +85,28 @@ def test_nearest_recall_and_scores(spark, sf_dir):
     assert all(abs(exact[r.query_id, r.vec_id] - r.score) < 1e-12 for r in got.itertuples())
 
 
+@pytest.mark.parametrize("shape", ["gauss 64", "gauss 384", "64 within 768", "log-normal norms", "unit 64 within 384"])
+def test_a_pilot_keeps_recall_up_for_any_vectors(shape):
+    """Blocks whose vectors are told apart well or badly by the projections: the share that is verified follows."""
+    rng, n = np.random.default_rng(1), 3000
+    gauss = rng.standard_normal
+    x = {
+        "gauss 64": lambda: gauss((n, 64)),
+        "gauss 384": lambda: gauss((n, 384)),
+        "64 within 768": lambda: gauss((n, 64)) @ gauss((64, 768)),
+        "log-normal norms": lambda: gauss((n, 64)) * rng.lognormal(0, 1, (n, 1)),
+        "unit 64 within 384": lambda: (v := gauss((n, 64)) @ gauss((64, 384))) / np.linalg.norm(v, axis=1, keepdims=True),
+    }[shape]()
+    ids, q = np.arange(n), np.arange(0, n, 20)
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    index = neighbours.SortedProjections(ids, x)
+    got = index.search(q, x[q], 20)
+    assert np.mean([len(set(g.tolist()) & set(w.tolist())) / 20 for (g, _), w in zip(got, want, strict=True)]) >= 0.9
+    assert index.recall >= neighbours.TARGET
+
+
 def test_nearest_awkward_vectors(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [float("inf"), 1.0]), (120, []), (None, [1.0, 2.0])]
     df = spark.createDataFrame(rows + rows[:1], "vec_id long, embedding array<float>").withColumn("query_id", F.lit(1))
