@@ -30,7 +30,7 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is "
         'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     ),
-    "GPL": (
+    "GPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."
     ),
@@ -38,8 +38,76 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met"
     ),
+    "MIT-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+        "IN THE SOFTWARE."
+    ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."
+    ),
+    "BSD-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely"
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit "
+        "the Software, and to prepare derivative works of the Software"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."
+    ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or any later version."
+    ),
+    "GPL-warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version."
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."
+    ),
+    "CC0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-NC-SA-4.0-line": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."
+    ),
+    "CC-BY-ND-4.0-line": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."
+    ),
+    "CC-BY-NC-ND-4.0-line": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."
+    ),
 }
 
+#: Notices that differ in a few words: of those of a family that a document holds only the ones held best count.
+FAMILIES = {n: "gnu" for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
+
 #: Words of a shingle; least share of a template's shingles that a document holds.
 SHINGLE, CONTAINED = 5, 0.8
 #: A word: a run of ASCII letters and digits and of all other non-ASCII characters.
@@ -129,12 +197,13 @@ def index(spark: SparkSession, templates: dict[str, str]) -> list[dict]:
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, families: dict[str, str] = FAMILIES) -> DataFrame:
     """One row for each document and template it holds: ``doc_id, license, n_shingles, n_found, containment``.
 
     Every window's keys are looked up among the templates' (a parameter of fixed size, carried in the plan);
     a document that meets a template in a band is a candidate, and is a match if its text holds at least
-    CONTAINED of the template's shingles, compared as strings. No row of text is moved. Null texts and texts of
+    CONTAINED of the template's shingles, compared as strings; of templates of one family (of ``families``, by name)
+    those with the largest share in the document. No row of text is moved. Null texts and texts of
     under five words hold nothing; a template that occurs often in a text is one row; repeated rows of docs are
     repeated. An empty table gives no rows; other columns are ignored.
     """
@@ -158,19 +227,27 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
         ]
     )
     strings = F.array(*[F.array(*map(F.lit, t["shingles"])) for t in known])
-    pairs = met.select(
-        "doc_id",
-        F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" ")).alias("words"),
-        F.explode(candidates).alias("i"),
-    )
+    spaced = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
     inside = lambda s: F.contains(F.col("words"), F.concat(F.lit(" "), s, F.lit(" ")))
-    counted = pairs.select(
-        "doc_id",
-        F.get(F.array(*[F.lit(t["name"]) for t in known]), F.col("i")).alias("license"),
-        F.size(F.get(strings, F.col("i"))).cast("long").alias("n_shingles"),
-        F.size(F.filter(F.get(strings, F.col("i")), inside)).cast("long").alias("n_found"),
+    of = lambda values, i: F.get(F.array(*map(F.lit, values)), i)
+    sizes = [len(t["shingles"]) for t in known]
+    family = [families.get(t["name"], t["name"]) for t in known]
+    counted = F.transform(
+        candidates,
+        lambda i: F.struct(
+            of([t["name"] for t in known], i).alias("license"),
+            of(family, i).alias("family"),
+            of(sizes, i).cast("long").alias("n_shingles"),
+            F.size(F.filter(F.get(strings, i), inside)).cast("long").alias("n_found"),
+        ),
     )
-    return counted.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= CONTAINED)
+    share = lambda x: x["n_found"] / x["n_shingles"]
+    worded = met.select("doc_id", spaced.alias("words"), "hits")
+    held = worded.select("doc_id", _once(counted).alias("all"))
+    held = held.select("doc_id", _once(F.filter("all", lambda x: share(x) >= CONTAINED)).alias("held"))
+    best = F.filter("held", lambda x: ~F.exists("held", lambda y: (y["family"] == x["family"]) & (share(y) > share(x))))
+    rows = held.select("doc_id", F.explode(best).alias("x"))
+    return rows.select("doc_id", "x.license", "x.n_shingles", "x.n_found", share(F.col("x")).alias("containment"))
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,13 +261,14 @@ def _quoted(s: str) -> str:
 
 #: Every document against every template, by containment alone.
 ORACLE = f"""
-WITH t AS (SELECT unnest([{", ".join(f"struct_pack(license := {_quoted(k)}, body := {_quoted(v)})" for k, v in sorted(TEMPLATES.items()))}]) AS t),
-w AS (SELECT t.license AS license, regexp_extract_all(lower(t.body), '{TERM}') AS ws FROM t),
-s AS (SELECT DISTINCT license, array_to_string(ws[i:i+{SHINGLE - 1}], ' ') AS s
-      FROM (SELECT license, ws, unnest(range(1, len(ws) - {SHINGLE - 2})) AS i FROM w)),
-g AS (SELECT license, list(s) AS ss FROM s GROUP BY license),
-d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '{TERM}'), ' ') || ' ' AS words FROM documents),
-m AS (SELECT doc_id, license, CAST(len(ss) AS BIGINT) AS n_shingles,
-             CAST(len(list_filter(ss, lambda x: contains(words, ' ' || x || ' '))) AS BIGINT) AS n_found FROM d, g)
-SELECT doc_id, license, n_shingles, n_found, n_found / n_shingles AS containment FROM m WHERE n_found / n_shingles >= {CONTAINED}
+WITH t AS (SELECT unnest([{", ".join(f"struct_pack(license := {_quoted(k)}, family := {_quoted(FAMILIES.get(k, k))}, body := {_quoted(v)})" for k, v in sorted(TEMPLATES.items()))}]) AS t),
+w AS (SELECT t.license AS license, t.family AS family, regexp_extract_all(lower(t.body), '{TERM}') AS ws FROM t),
+s AS (SELECT DISTINCT license, family, array_to_string(ws[i:i+{SHINGLE - 1}], ' ') AS s
+      FROM (SELECT *, unnest(range(1, len(ws) - {SHINGLE - 2})) AS i FROM w)),
+g AS (SELECT license, family, list(s) AS ss FROM s GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '{TERM}'), ' ') || ' ' AS words FROM documents),
+m AS (SELECT r, doc_id, license, family, CAST(len(ss) AS BIGINT) AS n_shingles,
+             CAST(len(list_filter(ss, lambda x: contains(words, ' ' || x || ' '))) AS BIGINT) AS n_found FROM d, g),
+c AS (SELECT *, n_found / n_shingles AS containment FROM m WHERE n_found / n_shingles >= {CONTAINED})
+SELECT doc_id, license, n_shingles, n_found, containment FROM c QUALIFY containment = max(containment) OVER (PARTITION BY r, family)
 """
