@@ -16,7 +16,7 @@ from ..operators.payload import decode_bytes, extract_first_srt
 from ..profile import SiteProfile
 from ..session import scratch
 from ..sources.archives import first_subtitles, list_archives
-from ..sources.io import within_limit, write_outcomes
+from ..sources.io import read_archives, within_limit, write_outcomes
 from ..sources.store import SubtitleStore
 from .catalog import SITE
 from .builders import rar4_of, rar5_of, zip_of
@@ -218,3 +218,44 @@ def outcomes_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     write_outcomes(events.select(F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 9 != 0, F.col("ts")).alias("ts"), bad.alias("error")), path)
     return spark.read.parquet(path).select("request_id", F.col("day").cast("string").alias("day"), "code")
+
+
+@_query(ORACLES["ranged_subtitles"])
+def whole_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from whole contents: archives read as files, each listed, picked from and extracted in its row."""
+    folder = scratch(spark)
+    _archives_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    found = extract_first_srt(read_archives(spark, folder), SITE)
+    return found.select(_number().alias("archive"), "name", F.md5("data").alias("digest"), "problem")
+
+
+# --- Charsets -----------------------------------------------------------------------------------------------------
+
+#: Letters become characters of Big5's first rows, which are no characters in GB18030: "人" and 25 others.
+_BIG5 = "一乙丁七乃九了二人儿入八几刀刁力匕十卜又三下丈上丫丸"
+
+
+@functools.cache
+def _encoded(name: str):
+    @F.pandas_udf("binary")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(lambda t: t.encode(name))
+
+    return run
+
+
+@_query(
+    f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[^\\x00-\\x7F]', 'é ', 'g') || 'é '
+ELSE translate(regexp_replace(text, '[^\\x00-\\x7F]', '人', 'g'), '{_LETTERS}', '{_BIG5}') || '人' END AS text,
+CASE WHEN doc_id % 2 = 0 THEN 'windows-1252' ELSE 'big5' END AS encoding FROM t"""
+)
+def decode_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as Windows-1252 and as Big5, without any mark: bytes that other charsets give a lower score."""
+    text = F.coalesce("text", F.lit(""))
+    plain = lambda c: F.regexp_replace(text, r"[^\x00-\x7F]", c)
+    latin = _encoded("cp1252")(F.concat(plain("é "), F.lit("é ")))
+    big5 = _encoded("big5hkscs")(F.concat(F.translate(plain("人"), _LETTERS, _BIG5), F.lit("人")))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 2 == 0, latin).otherwise(big5).alias("body"))
+    return decode_bytes(rows, "body").select("doc_id", "text", "encoding")
