@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _KIND = np.zeros(256, np.uint8)  # 0: of a word, 1: between words, 2: between pieces
 _KIND[list(b" \t")] = 1
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
+_EDGE = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -87,6 +89,15 @@ def _count(counters: np.ndarray, places: np.ndarray, most: int) -> None:
         counters[at] = np.minimum(counters[at] + times, most)
 
 
+def _cut(text: bytes, size: int) -> Iterator[bytes]:
+    """A long text in parts of about this size, cut between pieces; a longer piece stays whole."""
+    at = 0
+    while len(text) - at > size and (m := _EDGE.search(text, at + size)):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:] if at else text
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     """Texts of a language, about CHUNK bytes together; a task holds as much of all languages that aren't full."""
     held: dict[str, list[bytes]] = {}
@@ -94,12 +105,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
-            text = text.as_py()
-            held.setdefault(lang, []).append(text)
-            sizes[lang] = sizes.get(lang, 0) + len(text)
-            if sizes[lang] >= CHUNK:
-                yield lang, held.pop(lang)
-                del sizes[lang]
+            for part in _cut(text.as_py(), CHUNK):
+                held.setdefault(lang, []).append(part)
+                sizes[lang] = sizes.get(lang, 0) + len(part)
+                if sizes[lang] >= CHUNK:
+                    yield lang, held.pop(lang)
+                    del sizes[lang]
         while sum(sizes.values()) >= 2 * CHUNK:
             lang = max(sizes, key=sizes.__getitem__)
             yield lang, held.pop(lang)

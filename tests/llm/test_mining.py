@@ -199,6 +199,14 @@ def test_sketch_drops_rare_sequences(spark):
     }
 
 
+def test_long_texts_are_cut_between_pieces():
+    text = b"one two three, four five. " * 50 + b"six " * 40 + b"seven! eight"
+    parts = list(collocations._cut(text, 100))
+    assert b"".join(parts) == text and len(parts) > 8 and max(map(len, parts[:-2])) < 130
+    assert all(p[-1:] in b".,!" for p in parts[:-1])
+    assert list(collocations._cut(b"", 10)) == [b""] and list(collocations._cut(b"x" * 50, 10)) == [b"x" * 50]
+
+
 def test_counts_past_a_byte(spark):
     rows = [("the cat " * 700, "en")]
     assert found_collocations(spark, rows) == plain_collocations(rows)
