@@ -15,6 +15,8 @@ from .common import small_batches, table
 WINDOW = 10
 #: Bytes of item texts that one pass searches for. More items take more passes over the documents.
 PASS_BYTES = 4 << 20
+#: Bytes of a text that are split into words at once.
+STRETCH = 1 << 20
 #: A-Z to small letters, every other ASCII character that is no letter or digit to a space.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -77,18 +79,37 @@ def searchers(items: Iterable[tuple[str | None, str | None]], size: int = WINDOW
     return [WuManber(found[n], n) for n in sorted(found)]
 
 
-def find(text: str | None, known: list[WuManber]) -> tuple[int, list[tuple[int, int]], list[str]]:
+def _stretches(text: str | None, overlap: int, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The words of a text in stretches of about ``size`` bytes, each with the place of its first word; the last
+    ``overlap`` words of one begin the next, so no window is cut."""
+    plain = text.encode("utf-8", "surrogatepass").translate(_PLAIN) if text else b""
+    at, first, had = 0, 0, []
+    while True:
+        end = plain.find(b" ", at + size)
+        end = len(plain) if end < 0 else end
+        here = had + plain[at:end].split()
+        yield first, here
+        if end >= len(plain):
+            return
+        keep = min(overlap, len(here))
+        at, first, had = end, first + len(here) - keep, here[len(here) - keep :]
+
+
+def find(text: str | None, known: list[WuManber], size: int = STRETCH) -> tuple[int, list[tuple[int, int]], list[str]]:
     """Number of words, the spans of words inside occurrences (merged, ends exclusive) and the items that occur."""
-    at, spans, items = words(text), [], set()
-    for searcher in known:
-        for start, held in searcher.search(at):
-            end = start + searcher.length
-            if spans and spans[-1][0] <= start <= spans[-1][1]:
-                spans[-1] = spans[-1][0], max(end, spans[-1][1])
-            else:
-                spans.append((start, end))
-            items |= held
-    return len(at), joined(spans), sorted(items)
+    n, spans, items = 0, [], set()
+    for first, here in _stretches(text, max((x.length for x in known), default=1) - 1, size):
+        n = first + len(here)
+        for searcher in known:
+            for start, held in searcher.search(here):
+                start += first
+                end = start + searcher.length
+                if spans and spans[-1][0] <= start <= spans[-1][1]:
+                    spans[-1] = spans[-1][0], max(end, spans[-1][1])
+                else:
+                    spans.append((start, end))
+                items |= held
+    return n, joined(spans), sorted(items)
 
 
 def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:

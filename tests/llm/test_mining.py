@@ -125,6 +125,15 @@ def test_long_document_is_searched_whole(spark):
     assert found_occurrences(spark, [(1, text)], [(9, item)]) == [(1, 300_014, 14, ("9",))]
 
 
+def test_stretches_cut_no_window():
+    rng = np.random.default_rng(2)
+    known = contamination.searchers([("1", " ".join("abcabcaabbcc")), ("2", "b c"), ("3", "c"), ("4", "zz")])
+    for n in (0, 1, 9, 10, 200):
+        text = " ".join(rng.choice(list("abc"), n)) + "  .. "
+        whole = contamination.find(text, known)
+        assert whole[0] == n and all(contamination.find(text, known, size) == whole for size in (1, 2, 7, 30))
+
+
 def test_clashing_columns_of_documents(spark):
     d = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, spans string").selectExpr("*", "1 as n_words", "2 as items", "3 as k1", "4 as times")
     b = spark.createDataFrame([(1, "b c", 2)], "item_id long, text string, doc_id long")
