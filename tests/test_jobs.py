@@ -73,3 +73,19 @@ def test_outcomes_by_day(spark, tmp_path):
     io.write_outcomes(workloads.replay_requests(df, None, SITE, searches, details), str(tmp_path / "out"))
     back = {r["request_id"]: (str(r["day"]), r["outcome"], r["code"], r["known"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert back == {0: ("2024-01-01", "miss", None, "https://subs.example/sub/7/k"), 1: ("2024-01-02", None, "INVALID_ID", None), 2: ("2024-01-03", None, None, None)}
+
+
+def test_a_page_is_parsed_once_for_all_searches(spark):
+    """Three searches for one page and one for another, that both end at the same one: bodies meet no search."""
+    at = f"{SITE.origin}/sub/?searchword="
+    captures = spark.createDataFrame([(f"{at}a", 200, None, None, page(7)), (f"{at}b", 302, f"{at}a", None, None)], CAPTURES)
+    searches = spark.createDataFrame([(1, "a", None), (2, "a", "1"), (3, " a ", ""), (4, "b", None), (5, "", None), (6, "c", None)], "search_id long, q string, page string")
+    hits, state = workloads.harvest_searches(searches, captures, SITE)
+    assert sorted((r["search_id"], r["id"]) for r in hits.collect()) == [(1, "7"), (2, "7"), (3, "7"), (4, "7")]
+    assert {r["search_id"]: r["error"] and r["error"]["code"] for r in state.collect()} == {1: None, 2: None, 3: None, 4: None, 5: "INVALID_QUERY", 6: "UPSTREAM_ERROR"}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    parse = next(i for i, x in enumerate(lines) if "ArrowEvalPython" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    below = [x for x in lines[parse + 1 :] if depth(x) > depth(lines[parse])]
+    assert below and not any("search_id" in x for x in below)  # searches join above the parse
