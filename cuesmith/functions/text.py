@@ -63,6 +63,14 @@ def looks_like_srt(text: Column) -> Column:
     return text.rlike(f"{_TIME}{WS}*-->{WS}*{_TIME}")
 
 
+_SRT = re.compile(re.sub(r"\\x\{([0-9a-f]{4})\}", r"\\u\1", f"{_TIME}{WS}*-->{WS}*{_TIME}"))
+
+
+def is_srt_text(text: str) -> bool:
+    """``looks_like_srt`` of a text that is in Python already."""
+    return bool(_SRT.search(text))
+
+
 def decode_score(text: Column) -> Column:
     """How much a decoded text looks like Chinese, Japanese or Korean, less its replacement and control characters."""
     count = lambda p: F.regexp_count(text, F.lit(p))

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import looks_like_srt
+from ..functions.text import is_srt_text, looks_like_srt
 from ..profile import DEFAULT, SiteProfile
 
 # --- Text ---------------------------------------------------------------------------------------------------------
@@ -101,22 +101,26 @@ def decode_bytes(df: DataFrame, column: str = "body") -> DataFrame:
     A mark decides first, then the look of UTF-16, then whether the bytes are UTF-8. Null bytes have neither text nor
     encoding. Malformed bytes become U+FFFD; nothing fails.
     """
-    data = F.col(column)
-    head = F.hex(F.substring(data, 1, 3))
-    marked, wide = head == "EFBBBF", F.substring(head, 1, 4).isin("FFFE", "FEFF")
-    as_text = data.cast("string")
-    plain = ~marked & ~wide & F.is_valid_utf8(as_text) & ~looks_like_utf16(data)
-    tail = F.expr(f"substring(`{column}`, 4)").cast("string")
+    plain, text = _built_in(F.col(column))
     out = df.withColumn("__plain", plain)
-    out = out.withColumn("__legacy", _legacy()(F.when(~marked & ~F.col("__plain"), data)))
+    out = out.withColumn("__legacy", _legacy()(F.when(~F.col("__plain"), F.col(column))))
     return out.withColumns(
         {
-            "text": F.when(marked, F.make_valid_utf8(tail)).when(F.col("__plain"), as_text).otherwise(F.col("__legacy.text")),
-            "encoding": F.when(marked | F.col("__plain"), "utf-8").otherwise(F.col("__legacy.encoding")),
+            "text": F.when(F.col("__plain"), text).otherwise(F.col("__legacy.text")),
+            "encoding": F.when(F.col("__plain"), "utf-8").otherwise(F.col("__legacy.encoding")),
         }
     ).drop("__legacy", "__plain")
 
 
+def _built_in(data: Column) -> tuple[Column, Column]:
+    """Whether bytes are UTF-8, by a mark or because they are valid and don't look like UTF-16, and their text if so."""
+    head, as_text = F.hex(F.substring(data, 1, 3)), data.cast("string")
+    marked, wide = head == "EFBBBF", F.substring(head, 1, 4).isin("FFFE", "FEFF")
+    plain = ~marked & ~wide & F.is_valid_utf8(as_text) & ~looks_like_utf16(data)
+    tail = F.substring(data, F.lit(4), F.octet_length(data)).cast("string")
+    return marked | plain, F.when(marked, F.make_valid_utf8(tail)).otherwise(as_text)
+
+
 # --- Kinds --------------------------------------------------------------------------------------------------------
 
 
@@ -451,10 +455,17 @@ _ROW = f"struct<{ENTRY.replace(' ', ': ').replace(',: ', ', ')}>"
 
 
 def _lister(most: int):
-    @F.pandas_udf(f"struct<entries: array<{_ROW}>, problem: string>")
+    """Of an archive its entries or its problem, of other bytes (which built-in functions can't decode) whether they are a subtitle."""
+
+    @F.pandas_udf(f"struct<entries: array<{_ROW}>, problem: string, srt: boolean>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for contents in parts:
-            yield pd.DataFrame([_entries(c, most) for c in contents], columns=["entries", "problem"])
+            rows = []
+            for c in contents:
+                entries, problem = _entries(c, most)
+                other = c is not None and entries is None and problem is None
+                rows.append((entries, problem, is_srt_text(decode_legacy(bytes(c))[0]) if other else False))
+            yield pd.DataFrame(rows, columns=["entries", "problem", "srt"])
 
     return run.asNondeterministic()  # evaluated once, where it stands
 
@@ -483,10 +494,13 @@ def extract_first_srt(archives: DataFrame, profile: SiteProfile = DEFAULT, rar_e
         F.lit(False),
     )
     keyed = archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content", packed.alias("__packed"))
-    # Only what is no archive is decoded.
-    known = decode_bytes(keyed.withColumn("__plain_content", F.when(~F.col("__packed"), F.col("content"))), "__plain_content")
-    kinds = known.withColumn("__srt", ~F.col("__packed") & (sniff_payload(F.col("content"), F.col("text"), profile) == "srt"))
-    listed = kinds.drop("text", "encoding", "__plain_content").withColumn("__l", _lister(profile.max_entries + 1)(F.when(F.col("__packed"), F.col("content"))))
+    # What is no archive is decoded only to see whether it is a subtitle, by the helper only where it isn't UTF-8.
+    plain, text = _built_in(F.col("content"))
+    kinds = keyed.withColumns({"__plain": ~F.col("__packed") & plain, "__small": F.octet_length("content") <= profile.max_srt_bytes})
+    asked = F.when(F.col("__packed") | ~F.col("__plain") & F.col("__small"), F.col("content"))
+    listed = kinds.withColumn("__l", _lister(profile.max_entries + 1)(asked))
+    is_srt = F.when(F.col("__plain"), looks_like_srt(text)).otherwise(F.col("__l.srt"))
+    listed = listed.withColumn("__srt", F.coalesce(~F.col("__packed") & F.col("__small") & is_srt, F.lit(False)))
     wanted = F.filter("__l.entries", lambda x: _is_srt(lambda c: x[c]))
     first = F.array_min(F.transform(wanted, lambda x: F.struct(F.collate(x["name"], "UNICODE").alias("name"), x["ord"].alias("ord"))))
     many = F.coalesce(F.size("__l.entries") > profile.max_entries, F.lit(False))
