@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 _folders: set[str] = set()
 #: Bytes of an Arrow batch, where the session has Spark's own default of 64 MB: a worker holds a batch some times over.
-ARROW_BATCH = 8 << 20
+ARROW_BATCH = 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
