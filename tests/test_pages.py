@@ -159,3 +159,11 @@ def test_latest_detail_takes_the_last(spark):
     rows = [(1, 1, 0, "5", "a"), (1, 1, 2, "5", "b"), (1, 2, 0, "5", "c"), (2, 1, 0, "5", "d")]
     df = spark.createDataFrame(rows, "search_id long, page_no int, pos int, id string, detail_url string")
     assert {(r["search_id"], r["detail_url"]) for r in hits.latest_detail(df).collect()} == {(1, "c"), (2, "d")}
+
+
+def test_references_without_a_semicolon_stay(spark):
+    """A title that was cut within one; closed ones are characters, unknown ones aren't."""
+    source = '<title>a &amp; b&amp</title><p title="c&copy">&#65; &#x42;&#67 &nope; &copyx; & x&lt;y</p><a href="/z?a=1&copy=2&amp;b=3">l</a>'
+    page = spark.createDataFrame([(source,)], "html string").select(html.parse_page(F.col("html"), SITE).alias("p")).first()["p"]
+    assert page["text"] == "a & b&ampA B&#67 &nope; &copyx; & x<yl"
+    assert page["links"] == ["/z?a=1&copy=2&b=3"]
