@@ -15,7 +15,7 @@ from ..errors import error, no_error
 from ..operators.payload import decode_bytes, extract_first_srt
 from ..profile import SiteProfile
 from ..session import scratch
-from ..sources.archives import first_subtitles, list_archives
+from ..sources.archives import AHEAD, first_subtitles, list_archives
 from ..sources.io import read_archives, within_limit, write_outcomes
 from ..sources.store import SubtitleStore
 from .catalog import SITE
@@ -70,8 +70,9 @@ def _number(archive_id: str = "archive_id"):
 
 
 def _few(problem: str = "problem"):
-    """Little was read for a listing: at most a twentieth of what a large archive has."""
-    return F.col(problem).isNotNull() | (F.col("bytes_read") * 20 <= F.col("length")) | (F.col("length") < 65_536)
+    """Little was read for a listing: the head, the tail and a directory of 128 bytes an entry, or a twentieth of the archive."""
+    listing = 4 * AHEAD + 128 * F.col("n_entries")
+    return F.col(problem).isNotNull() | (F.col("bytes_read") * 20 <= F.col("length")) | (F.col("bytes_read") <= listing)
 
 
 @_query(

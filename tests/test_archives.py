@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 
+from cuesmith.jobs import catalog_files
 from cuesmith.jobs.builders import rar4_of, rar5_of
 from cuesmith.operators.payload import extract_first_srt, list_entries
 from cuesmith.profile import SiteProfile
@@ -99,3 +100,11 @@ def test_empty_folder_and_bad_offsets(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(good[:at] + b"xx" + good[at + 2 :])
     rows = archives.read_entries(archives.list_archives(spark, f"file://{tmp_path}")).collect()
     assert {r["name"]: (r["data"], r["problem"]) for r in rows} == {"a.srt": (bytearray(b"text"), None), "b.srt": (None, "Invalid ZIP local file header")}
+
+
+def test_little_is_read_of_archives_of_any_size(spark, tmp_path):
+    """Of an archive of some 70 KB the directory alone is a twentieth."""
+    rows = [(50 * n + i, "x" * size) for n, size in enumerate((10, 1180, 1250, 1320, 3000)) for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog_files.ranged_listing(spark, str(tmp_path)).collect()
+    assert {r["archive"] for r in got} == {0, 1, 2, 4} and all(r["few"] for r in got)
