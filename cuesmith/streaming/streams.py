@@ -32,8 +32,8 @@ class InOrder(StatefulProcessor):
 
     State is the cache's two numbers and, for each slice that is open, its requests' numbers, so a trigger's rows of an
     id are never held together. An id has one timer: for the end of its first open slice, or for the time when its
-    state lapses, as nothing waits and the watermark is past the time to live and the running task. A request of a
-    slice that is over is late.
+    state lapses, as nothing waits and the watermark is past the slice of the time to live and of the running task. A
+    request of a slice that is over is late.
     """
 
     def __init__(self, ttl: int, width: int, id_kind: str) -> None:
@@ -56,7 +56,9 @@ class InOrder(StatefulProcessor):
         self.task.update((cached_at, busy_until, timer))
 
     def _lapse(self, cached_at: int | None, busy_until: int | None) -> int:
-        return 1 + max(-1 if cached_at is None else cached_at + self.ttl, -1 if busy_until is None else busy_until)
+        """The end of a slice from which on no request can meet the state: one of a slice that is open may still come."""
+        end = 1 + max(-1 if cached_at is None else cached_at + self.ttl, -1 if busy_until is None else busy_until)
+        return -(-end // self.width) * self.width
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
         at = int(initialState["t"].max())

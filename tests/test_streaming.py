@@ -64,6 +64,13 @@ def test_late_requests_come_out_marked(spark, tmp_path):
     assert got == {1: "miss", 2: "hit", 3: "miss", 4: "miss", 6: "late", 7: "miss", 8: "hit"}
 
 
+def test_state_lasts_while_its_slice_is_open(spark, tmp_path):
+    """The watermark (80) is past what is cached (50 to 70), but a request of the open slice (60 to 120) may still meet it."""
+    triggers = [[(1, "a", _at(50), 0, True), (2, "clock", _at(130), 0, True)], [(3, "a", _at(65), 0, True), (None, None, _at(9999), 0, True)]]
+    got = _replayed(spark, tmp_path, triggers, 20_000, delay="50 seconds", width_ms=60_000)
+    assert got == {1: "miss", 2: "miss", 3: "hit"}
+
+
 def test_replay_stream_begins_with_the_cache(spark, tmp_path):
     cached = spark.createDataFrame([("a", _at(-10)), ("a", _at(-500)), ("b", _at(-3000)), (None, _at(0)), ("c", None)], "id string, cached_at timestamp")
     triggers = [[(1, "a", _at(0), 0, True), (2, "b", _at(0), 0, True), (3, "c", _at(1), 0, True)], [(4, "a", _at(1195), 0, True), (5, "a", _at(9999), 0, True)], [(None, None, _at(99999), 0, True)]]
