@@ -17,6 +17,10 @@ from .jsre import js_trim, nonempty
 URL = "struct<url: string, scheme: string, host: string, path: string>"
 _PORTS = {"http": 80, "https": 443}
 _BAD_HOST = re.compile(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")
+#: URLs on a page, and of a page, that nothing has to be done to: small letters in hosts, no port, no dots to resolve.
+_HOST = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+_PLAIN = re.compile(rf"(?:(?:(https?):)?//({_HOST}))?(/(?:[A-Za-z0-9_~-][A-Za-z0-9_.~-]*+/)*+(?:[A-Za-z0-9_~-][A-Za-z0-9_.~-]*+)?)(\?[A-Za-z0-9_.=&~-]+)?")
+_PLAIN_BASE = re.compile(rf"(https?)://({_HOST})(?:/[!-~]*)?")
 
 
 def _no_dots(path: str) -> str:
@@ -38,6 +42,10 @@ def resolve(link: str | None, base: str | None) -> tuple[str, str, str, str] | N
     """A link on a page as browsers resolve it: url, scheme, host and path; None where it is no valid URL."""
     if link is None or base is None:
         return None
+    plain, at = _PLAIN.fullmatch(link), _PLAIN_BASE.fullmatch(base)
+    if plain and at:
+        scheme, host = plain[1] or at[1], plain[2] or at[2]
+        return f"{scheme}://{host}{plain[3]}{plain[4] or ''}", scheme, host, plain[3]
     link = re.sub(r"[\t\n\r]", "", link.strip("".join(map(chr, range(33)))))
     scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", link)
     if not scheme or scheme[1].lower() in _PORTS:

@@ -167,3 +167,21 @@ def test_references_without_a_semicolon_stay(spark):
     page = spark.createDataFrame([(source,)], "html string").select(html.parse_page(F.col("html"), SITE).alias("p")).first()["p"]
     assert page["text"] == "a & b&ampA B&#67 &nope; &copyx; & x<yl"
     assert page["links"] == ["/z?a=1&copy=2&b=3"]
+
+
+def test_plain_pages_and_links_are_read_as_others():
+    """Tags and URLs of the plainest form are taken at once; a comment, or a dot in the path, sends them the long way."""
+    whole = "<section class='resultcard'>".replace("'", '"') + card("/sub/7/x?a=1&amp;b=2", SRT, "<b>版本</b>：<i>x</i>", name="River &lt;2") + "</section><p>a<p>b"
+    fast, slow = html._read(whole, SITE), html._read(whole + "<!-- -->", SITE)
+    assert html._Page(SITE).feed_plain(html._closed(whole)) and not html._Page(SITE).feed_plain(whole + "<!-- -->")
+    assert (fast.cards, fast.links, fast.text) == (slow.cards, slow.links, slow.text) and len(fast.cards) == 1
+    for link in ("/sub/7/x?a=1", "//file0.subs.example/a.zip", "http://subs.example/d/e/", "/"):
+        url, *rest = urls.resolve(link, f"{AT}/q/r?s#t")
+        assert urls._PLAIN.fullmatch(link) and not urls._PLAIN.fullmatch(link + "#")
+        assert urls.resolve(link + "#", f"{AT}/q/r?s#t") == (url, *rest)
+
+
+def test_a_small_table_of_pages_is_many_tasks(spark, sf_dir):
+    from cuesmith.jobs import catalog
+
+    assert catalog.first_download_link(spark, sf_dir).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
