@@ -21,6 +21,7 @@ from ..functions.text import decode_score, labeled_value, looks_like_srt, normal
 from ..functions.validate import normalize_page, route_requests, validate_id, validate_query
 from ..operators import cache, hits, payload, resolve
 from ..profile import SiteProfile
+from ..session import spread
 from ..sources.io import hits_json, to_kv
 from . import workloads
 
@@ -185,7 +186,8 @@ def first_download_link(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<a href="https://evilsubs.example/download/1.zip">x</a><a href="">y</a><a href="#" onclick="', click, '">z</a>',
         '<a href="http://subs.example/download/2.zip">plain</a>', mirror, file, '<a href="/download/none.txt">t</a>',
     )
-    pages = _table(spark, sf_dir, "part").select(_text(f"{SITE.origin}/sub/", key, ".html").alias("url"), html.alias("html"))
+    parts = spread(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    pages = parts.select(_text(f"{SITE.origin}/sub/", key, ".html").alias("url"), html.alias("html"))
     return hits.first_download_link(pages, profile=SITE)
 
 
