@@ -50,6 +50,13 @@ def _score(text: str) -> int:
     return 20 * count((c >= 0x3400) & (c <= 0x9FFF)) - 10 * count(c == 0xFFFD) - 5 * count(controls)
 
 
+def _most_wide(data: bytes) -> int:
+    """The most characters of two bytes or more that any encoding can find: each begins with a byte over 127 and takes the next one."""
+    high = np.frombuffer(data, np.uint8) > 127
+    edges = np.flatnonzero(np.diff(high, prepend=False, append=False))
+    return int(((edges[1::2] - edges[::2] + 1) // 2).sum())
+
+
 def _unmarked_utf16(data: bytes) -> bool:
     """Little-endian UTF-16 by its look: many ASCII letters with a zero byte, no controls 0 to 2 among the first 64 units."""
     if len(data) < 16 or len(data) % 2:
@@ -67,7 +74,11 @@ def decode_legacy(data: bytes) -> tuple[str, str]:
     if _unmarked_utf16(data):
         return data.decode("utf-16-le", "replace"), "utf-16le"
     best: tuple[int, str, str] | None = None
+    most = 20 * _most_wide(data)
     for name, codec in LEGACY:
+        # No encoding's score exceeds the most, and that of one-byte letters isn't positive: a later one must be better.
+        if best is not None and best[0] >= (0 if codec == "cp1252" else most):
+            continue
         text = data.decode(codec, "cuesmith-web")
         score = _score(text)
         if best is None or score > best[0]:
@@ -88,7 +99,8 @@ def _legacy():
 
 def looks_like_utf16(data: Column) -> Column:
     """Whether bytes without a mark are little-endian UTF-16 by their look, which comes before UTF-8: zero bytes are valid there."""
-    units = F.regexp_replace(F.hex(F.substring(data, 1, 512)), "(.{4})", "$1 ")
+    head = F.hex(F.substring(data, 1, 512))
+    units = F.regexp_replace(head, "(.{4})", "$1 ")
     even = (F.octet_length(data) >= 16) & (F.octet_length(data) % 2 == 0)
     letters = F.regexp_count(units, F.lit("(?:[2-6][0-9A-F]|7[0-9A-E])00 ")) > 32
     low = F.substring(units, 1, 5 * 64).rlike("(?:^| )0[0-2]00 ")

@@ -246,3 +246,12 @@ def test_sinks(spark, tmp_path):
     hits = spark.createDataFrame([("7", "Rain", None, "Subrip(srt)", "", None, "https://subs.example/sub/7/x")], "id string, title string, version string, format string, language string, date string, detail_url string")
     sources.write_hits(hits, str(tmp_path / "hits"))
     assert spark.read.json(str(tmp_path / "hits")).select(hits.columns).collect() == hits.collect()
+
+
+def test_encodings_that_cannot_win_are_not_tried():
+    """The bound on a score holds for each encoding, and the choice is that of a trial of all."""
+    texts = ["一乙丁 abc", "日本語アｱ", "é à ü ", "字" * 9 + "，", "a", ""]
+    for data in [t.encode(c, "ignore") for t in texts for c in ("gb18030", "big5hkscs", "cp932", "euc_jp", "cp949", "cp1252")] + [b"\xff\x80a\x81", b"\x80" * 7]:
+        tried = [(payload._score(t := data.decode(codec, "cuesmith-web")), t, name) for name, codec in payload.LEGACY]
+        assert all(s <= 20 * payload._most_wide(data) for s, _, _ in tried)
+        assert payload.decode_legacy(data) == max(tried, key=lambda x: x[0])[1:]
