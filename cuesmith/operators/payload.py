@@ -104,7 +104,8 @@ def looks_like_utf16(data: Column) -> Column:
     even = (F.octet_length(data) >= 16) & (F.octet_length(data) % 2 == 0)
     letters = F.regexp_count(units, F.lit("(?:[2-6][0-9A-F]|7[0-9A-E])00 ")) > 32
     low = F.substring(units, 1, 5 * 64).rlike("(?:^| )0[0-2]00 ")
-    return F.coalesce(even & F.contains(units, F.lit("00 ")) & letters & ~low, F.lit(False))
+    # Bytes without a zero among them, as most are, aren't looked at further.
+    return F.coalesce(F.when(even & F.contains(head, F.lit("00")), letters & ~low), F.lit(False))
 
 
 def decode_bytes(df: DataFrame, column: str = "body") -> DataFrame:
