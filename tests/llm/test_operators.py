@@ -863,6 +863,14 @@ def test_held_out_texts_score_better_than_by_word_counts(spark, sf_dir):
     assert got["bits_per_byte"].mean() < 2.5
 
 
+def test_vocabulary_counts_training_and_all_texts(spark):
+    """A word of both kinds of texts is one row; END closes each text."""
+    rows = [("a b A", False), ("b c", True), ("", False)]
+    docs = spark.createDataFrame(rows, "text string, held_out boolean").coalesce(1)
+    got = {bytes(r["word"]): (r["train"], r["total"]) for r in mixing_lm.vocabulary(docs).collect()}
+    assert got == {b"a": (2, 2), b"b": (1, 2), b"c": (0, 1), b"": (2, 3)}
+
+
 def test_scores_do_not_depend_on_partitions(spark, docs):
     def scores(n: int, adaptive: str) -> dict:
         had = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
