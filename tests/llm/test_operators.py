@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -871,6 +872,21 @@ def test_vocabulary_counts_training_and_all_texts(spark):
     assert got == {b"a": (2, 2), b"b": (1, 2), b"c": (0, 1), b"": (2, 3)}
 
 
+def test_words_and_classes_by_arrays_equal_plain_ones():
+    texts = ["", "  A\x0bb\x0c C\x85\u00a0d\x1c \r\n", "\u00c0B...", " ?! ", "x" * 9 + ".,;", "no end", "a"]
+    words, many = mixing_lm._words(pa.array(texts))
+    plain = [t.encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for p in plain for w in p] and many.tolist() == [len(p) for p in plain]
+
+    def of(word: bytes) -> int:
+        end = word.rstrip(b".,;:!?)\"'|]}>")[-2:] or word[-2:] or b" "
+        return (end[0] * 37 + end[-1] * 5 + len(end)) % mixing_lm.CLASSES
+
+    some = [*words.to_pylist(), b"", b"!", b"!?", b"\xff", b"q)"]
+    assert mixing_lm.classes_of(some).tolist() == [of(w) for w in some] and not len(mixing_lm.classes_of([]))
+    assert mixing_lm.classes_of(words[2:]).tolist() == [of(w) for w in words[2:].to_pylist()]
+
+
 def test_scores_do_not_depend_on_partitions(spark, docs):
     def scores(n: int, adaptive: str) -> dict:
         had = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
