@@ -119,6 +119,12 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _within(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places from each start to its end."""
+    n = np.maximum(ends - starts, 0)
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Block:
     """Rows of a block, sorted by (pivot, distance), for vectors of one length."""
 
@@ -130,14 +136,19 @@ class Block:
         self.most = float(np.abs(self.whole).max(initial=0.0))
         self.geometry, pivots = cells.geometry, rows["pivot"].to_numpy()
         starts = np.flatnonzero(np.diff(pivots, prepend=-1))
-        self.spans = list(zip(starts, np.append(starts[1:], len(pivots)), strict=True))
+        self.starts, self.ends = starts, np.append(starts[1:], len(pivots))
+        self.least, self.largest = self.far[self.starts], self.far[self.ends - 1]
+        # All pivots' keys in one order, each pivot's in a stretch of its own.
+        self.stretches = np.arange(len(starts)) * (2 * float(self.far.max(initial=0.0)) + 1)
+        self.keys = self.far + np.repeat(self.stretches, self.ends - self.starts)
         self.around = cells.around(self.rows.shape[1])[pivots[starts]]
 
-    def search(self, id_: int, label: int, vector: np.ndarray, windows: list[tuple[int, int, int]], k: int, same: bool) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, id_: int, label: int, vector: np.ndarray, windows: list[tuple[int, int, int]], k: int, same: bool, bounded: bool = False) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each window (name, lo, hi) the k best rows with lo <= score <= hi, of the same label or of others.
 
         The scan begins where the nearest row of any window may lie and takes in each pivot's keys within a growing
-        radius. It ends once each window has k rows that are nearer than the radius, or can have no more.
+        radius. It ends once each window has k rows that are nearer than the radius, or can have no more. Where other
+        blocks have told each window's least score (bounded), its distance is the radius from the start.
         """
         g, query = self.geometry, self.geometry.query(vector)
         base, mine = g.base(query), whole(vector)
@@ -146,28 +157,26 @@ class Block:
         slack = SLACK_FAR * np.sqrt(base + 1.0)
         inner = max(0.0, min(reach(hi) for _, _, hi in windows) - slack)
         away = np.sqrt(((self.around - query) ** 2).sum(axis=1))
-        least, largest = (np.array([self.far[x] for x in at]) for at in ([a for a, _ in self.spans], [b - 1 for _, b in self.spans]))
+        least, largest = self.least, self.largest
         full = float((away + largest).max())
         radius = max(inner, float(np.maximum(0.0, np.maximum(least - away, away - largest)).min()))
         grow = max((full - radius) * GROWTH, 1e-12)
-        done: list[tuple[int, int] | None] = [None] * len(self.spans)
+        if bounded:
+            radius, grow = max(reach(lo) for _, lo, _ in windows), 0.0
+        done: tuple[np.ndarray, np.ndarray] | None = None
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         while True:
             radius += grow
-            for i, (a, b) in enumerate(self.spans):
-                lo, hi = a, b
-                if not every:
-                    lo += int(np.searchsorted(self.far[a:b], max(inner - away[i], away[i] - radius) - slack, "left"))
-                    hi = a + int(np.searchsorted(self.far[a:b], away[i] + radius + slack, "right"))
-                had = done[i]
-                fresh = [(lo, hi)] if had is None else [(lo, had[0]), (had[1], hi)]
-                done[i] = (lo, hi) if had is None else (min(lo, had[0]), max(hi, had[1]))
-                for x, y in fresh:
-                    if x < y:
-                        at = x + np.flatnonzero(((self.labels[x:y] == label) == same) & (self.ids[x:y] != id_))
-                        if len(at):
-                            ids = np.append(ids, self.ids[at])
-                            scores = np.append(scores, products(self.rows[at], vector) if every else (self.whole[at] @ mine).astype(np.int64))
+            lo, hi = self.starts, self.ends
+            if not every:
+                lo = self.keys.searchsorted(self.stretches + np.maximum(inner - away, away - radius) - slack, "left").clip(lo, hi)
+                hi = self.keys.searchsorted(self.stretches + away + radius + slack, "right").clip(lo, hi)
+            at = _within(lo, hi) if done is None else np.append(_within(lo, done[0]), _within(done[1], hi))
+            done = (lo, hi) if done is None else (np.minimum(lo, done[0]), np.maximum(hi, done[1]))
+            at = at[((self.labels[at] == label) == same) & (self.ids[at] != id_)]
+            if len(at):
+                ids = np.append(ids, self.ids[at])
+                scores = np.append(scores, products(self.rows[at], vector) if every else (self.whole[at] @ mine).astype(np.int64))
             if every or radius >= full or all(self._certain(scores, k, lo, hi, reach, radius) for _, lo, hi in windows):
                 break
         out = []
@@ -313,14 +322,18 @@ def _scan(visits: DataFrame, index: Index, k: int, same: bool) -> DataFrame:
     right = index.rows.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def run(key, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         for size, part in rows.groupby(rows["v"].map(len)):
             block = Block(part, sent.value)
             for q in asked[asked["q"].map(len) == size].itertuples():
                 windows = [(w["w"], w["lo"] if w["kth"] is None else max(w["lo"], w["kth"]), w["hi"]) for w in q.windows]
-                for name, ids, scores in block.search(q.qid, q.qlabel, np.asarray(q.q), windows, k, same):
-                    out.append(pd.DataFrame({"qid": q.qid, "w": name, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "w": [], "vec_id": [], "score": []})
+                bounded = all(w["kth"] is not None for w in q.windows)
+                got = block.search(q.qid, q.qlabel, np.asarray(q.q), windows, k, same, bounded)
+                found += [(q.qid, name, ids, scores) for name, ids, scores in got if len(ids)]
+        many = [len(ids) for *_, ids, _ in found]
+        each = lambda i: np.repeat(np.array([f[i] for f in found], np.int64), many)
+        joined = lambda i: np.concatenate([np.empty(0, np.int64), *(f[i] for f in found)])
+        return pd.DataFrame({"qid": each(0), "w": each(1), "vec_id": joined(2), "score": joined(3)})
 
     return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(run, "qid long, w long, vec_id long, score long")
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from cuesmith.llm import collocations, contamination, negatives, registry
@@ -70,6 +71,28 @@ def test_negatives_of_large_components(spark):
     assert {r[4] for r in got if r[0] == 100} <= {negatives.MOST}
 
 
+def test_a_bounded_scan_is_one_round(monkeypatch):
+    """Where each window's least score is known the annuli are taken once, with the same rows as plain products."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 8))
+    geometry = negatives.Geometry(2.0**14, float(((negatives.whole(v) / 2.0**14) ** 2).sum(1).max()) * (1 + 1e-9) + 1e-9)
+    points = geometry.points(v)
+    cells = negatives.Cells(geometry, {8: negatives.fit_pivots(points, 9)}, [], {}, {})
+    pivot, far = negatives._keys(list(v), cells)
+    rows = pd.DataFrame({"vec_id": range(600), "label": np.arange(600) % 3, "v": list(v), "pivot": pivot, "far": far})
+    block, rounds = negatives.Block(rows, cells), []
+    monkeypatch.setattr(negatives.Block, "_certain", staticmethod(lambda *a, was=negatives.Block._certain: rounds.append(1) or was(*a)))
+    for i in range(40):
+        scores = (negatives.whole(v) @ negatives.whole(v[i])).astype(int)
+        others = sorted((-s, j) for j, s in enumerate(scores.tolist()) if j % 3 != i % 3)
+        least = -others[6][0]
+        for bounded in (False, True):
+            rounds.clear()
+            ((_, ids, got),) = block.search(i, i % 3, v[i], [(0, least, negatives.MOST)], 10, False, bounded)
+            assert [(-s, j) for j, s in zip(ids.tolist(), got.tolist(), strict=True)] == others[:7]
+            assert len(rounds) <= 1 or not bounded
+
+
 def test_negatives_keep_to_their_columns(spark):
     rows = [(i, i % 3, [float(i % 11) / 7, float(i % 5) / 3]) for i in range(120)]
     df = spark.createDataFrame(rows, VECTORS)
