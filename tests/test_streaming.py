@@ -71,6 +71,25 @@ def test_state_lasts_while_its_slice_is_open(spark, tmp_path):
     assert got == {1: "miss", 2: "miss", 3: "hit"}
 
 
+def test_state_grows_with_buckets_and_slices_not_with_ids(spark, tmp_path):
+    """600 ids of 4 buckets in 3 slices: what is kept, and so the calls to the state, are some rows for each bucket and slice."""
+    rows = [(i, f"id{i % 600}", _at(i // 600 * 60 + i % 50), 1000 * (i % 70), i % 3 > 0) for i in range(1800)]
+    spark.createDataFrame([*rows, (None, None, _at(9999), 0, True)], LOG).write.parquet(str(tmp_path / "log"))
+    stream = streams.replay_stream(spark.readStream.schema(LOG).parquet(str(tmp_path / "log")), 90_000, buckets=4)
+    q = stream.writeStream.format("memory").queryName("few").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert 0 < max(kept) <= 4 * (3 + 2) and kept[-1] == 0
+    want = replay_cache(spark.createDataFrame(rows, LOG), 90_000)
+    assert {r["request_id"]: r["outcome"] for r in spark.table("few").collect()} == {r["request_id"]: r["outcome"] for r in want.collect()}
+
+
+def test_request_ids_stay_exact_beside_a_null(spark, tmp_path):
+    large = 2**53 + 1
+    triggers = [[(large, "a", _at(0), 0, True), (None, "a", _at(1), 0, True), (large + 2, "b", _at(2), 0, True)], [(None, None, _at(9999), 0, True)]]
+    assert _replayed(spark, tmp_path, triggers, 20_000) == {large: "miss", None: "hit", large + 2: "miss"}
+
+
 def test_replay_stream_begins_with_the_cache(spark, tmp_path):
     cached = spark.createDataFrame([("a", _at(-10)), ("a", _at(-500)), ("b", _at(-3000)), (None, _at(0)), ("c", None)], "id string, cached_at timestamp")
     triggers = [[(1, "a", _at(0), 0, True), (2, "b", _at(0), 0, True), (3, "c", _at(1), 0, True)], [(4, "a", _at(1195), 0, True), (5, "a", _at(9999), 0, True)], [(None, None, _at(99999), 0, True)]]
